@@ -191,7 +191,7 @@ def present_batches(batches: Iterator[pa.RecordBatch], model: CharModel, chosen:
         yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("toxic"), pa.array(has, pa.list_(pa.int32()))], names=["mark", "toxic", "has"])
 
 
-def fit_logistic(has: list[list[int]], y: np.ndarray, n: int, rounds: int = 25, ridge: float = 0.3) -> tuple[np.ndarray, float]:
+def fit_logistic(has: list[list[int]], y: np.ndarray, n: int, rounds: int = 25, ridge: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and intercept by damped Newton steps on the whole (bounded) sample; the intercept is not shrunk."""
     x = np.zeros((len(has), n + 1))
     x[:, n] = 1
