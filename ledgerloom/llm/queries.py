@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, htmltext, langid, licenses, media, sharding, simhash, toxicity
+from . import bpe, decontam, htmltext, langid, licenses, linejoin, media, sharding, simhash, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linejoin.report(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_line_dedup,
         op3_toxicity,
         op4_benchmark_decontamination,
         op5_html_extraction,

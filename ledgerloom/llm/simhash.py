@@ -121,7 +121,7 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], by: int, big: int | None) -
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
         change = np.flatnonzero((rows[1:, :by] != rows[:-1, :by]).any(axis=1)) + 1
         if key is not None and (key != rows[0, :by]).any():
             change = np.append(0, change)
