@@ -26,26 +26,30 @@ from pyspark.sql import functions as F
 
 from .common import text_slices
 
-#: Pieces merged by one query, and remembered in one generation.
-PIECES_PER_QUERY, PIECES_KEPT = 50_000, 300_000
+#: Pieces merged by one query, and pieces and words remembered in one generation.
+PIECES_PER_QUERY, PIECES_KEPT = 20_000, 200_000
 
+#: Places count on through all pieces of a query, with a gap after each, so the next place is the next token of
+#: the piece or nobody's; a contraction moves the places after it up by one.
 MERGE = """
 WITH RECURSIVE t(w, step, pos, tok) AS (
   SELECT w, 0, pos, tok FROM start
   UNION ALL
-  (WITH pairs AS (
-     SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM t),
-   best AS (
-     SELECT w, min(m::HUGEINT * 4294967296 + pos) AS k
-     FROM pairs JOIN merges ON l = tok AND r = nxt GROUP BY w)
-   SELECT p.w, p.step + 1, p.pos, CASE WHEN p.pos = k % 4294967296 THEN (k // 4294967296)::INT ELSE p.tok END
-   FROM (SELECT *, lag(pos) OVER (PARTITION BY w ORDER BY pos) AS prev FROM t) p JOIN best USING (w)
-   WHERE prev IS DISTINCT FROM (k % 4294967296)::INT)
+  (WITH best AS (
+     SELECT a.w, min(m::BIGINT * 4294967296 + a.pos) AS k
+     FROM t a JOIN t b ON b.pos = a.pos + 1 JOIN merges ON lr = a.tok::BIGINT * 4294967296 + b.tok GROUP BY a.w)
+   SELECT t.w, t.step + 1, CASE WHEN t.pos > k % 4294967296 THEN t.pos - 1 ELSE t.pos END,
+     CASE WHEN t.pos = k % 4294967296 THEN (k // 4294967296)::INT ELSE t.tok END
+   FROM t JOIN best USING (w) WHERE t.pos <> k % 4294967296 + 1)
 )
 SELECT w, list(tok ORDER BY pos) AS ids, string_agg(hx, '' ORDER BY pos) AS hx
 FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) JOIN vocab ON id = tok
 GROUP BY w
 """
+#: The characters of Unicode's White_Space property; the standard re module's class has four more.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space of two or more characters with a space in it: pieces may cross a space there.
+CROSSING = re.compile(r" \s|\s ")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,9 +66,9 @@ def fast_pattern(pattern: str) -> re.Pattern:
         return "".join(re.escape(r[0]) + "-" + re.escape(r[-1]) if len(r) > 1 else re.escape(r) for r in runs)
 
     letters, numbers = ranges(r"\p{L}"), ranges(r"\p{N}")
-    # a run ends at U+D7FF where the surrogates are left out
     fast = pattern
-    for inside, kind in ((r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]"), (r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]")):
+    kinds = ((r"[^\s\p{L}\p{N}]", rf"[^{SPACE}{letters}{numbers}]"), (r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\s", f"[{SPACE}]"), (r"\S", f"[^{SPACE}]"))
+    for inside, kind in kinds:
         fast = fast.replace(inside, kind)
     return re.compile(fast)
 
@@ -79,11 +83,13 @@ class Coder:
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.new: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.old_words: dict[str, tuple[bytes, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         rows = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.db.register("rows", pa.table({n: pa.array([r[i] for r in rows], pa.int32()) for i, n in enumerate("lrm")}))
         self.db.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hx": [t.hex() for t in ranks]}))
-        self.db.execute("CREATE TABLE merges AS FROM rows")
+        self.db.execute("CREATE TABLE merges AS SELECT l::BIGINT * 4294967296 + r AS lr, m FROM rows")
         self.db.execute("CREATE TABLE vocab AS FROM tokens")
         self.db.unregister("rows")
         self.db.unregister("tokens")
@@ -96,8 +102,8 @@ class Coder:
             size = np.array(list(map(len, raw)))
             start = pa.table(
                 {
-                    "w": np.repeat(np.arange(len(raw), dtype=np.int32), size),
-                    "pos": (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32),
+                    "w": (w := np.repeat(np.arange(len(raw), dtype=np.int32), size)),
+                    "pos": np.arange(size.sum(), dtype=np.int64) + w,
                     "tok": self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)],
                 }
             )
@@ -106,11 +112,10 @@ class Coder:
                 self.new[part[w]] = (np.array(ids, dtype=np.int32).tobytes(), bytes.fromhex(hx))
             self.db.unregister("start")
 
-    def pieces(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
-        """Token ids and decoded bytes of the pieces of each text."""
-        cut = [self.split(t) for t in texts]
+    def recall(self, pieces: set[str]) -> None:
+        """Have all pieces in self.new."""
         missing = []
-        for piece in set().union(*cut):
+        for piece in pieces:
             if piece in self.new:
                 continue
             if piece in self.old:
@@ -120,9 +125,30 @@ class Coder:
             else:
                 missing.append(piece)
         self.learn(missing)
-        out = [list(map(self.new.__getitem__, c)) for c in cut]
+
+    def encode(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
+        """Token ids and decoded bytes of the parts of each text, in order.
+
+        A piece holds white space at its beginning only. So a text may be cut before every single space, and
+        each word behind a space is cut into pieces once; texts with wider white space are cut as a whole.
+        """
+        words = [[] if CROSSING.search(t) else t.split(" ") for t in texts]
+        cut = [self.split(w[0] if w else t) for w, t in zip(words, texts)]
+        fresh = set().union(*(w[1:] for w in words)) - self.words.keys()
+        for word in [w for w in fresh if w in self.old_words]:
+            self.words[word] = self.old_words[word]
+            fresh.discard(word)
+        inside = {word: self.split(" " + word) for word in fresh}
+        self.recall(set().union(*cut, *inside.values()))
+        known = self.new.__getitem__
+        for word, pieces in inside.items():
+            found = list(map(known, pieces))
+            self.words[word] = found[0] if len(found) == 1 else (b"".join([x for x, _ in found]), b"".join([x for _, x in found]))
+        out = [[*map(known, c), *map(self.words.__getitem__, w[1:])] for c, w in zip(cut, words)]
         if len(self.new) > PIECES_KEPT:
             self.old, self.new = self.new, {}
+        if len(self.words) > PIECES_KEPT:
+            self.old_words, self.words = self.words, {}
         return out
 
 
@@ -135,7 +161,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -
     code = coder(path, pattern)
     for batch in text_slices(batches, most_bytes=4 << 20):
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        found = code.pieces(texts)
+        found = code.encode(texts)
         ids = [b"".join([x for x, _ in p]) for p in found]
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
         flat = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
