@@ -156,7 +156,9 @@ class Restorer:
                 w = self.known[token] = self.word(token)
             out.add(w)
         for m in SPELT.finditer(low):
-            out.add(self.word(re.sub(r"[ .*_-]", "", m.group())))
+            run = re.sub(r"[ .*_-]", "", m.group())
+            # a one-letter word may stand at either end of a spelt one
+            out.update(map(self.word, (run, run[1:], run[:-1], run[1:-1])))
         out.discard("")
         return out
 
