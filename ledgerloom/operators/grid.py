@@ -188,3 +188,28 @@ def numbered_batch(commands: DataFrame) -> DataFrame:
     """A command's numbered blocks as instructions with their years and amounts."""
     blocks = commands.select("command_id", F.posexplode(F.filter(F.split("text", r"(?:^|\s)\d+\)\s+"), lambda b: F.trim(b) != "")).alias("n", "block"))
     return blocks.select("command_id", (F.col("n") + 1).alias("n"), F.regexp_extract("block", YEAR, 1).try_cast("int").alias("year"), (F.translate(F.regexp_extract("block", r"(\d+(?:[.,]\d+)?)\s*тыс", 1), ",", ".").try_cast("decimal(20,2)") * 1000).cast(MONEY).alias("amount"))
+
+
+def result_nodes(rows: DataFrame) -> DataFrame:
+    """Rows (number, name) below a table's header "наименование результата" as result nodes."""
+    head = rows.where(folded(F.col("name")).contains("наименование результата")).groupBy("doc_id").agg(F.min("row_idx").alias("head"))
+    below = rows.join(head, "doc_id").where((F.col("row_idx") > F.col("head")) & (F.trim("name") != ""))
+    return below.select("doc_id", "row_idx", F.concat_ws(":", F.lit("result"), normalize_display_number(F.col("number")), slug(F.col("name"))).alias("key"))
+
+
+def build_target(cells: DataFrame, row_sources: DataFrame, first_row: int) -> tuple[DataFrame, DataFrame]:
+    """A sheet's funding by row, year and source, and its year totals."""
+    layout = amount_columns(header_text(cells, detect_header(cells)), base_year(cells))
+    body = cells.where(F.col("row_idx") >= first_row)
+    return unpivot_funding(body, layout, row_sources), total_columns(body, layout)
+
+
+def build_tree(rows: DataFrame, source_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A document's nodes, each once, and the lines of its nodes."""
+    nodes = node_dedup(finance_tree(rows))
+    return nodes, finance_lines(source_rows, nodes)
+
+
+def build_patch(pages: DataFrame) -> DataFrame:
+    """A document's changes, the first of each object, year and mode."""
+    return change_dedup(text_changes(pages), ["doc_id", "object_name", "year", "mode"])

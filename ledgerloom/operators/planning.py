@@ -163,3 +163,9 @@ def context_counts(nodes: DataFrame, lines: DataFrame) -> DataFrame:
 def usage_by_model(runs: DataFrame) -> DataFrame:
     """G29."""
     return runs.groupBy("model", "purpose").agg(F.count("*").alias("runs"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
+def insert_plan(parents: DataFrame, children: DataFrame, new: DataFrame) -> DataFrame:
+    """Where new objects (parent_id, seq, table_idx, n_rows) go: below their parent's last row, one after the other."""
+    anchors = anchor_row(children, parents).withColumnRenamed("node_id", "parent_id")
+    return insert_offsets(new.join(anchors, "parent_id")).select("parent_id", "seq", "table_idx", "row_idx")

@@ -31,12 +31,13 @@ def ancestor_closure(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
     The loop is bounded by the depth of the tree (types, not rows), so a cycle ends with it.
     """
     up = nodes.where("parent_id is not null").select(F.col("node_id").alias("__n"), F.col("parent_id").alias("__p"))
-    step = nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("depth"))
-    out = step
+    # one row a node grows a column a level, so each level is one join
+    out, found = nodes.select("node_id", F.col("node_id").alias("__0")), ["__0"]
     for depth in range(1, max_depth):
-        step = step.join(up, F.col("ancestor_id") == F.col("__n")).select("node_id", F.col("__p").alias("ancestor_id"), F.lit(depth).alias("depth"))
-        out = out.unionByName(step)
-    return out
+        out = out.join(up, F.col(found[-1]) == F.col("__n"), "left").select("node_id", *found, F.col("__p").alias(f"__{depth}"))
+        found.append(f"__{depth}")
+    levels = F.posexplode(F.array_compact(F.array(*found))).alias("depth", "ancestor_id")
+    return out.select("node_id", levels).select("node_id", "ancestor_id", "depth")
 
 
 def aggregate_lines(lines: DataFrame, by: str = "node_id") -> DataFrame:

@@ -189,3 +189,30 @@ def document_profile(spark, sf):
 @query("numbered_batch", f"SELECT o_orderkey AS command_id, n, CAST(2024 + n AS INT) AS year, CAST(CASE n WHEN 1 THEN o_orderkey ELSE o_custkey END * 1000 AS {D}) AS amount FROM orders, (SELECT unnest([1, 2]) AS n)")
 def numbered_batch(spark, sf):
     return g.numbered_batch(bound(spark, sf, "SELECT o_orderkey AS command_id, concat('1) в 2025 году ', o_orderkey, ' тыс. 2) в 2026 году ', o_custkey, ' тыс.') AS text FROM orders"))
+
+
+@query("result_nodes", "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS row_idx, concat('result:1:', 'part-', min(l_partkey)) AS key FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey, l_linenumber HAVING l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
+def result_nodes(spark, sf):
+    df = bound(spark, sf, "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS row_idx, '1.' AS number, CASE WHEN l_linenumber = 1 THEN 'Наименование результата' ELSE concat('part ', min(l_partkey)) END AS name FROM lineitem GROUP BY l_orderkey, l_linenumber")
+    return g.result_nodes(df)
+
+
+@query("build_target", f"WITH {L1}, y AS (SELECT o_orderkey AS doc_id, CAST(year(o_orderdate) + 10 AS INT) AS y FROM orders) SELECT doc_id, y AS year, 'FEDERAL_BUDGET' AS source_type, CAST(sum(amount) AS {D}) AS amount FROM l JOIN y USING (doc_id) WHERE p % 3 <> 0 AND amount <> 0 GROUP BY ALL")
+def build_target(spark, sf):
+    c = cells(spark, sf)
+    sources = c.select("doc_id", "row_idx").distinct().withColumn("row_source", F.lit("LOCAL_BUDGET"))
+    funding, _ = g.build_target(c, sources, 10)
+    return funding.where("source_type = 'FEDERAL_BUDGET'").groupBy("doc_id", "year", "source_type").agg(F.sum("amount").cast("decimal(20,2)").alias("amount"))
+
+
+@query("build_tree", f"WITH {TREE_SQL}, d AS (SELECT DISTINCT doc_id, key FROM v) SELECT doc_id, count(*) AS nodes FROM d GROUP BY 1")
+def build_tree(spark, sf):
+    lines = bound(spark, sf, "SELECT l_orderkey AS doc_id, CAST(l_partkey AS BIGINT) AS row_idx, 'x' AS source, CAST(0 AS DECIMAL(20,2)) AS amount FROM lineitem")
+    nodes, _ = g.build_tree(bound(spark, sf, TREE).select("doc_id", "row_idx", "number", "name").distinct(), lines)
+    return nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"))
+
+
+@query("build_patch", "SELECT o_custkey AS doc_id, concat('Школа ', o_custkey) AS object_name, 2026 AS year, min(o_orderkey) AS page_number FROM orders WHERE o_orderkey NOT BETWEEN 1900 AND 2099 GROUP BY o_custkey")
+def build_patch(spark, sf):
+    pages = bound(spark, sf, CHANGES.replace(" тыс. руб", " тыс руб").replace("FROM orders", "FROM orders WHERE o_orderkey NOT BETWEEN 1900 AND 2099"))
+    return g.build_patch(pages).select("doc_id", "object_name", "year", "page_number")

@@ -323,3 +323,15 @@ def context_counts(spark, sf):
 def usage_by_model(spark, sf):
     runs = bound(spark, sf, "SELECT event_type AS model, user_id % 5 AS purpose, CAST(value AS DECIMAL(20,4)) AS cost FROM events")
     return q.usage_by_model(runs).withColumn("cost", F.col("cost").cast("decimal(20,4)"))
+
+
+@query(
+    "insert_plan",
+    """WITH a AS (SELECT concat('C', c_custkey) AS parent_id, greatest(c_custkey, coalesce(m, c_custkey)) AS anchor FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+    n AS (SELECT concat('C', o_custkey) AS parent_id, o_orderkey AS seq, o_custkey % 3 AS table_idx, o_orderkey % 4 + 1 AS n_rows FROM orders WHERE o_orderkey % 10 = 0)
+    SELECT parent_id, seq, table_idx, CAST(anchor + 1 + coalesce(sum(n_rows) OVER (PARTITION BY table_idx ORDER BY anchor, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_idx FROM n JOIN a USING (parent_id)""",
+)
+def insert_plan(spark, sf):
+    children = bound(spark, sf, "SELECT concat('C', o_custkey) AS parent_id, o_orderkey AS row_idx, 'x' AS display_number FROM orders")
+    new = bound(spark, sf, "SELECT concat('C', o_custkey) AS parent_id, o_orderkey AS seq, o_custkey % 3 AS table_idx, o_orderkey % 4 + 1 AS n_rows FROM orders WHERE o_orderkey % 10 = 0")
+    return q.insert_plan(bound(spark, sf, "SELECT concat('C', c_custkey) AS node_id, c_custkey AS row_idx FROM customer"), children, new)
