@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, settled, text_slices, utf8
+from .common import claim, parts, settled, text_slices, utf8
 from .simhash import whole_buckets
 
 LEAST, BUCKETS = 0.8, 1 << 16
@@ -37,6 +38,7 @@ BLOCK = 1 << 20
 FILTER = 1 << 22
 NAMES = ["word", "n", "place", "cls", "doc_id", "line", "map0", "map1"]
 TYPES = [(np.int64, pa.int64()), (np.int32, pa.int32()), (np.int32, pa.int32()), (np.int64, pa.int64()), (np.int64, pa.int64()), (np.int32, pa.int32()), (np.int64, pa.int64()), (np.int64, pa.int64())]
+SURVEY_NAMES = ["doc_id", "text_key", "line", "cls"]
 POSTING = "word long, n int, place int, cls long, doc_id long, line int, map0 long, map1 long"
 BYTE_HASH = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
@@ -44,8 +46,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 NULL_ID = -(1 << 63)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base to the powers 0 to n - 1, modulo 2**64."""
+@lru_cache(maxsize=2)
+def powers_up_to(base: int, n: int) -> np.ndarray:
     out = np.ones(max(n, 1), dtype=np.uint64)
     done = 1
     while done < n:
@@ -55,6 +57,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1, modulo 2**64; kept for the next slice."""
+    return powers_up_to(base, 1 << max(22, n.bit_length()))[:n]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -76,8 +83,10 @@ class Lines:
         h = mixed((sums[end] - sums[start]) * powers(INVERSE, len(data))[start])
         ends = np.cumsum([len(k[2]) + 1 for k in kept]) if kept else np.empty(0, np.int64)
         row = np.searchsorted(ends, start, side="right")
-        rank = counts[h % np.uint64(BUCKETS)] if counts is not None else np.zeros(len(h), np.int64)
-        order = np.lexsort((h, rank, row))
+        if counts is not None:  # rarest words first; the key holds the line and the rank
+            order = np.lexsort((h, (row << 40) | np.minimum(counts[h % np.uint64(BUCKETS)], (1 << 40) - 1)))
+        else:
+            order = np.lexsort((h, row))
         row, h = row[order], h[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
@@ -93,27 +102,21 @@ def need(n: np.ndarray, least: float) -> np.ndarray:
     return np.ceil(n * least - 1e-9).astype(np.int64)
 
 
-def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many lines' sets have a word of each bucket."""
+def survey_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line's class, its first place in each text only; and, with a null line, how many sets have a word of
+    each bucket (cls is the bucket, doc_id the number)."""
+    claim("linejoin", powers_up_to.cache_clear)
     total = np.zeros(BUCKETS, dtype=np.int64)
-    for batch in text_slices(batches, most_bytes=2 << 20):
-        total += np.bincount((Lines(utf8(batch.column("text"))).words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-
-def class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line's class, its first place in each text only, and how many lines of the text have it."""
     for batch in text_slices(batches, most_bytes=2 << 20):
         lines = Lines(utf8(batch.column("text")))
+        total += np.bincount((lines.words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         has = np.flatnonzero(lines.n > 0)
-        key, at, times = np.unique(np.stack([lines.text[has], lines.cls[has].view(np.int64)], axis=1), axis=0, return_index=True, return_counts=True)
+        _, at = np.unique(np.stack([lines.text[has], lines.cls[has].view(np.int64)], axis=1), axis=0, return_index=True)
         at = has[at]
         take = pa.array(lines.text[at])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(lines.line[at].astype(np.int32)), pa.array(lines.cls[at].view(np.int64)), pa.array(times.astype(np.int32))],
-            names=["doc_id", "text_key", "line", "cls", "times"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(lines.line[at].astype(np.int32)), pa.array(lines.cls[at].view(np.int64))], names=SURVEY_NAMES)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(total[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.array(at)], names=SURVEY_NAMES)
 
 
 def bitmaps(lines: Lines) -> np.ndarray:
@@ -136,7 +139,7 @@ def in_filter(bits: np.ndarray | None, values: np.ndarray) -> np.ndarray:
 
 
 def posting_batches(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: float, words: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """A row for each prefix word of the distinct sets of a slice: word, n, place, cls, the set's first doc_id and
+    """A row for each prefix word of the distinct sets of a slice: word (half of its hash), n, place, cls, the set's first doc_id and
     line, and its bitmaps. With a filter `words`, only of words in it."""
     for batch in text_slices(batches, most_bytes=2 << 20):
         lines = Lines(utf8(batch.column("text")), counts)
@@ -148,9 +151,9 @@ def posting_batches(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least
         able &= (np.floor(lines.n / least + 1e-9) > lines.n) | (need(lines.n, least) < lines.n)
         place = np.arange(len(lines.words)) - lines.first[lines.row]
         use = able[lines.row] & (place < (lines.n - need(lines.n, least) + 1)[lines.row])
-        use[use] = in_filter(words, lines.words[use])
+        use[use] = in_filter(words, (lines.words[use] >> np.uint64(32)).view(np.int64))
         row, maps = lines.row[use], bitmaps(lines).view(np.int64)
-        columns = [lines.words[use].view(np.int64), lines.n[row], place[use], lines.cls[row].view(np.int64), doc[row], lines.line[row], maps[row, 0], maps[row, 1]]
+        columns = [(lines.words[use] >> np.uint64(32)).view(np.int64), lines.n[row], place[use], lines.cls[row].view(np.int64), doc[row], lines.line[row], maps[row, 0], maps[row, 1]]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype=t), p) for c, (t, p) in zip(columns, TYPES)], names=NAMES)
 
 
@@ -163,8 +166,8 @@ def candidate_batches(batches: Iterator[pa.RecordBatch], least: float, undecided
     """
     for _, rows in whole_buckets(batches, 1, None):
         # copies from several slices: the first place counts
-        rows = rows[np.lexsort((rows[:, 5], rows[:, 4], rows[:, 3], rows[:, 1], rows[:, 0]))]
-        rows = rows[np.append(True, (rows[1:, [0, 3]] != rows[:-1, [0, 3]]).any(axis=1))[: len(rows)]]
+        rows = rows[np.lexsort((rows[:, 5], rows[:, 4], rows[:, 2], rows[:, 3], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.append(True, (rows[1:, [0, 2, 3]] != rows[:-1, [0, 2, 3]]).any(axis=1))[: len(rows)]]
         word, n, place, cls = (rows[:, c] for c in range(4))
         maps = np.ascontiguousarray(rows[:, 6:8]).view(np.uint64)
         rank = np.empty(len(rows), dtype=np.int64)
@@ -186,7 +189,8 @@ def candidate_batches(batches: Iterator[pa.RecordBatch], least: float, undecided
             fits = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j]) >= overlap
             i, j, overlap = i[fits], j[fits], overlap[fits]
             apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
-            fits = apart <= n[i] + n[j] - 2 * overlap
+            # one class comes twice where two of its words share a key
+            fits = (apart <= n[i] + n[j] - 2 * overlap) & (cls[i] != cls[j])
             i, j, apart = i[fits], j[fits], apart[fits]
             early, late = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
             if undecided is None:
@@ -224,11 +228,15 @@ def filter_of(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
+def survey(docs: DataFrame) -> DataFrame:
+    return settled(keyed(docs).mapInArrow(survey_batches, "doc_id long, text_key long, line int, cls long"))
+
+
+def rarity(surveyed: DataFrame) -> np.ndarray:
     """Counts of the word buckets over all documents; their number is fixed."""
     out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in docs.select("text").mapInArrow(count_batches, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
+    for r in surveyed.where("line is null").groupBy("cls").agg(F.sum("doc_id").alias("n")).collect():
+        out[r.cls] = r.n
     return out
 
 
@@ -237,10 +245,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(surveyed: DataFrame) -> DataFrame:
     """cls, with the place of its first line: doc_id, text_key, line."""
-    each = keyed(docs).mapInArrow(class_batches, "doc_id long, text_key long, line int, cls long, times int")
-    first = each.groupBy("cls").agg(F.min(F.struct("doc_id", "line", "text_key")).alias("at"))
+    first = surveyed.where("line is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "line", "text_key")).alias("at"))
     return first.select("cls", "at.doc_id", "at.text_key", "at.line")
 
 
@@ -249,17 +256,17 @@ def verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(filter_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls"))
     sets = docs.select("text").mapInArrow(lambda it: set_batches(it, wanted.value), "cls long, words array<long>")
-    sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    sets = settled(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").dropDuplicates(["cls"]))
     left, right = sets.select(F.col("cls").alias("a"), F.col("words").alias("u")), sets.select(F.col("cls").alias("b"), F.col("words").alias("v"))
     # in whole numbers, rounded as in the filters
     enough = F.size(F.array_intersect("u", "v")) >= F.ceil((F.size("u") + F.size("v")) * F.lit(least / (1 + least)) - 1e-9)
     return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
-def later_matches(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def later_matches(docs: DataFrame, surveyed: DataFrame, least: float = LEAST) -> DataFrame:
     """cls of every class that matches a class which begins earlier."""
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(rarity(docs))
+    counts = spark.sparkContext.broadcast(rarity(surveyed))
     rows = keyed(docs).select("doc_id", "text")
 
     def candidates(words: np.ndarray | None, undecided: np.ndarray | None) -> DataFrame:
@@ -285,7 +292,8 @@ def decide(docs: DataFrame, least: float = LEAST) -> DataFrame:
     begins earlier; classes that begin at the same place go by their hash. Rows that repeat a doc_id and text
     are one document.
     """
-    stay = classes(docs).join(later_matches(docs, least), "cls", "left_anti")
+    surveyed = survey(docs)
+    stay = classes(surveyed).join(later_matches(docs, surveyed, least), "cls", "left_anti")
     return stay.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line")).alias("kept"))
 
 
