@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import claim, text_slices
 
 WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4), 16, 8
 #: Windows scored at once.
@@ -139,9 +139,10 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc:
     mark = F.xxhash64(F.col("doc_id"))
     able = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null").where(~held_out(3, 1))
     picks = able.select("lang", mark.alias("mark")).groupBy("lang", F.pmod("mark", F.lit(docs_per_lang)).alias("bucket")).agg(F.min("mark").alias("mark")).drop("bucket")
+    # at most docs_per_lang rows a language, so small that it is broadcast
     step = F.greatest(F.length("text") - WINDOW, F.lit(0)) / max(1, windows_per_doc - 1)
     pieces = F.transform(F.sequence(F.lit(0), F.lit(windows_per_doc - 1)), lambda i: F.substring("text", (F.floor(i * step) + 1).cast("int"), F.lit(WINDOW)))
-    rows = able.withColumn("mark", mark).join(picks, ["lang", "mark"], "left_semi").select("lang", "mark", F.array_distinct(pieces).alias("pieces")).collect()
+    rows = able.withColumn("mark", mark).join(F.broadcast(picks), ["lang", "mark"], "left_semi").select("lang", "mark", F.array_distinct(pieces).alias("pieces")).collect()
     rows.sort(key=lambda r: (r.lang, r.mark, r.pieces))
     langs = sorted({r.lang for r in rows})
     if not langs:
@@ -161,6 +162,7 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc:
 
 
 def predict_batches(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
+    claim("langid")
     if net is not None:
         net.tables()
     for batch in text_slices(batches, most_bytes=2 << 20):
