@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import claim, text_slices
 
 #: Pieces merged by one query, and pieces and words remembered in one generation.
-PIECES_PER_QUERY, PIECES_KEPT = 20_000, 200_000
+PIECES_PER_QUERY, PIECES_KEPT = 10_000, 100_000
 
 #: Places count on through all pieces of a query, with a gap after each, so the next place is the next token of
 #: the piece or nobody's; a contraction moves the places after it up by one.
@@ -85,7 +85,7 @@ class Coder:
         self.old: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[str, tuple[bytes, bytes]] = {}
         self.old_words: dict[str, tuple[bytes, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
         rows = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.db.register("rows", pa.table({n: pa.array([r[i] for r in rows], pa.int32()) for i, n in enumerate("lrm")}))
         self.db.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hx": [t.hex() for t in ranks]}))
@@ -158,6 +158,7 @@ def coder(path: str, pattern: str) -> Coder:
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    claim("bpe", coder.cache_clear)
     code = coder(path, pattern)
     for batch in text_slices(batches, most_bytes=4 << 20):
         texts = [t or "" for t in batch.column("text").to_pylist()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -37,6 +40,24 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Say in a Python worker that owner works in it now: what other operators keep there is freed.
+
+    Workers live on from stage to stage, and so would their caches.
+    """
+    others = [n for n in _kept if n != owner]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give freed memory back, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+    _kept[owner] = clear
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of about most_bytes of text; a longer single text is a slice of its own."""
     for batch in batches:

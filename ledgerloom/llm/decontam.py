@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_columns, settled, text_slices, utf8
+from .common import claim, key_columns, settled, text_slices, utf8
 
 #: A-Z become a-z; all other ASCII but digits and letters separates words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -153,6 +153,7 @@ def find_windows(ids: np.ndarray, starts: np.ndarray, windows: Windows) -> tuple
 
 def spans_of(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
     """Per document with hits: merged spans of hit words and the items; n_words for all."""
+    claim("decontam")
     for batch in text_slices(batches):
         ids, starts = word_ids(utf8(batch.column("text")), windows.vocab)
         start, w = find_windows(ids, starts, windows)

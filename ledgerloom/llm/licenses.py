@@ -154,7 +154,10 @@ def examples() -> list[tuple[list[str], str]]:
 
 def learn(docs: DataFrame, texts: int = CORPUS_TEXTS, paragraphs: int = CORPUS_PARAGRAPHS) -> Model:
     """Fit to the templates and to at most `paragraphs` paragraphs of the `texts` texts of least hash."""
-    sample = docs.where("text is not null").select("text").orderBy(F.xxhash64("text"), "text").limit(texts).collect()
+    mark = F.xxhash64("text")
+    marks = docs.where("text is not null").select(mark.alias("mark")).distinct().orderBy("mark").limit(texts)
+    last = marks.agg(F.max("mark").alias("last")).first().last
+    sample = docs.where(F.col("text").isNotNull() & (mark <= F.lit(last))).select("text").distinct().collect() if last is not None else []
     lines = [line for r in sample for line in re.split(r"\n+", r.text)]
     lines = sorted(set(lines))[: paragraphs * 4]
     known = [tokens(t) for ts in TEMPLATES.values() for t in ts]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, settled, text_slices, utf8
+from .common import claim, parts, settled, text_slices, utf8
 from .components import components
 
 MOST, SHINGLE, BLOCKS, FINE, BIG, SPREAD = 4, 4, 7, 9, 20_000, 16
@@ -48,6 +48,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    claim("simhash")
     for batch in text_slices(batches):
         prints = np.array([fingerprint(t, shingle) for t in utf8(batch.column("text"))], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
