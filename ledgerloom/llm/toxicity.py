@@ -1,10 +1,12 @@
 """Toxicity: noisy-channel deobfuscation by Viterbi decoding, then a score of the restored text.
 
 A character language model (trigrams, counted over all documents) says how likely a run of letters
-is. A token whose inside holds digits, signs or long repeats is a lattice: every observed character
+is. A token that holds digits, signs or long repeats is a lattice: every observed character
 may stand for several letters (leetspeak), for a repeat of the letter before it, for nothing (a
-separator), or for any letter (a mask). Viterbi decoding finds the likeliest letters. Letters spelt one by
-one are brought together first. A token of plain letters is a lattice with one path, itself.
+separator), or for any letter (a mask). Viterbi decoding finds the likeliest letters. Signs at a token's edges
+may be letters or punctuation: the likelier is the restored one; without the signs it counts as a word of the text, too. Letters
+and signs spelt one by one are brought together first. A token of plain letters is a lattice with one path, itself;
+digits alone are a number, and masks alone say nothing.
 
 The score is a logistic regression on the restored words: whole words and their beginnings of
 BEGINNINGS letters, of which those are used that tell the classes best apart.
@@ -12,6 +14,7 @@ BEGINNINGS letters, of which those are used that tell the classes best apart.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -36,11 +39,17 @@ LETTERS = 60
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Bounds on what is learned from, and on the features.
 LABELLED, FEATURES, LEAST_COUNT = 8000, 500, 4
-BEAM, REMEMBERED = 48, 200_000
+REMEMBERED = 200_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 REPEAT = re.compile(r"(.)\1\1")
-#: Four or more single characters with one space or sign between them.
-SPELT = re.compile(r"(?<!\S)(?:[^\W_][ .*_-]){3,}[^\W_](?!\S)")
+#: Signs at the edges that are neither letters, digits, leetspeak nor masks.
+OUTER = re.compile(r"^[^\w@$!|+€*#%]+|[^\w@$!|+€*#%]+$")
+SIGN = re.compile(r"[@$!|+€]")
+LETTER = re.compile(r"[^\W\d_]")
+ONE = r"[\w@$!|+€*#%]"
+#: Four or more single characters or signs, with one blank or sign between them or with wider blanks between all.
+SPELT = re.compile(rf"(?<![^\W_]){ONE}(?=[ \t.*_-])(?:(?:[ \t.*_-]{ONE}){{3,}}|(?:[ \t]{{2,}}{ONE}){{3,}})(?![^\W_])")
+BETWEEN = re.compile(rf"({ONE})(?:[ \t]+|[.*_-])")
 
 
 class CharModel:
@@ -55,6 +64,9 @@ class CharModel:
         base = one / one.sum()
         mid = (two + 5 * base) / (two.sum(axis=1, keepdims=True) + 5)
         self.log = np.log((table + 5 * mid[None]) / (table.sum(axis=2, keepdims=True) + 5))
+        self.most = self.log.max(axis=0)
+        self.tables: dict[str, tuple] = {}
+        self.tails: dict[tuple[str, int, int], tuple[float, str]] = {}
         self.other = n - 1
 
     def of(self, c: str) -> int:
@@ -98,33 +110,159 @@ def char_model(docs: DataFrame, letters: int = LETTERS) -> CharModel:
     return CharModel(common, counts)
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The likeliest letters behind a token, by Viterbi decoding with the BEAM best states kept."""
+def choices(c: str, model: CharModel) -> list[tuple[str, float]]:
+    """The letters that a character may stand for, and what that costs."""
+    out = [(c, SAME)] if c.isalpha() else []
+    out += [(x, SWAP) for x in LEET.get(c, "")]
+    return out + [(x, ANY) for x in model.letters] if c in MASKS else out
+
+
+def again(token: str, at: int) -> float | None:
+    """What it costs that the character repeats the letter before it, if it can."""
+    c = token[at]
+    if not at or c != token[at - 1]:
+        return None
+    return AGAIN if token[at - 2 : at] == c + c or token[at + 1 : at + 2] == c else TWICE
+
+
+def few_paths(token: str, model: CharModel, a: int = 0, b: int = 0) -> tuple[float, str]:
+    """Viterbi decoding over the two last letters, of which the first are a and b, for tokens whose characters stand for few letters."""
     log, of = model.log, model.of
-    states = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(a, b): (0.0, (None, "") if b else None)}
     for at, c in enumerate(token):
-        options: list[tuple[str, float]] = []
-        if c.isalpha():
-            options.append((c, SAME))
-        options += [(x, SWAP) for x in LEET.get(c, "")]
-        if c in MASKS:
-            options += [(x, ANY) for x in model.letters]
-        grown: dict[tuple[int, int], tuple[float, str]] = {}
-
-        def put(state: tuple[int, int], p: float, text: str) -> None:
+        options = [(x, cost, of(x)) for x, cost in choices(c, model)]
+        repeat, nothing = again(token, at), None if c.isalpha() else LOST if c in LEET else NOTHING
+        grown: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+
+        def put(state: tuple[int, int], p: float, path: tuple | None, last: str = "") -> None:
             if state not in grown or p > grown[state][0]:
-                grown[state] = (p, text)
+                grown[state] = (p, (path, last) if last else path)
+
+        for (a, b), (p, path) in states.items():
+            for x, cost, k in options:
+                put((b, k), p + cost + log[a, b, k], path, x)
+            if nothing is not None:
+                put((a, b), p + nothing, path)
+            if repeat is not None and path:
+                put((a, b), p + repeat, path)
+        states = grown
+    best, _, path = max(((p + log[a, b, 0], (a, b), path) for (a, b), (p, path) in states.items()), key=lambda x: x[:2])
+    text = []
+    while path:
+        path, x = path
+        text.append(x)
+    return float(best), "".join(reversed(text))
+
+
+def many_paths(token: str, model: CharModel, a: int = 0, b: int = 0) -> tuple[float, str]:
+    """The same for tokens with masks, best first.
+
+    The bound on what is left to come knows one letter and the rest of the token, so no state that may win is left out.
+    """
+    log, of, size, tables = model.log, model.of, len(token), model.tables
+    if len(tables) > 1000:
+        tables.clear()
+    bound = np.empty((size + 1, len(log)))
+    bound[size] = model.most[:, 0]
+    steps = []
+    for at in range(size - 1, -1, -1):
+        c, after = token[at], bound[at + 1]
+        best = np.full(len(log), -np.inf)
+        if c not in tables:
+            options = choices(c, model)
+            ks = [of(x) for x, _ in options]
+            cost = np.array([cost for _, cost in options])
+            tables[c] = options, ks, cost, model.most[:, ks] + cost
+        options, ks, cost, most = tables[c]
+        if options:
+            best = (most + after[ks]).max(axis=1)
+        nothing, repeat = None if c.isalpha() else LOST if c in LEET else NOTHING, again(token, at)
+        if nothing is not None:
+            best = np.maximum(best, after + nothing)
+        if repeat is not None:
+            best[1:] = np.maximum(best[1:], after[1:] + repeat)
+        bound[at] = best
+        steps.append((options, ks, cost, nothing, repeat))
+    steps.reverse()
+    push = heapq.heappush
+    heap: list[tuple] = [(-float(bound[0, b]), 0, a, b, 0, 0.0, (None, "") if b else None)]
+    done, made = set(), 0
+    while True:
+        _, left, a, b, _, p, path = heapq.heappop(heap)
+        at = -left
+        if at > size:
+            break
+        if (at, a, b) in done:
+            continue
+        done.add((at, a, b))
+        made += 1
+        if at == size:
+            end = p + float(log[a, b, 0])
+            push(heap, (-end, -at - 1, a, b, made, end, path))
+            continue
+        options, ks, cost, nothing, repeat = steps[at]
+        after = bound[at + 1]
+        if options:
+            grown = p + cost + log[a, b, ks]
+            whole = grown + after[ks]
+            for (x, _), k, q, f in zip(options, ks, grown.tolist(), whole.tolist()):
+                made += 1
+                push(heap, (-f, left - 1, b, k, made, q, (path, x)))
+        if repeat is not None and path:
+            nothing = repeat if nothing is None else max(nothing, repeat)
+        if nothing is not None:
+            made += 1
+            push(heap, (-(p + nothing + float(after[b])), left - 1, a, b, made, p + nothing, path))
+    text = []
+    while path:
+        path, x = path
+        text.append(x)
+    return p, "".join(reversed(text))
+
+
+def likeliest(token: str, model: CharModel) -> tuple[float, str]:
+    """The log probability and the letters of the likeliest reading of a token, over all states.
+
+    The letters before the first choice have one path. What follows them depends on the last two only and is remembered.
+    """
+    a = b = head = 0
+    sure = 0.0
+    while head < len(token) and token[head].isalpha() and (not head or token[head] != token[head - 1]):
+        k = model.of(token[head])
+        sure, a, b = sure + SAME + float(model.log[a, b, k]), b, k
+        head += 1
+    if head < len(token) and token[head].isalpha():
+        sure, a, b, head = 0.0, 0, 0, 0
+    rest = token[head:]
+    found = model.tails.get((rest, a, b))
+    if found is None:
+        found = (many_paths if any(c in MASKS for c in rest) else few_paths)(rest, model, a, b)
+        if len(rest) <= 12:
+            if len(model.tails) >= REMEMBERED:
+                model.tails.clear()
+            model.tails[rest, a, b] = found
+    return sure + found[0], token[:head] + found[1]
 
-        for (a, b), (p, text) in states.items():
-            for x, cost in options:
-                k = of(x)
-                put((b, k), p + cost + log[a, b, k], text + x)
-            if not c.isalpha():
-                put((a, b), p + (LOST if c in LEET else NOTHING), text)
-            if at and c == token[at - 1] and text:
-                put((a, b), p + (AGAIN if token[at - 2 : at] == c + c or token[at + 1 : at + 2] == c else TWICE), text)
-        states = dict(sorted(grown.items(), key=lambda kv: -kv[1][0])[:BEAM]) if len(grown) > BEAM else grown
-    return max((p + log[a, b, 0], text) for (a, b), (p, text) in states.items())[1] if states else ""
+
+def decode(token: str, model: CharModel) -> str:
+    """The likeliest letters behind a token."""
+    return likeliest(token, model)[1]
+
+
+def spoken(word: str, model: CharModel) -> float:
+    """The log probability of a word of plain letters."""
+    k = [0, 0, *map(model.of, word), 0]
+    return len(word) * SAME + float(model.log[k[:-2], k[1:-1], k[2:]].sum())
+
+
+def punctuation(before: str, after: str) -> float:
+    """What it costs that the signs at a token's edges are no letters; common after a word are ! and masks."""
+    cost = 0.0
+    for signs in (before, after):
+        for i, c in enumerate(signs):
+            usual = c in MASKS or c == "!" and signs is after or c not in LEET
+            cost += LOST if not usual else AGAIN if i and signs[i - 1] == c else NOTHING
+    return cost
 
 
 class Restorer:
@@ -133,38 +271,51 @@ class Restorer:
     def __init__(self, model: CharModel):
         self.model, self.known = model, {}
 
-    def word(self, token: str) -> str:
-        """The restored word of one lower-case token, perhaps empty."""
+    def readings(self, token: str) -> list[str]:
+        """The readings of one lower-case token, the likeliest first: without the signs at its edges, and with them if that is likelier."""
         if token.isalpha() and not REPEAT.search(token):
-            return token
-        core = EDGE.sub("", token)
+            return [token]
+        lead, core = OUTER.sub("", token), EDGE.sub("", token)
+        if not LETTER.search(lead):
+            # signs alone: perhaps letters all, more likely none
+            return ["", decode(lead, self.model)] if SIGN.search(lead) else []
         if core.isalpha() and not REPEAT.search(core):
-            return core
-        # a sign at an edge may be a letter too
-        lead = token.strip(".,;:!?\"'()[]{}<>-*#%_&")
-        return decode(lead, self.model) if re.search(r"[^\W\d_]", lead) else ""
+            plain, word = None, core
+        else:
+            plain, word = likeliest(core, self.model)
+        if lead == core:
+            return [word]
+        at = lead.index(core)
+        as_signs = (spoken(word, self.model) if plain is None else plain) + punctuation(lead[:at], lead[at + len(core) :])
+        as_letters, other = likeliest(lead, self.model)
+        return [other, word] if as_letters > as_signs + 1e-9 else [word]
+
+    def word(self, token: str) -> str:
+        """The restored word of one lower-case token, perhaps empty."""
+        return next(iter(self.readings(token)), "")
 
     def words(self, text: str | None) -> set[str]:
-        """The restored words of a text."""
+        """The restored words of a text, each with its readings."""
         low = (text or "").lower()
         out = set()
         for token in set(low.split()):
-            w = self.known.get(token)
-            if w is None:
+            found = self.known.get(token)
+            if found is None:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
-                w = self.known[token] = self.word(token)
-            out.add(w)
+                found = self.known[token] = self.readings(token)
+            out.update(found)
         for m in SPELT.finditer(low):
-            run = re.sub(r"[ .*_-]", "", m.group())
+            run = BETWEEN.sub(r"\1", m.group())
             # a one-letter word may stand at either end of a spelt one
-            out.update(map(self.word, (run, run[1:], run[:-1], run[1:-1])))
+            for part in (run, run[1:], run[:-1], run[1:-1]):
+                out.update(self.readings(part))
         out.discard("")
         return out
 
     def restore(self, text: str | None) -> str:
         """The text with restored words, in order, single-spaced; for reading."""
-        low = SPELT.sub(lambda m: re.sub(r"[ .*_-]", "", m.group()), (text or "").lower())
+        low = SPELT.sub(lambda m: BETWEEN.sub(r"\1", m.group()), (text or "").lower())
         return " ".join(w for w in map(self.word, low.split()) if w)
 
 

@@ -193,6 +193,39 @@ def test_toxicity_learns_and_restores(spark):
     assert len(toxicity.toxicity(docs.where("false"), labels.where("false")).collect()) == 0
 
 
+def small_model():
+    words = "the house stands by a green river and stones walk quiet in morning some are idiot stupid moron scum wanker ass pass class".split()
+    counts = np.zeros(28**3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for w in words:
+        k = [0, 0, *(letters.index(c) + 1 for c in w), 0]
+        for a, b, c in zip(k, k[1:], k[2:]):
+            counts[(a * 28 + b) * 28 + c] += 20
+    return toxicity.CharModel(letters, counts)
+
+
+def test_toxicity_reads_signs_at_edges_and_spelt_words():
+    restore = toxicity.Restorer(small_model())
+    want = {"$tupid": "stupid", "!diot": "idiot", "*diot": "idiot", "a$$": "ass", "@ss": "ass", "(!diot),": "idiot"}
+    assert {k: restore.word(k) for k in want} == want
+    assert restore.word("house!") == "house" and restore.word("house!!!") == "house" and restore.word("2024") == "" and restore.word("****") == ""
+    assert "ass" in restore.words("@$$")
+    for text, word in (("s c u m!", "scum"), ("(i d i o t)", "idiot"), ("i d i o t.", "idiot"), ("$ t u p i d", "stupid"), ("w @ n k e r", "wanker"), ("i  d  i  o  t", "idiot"), ("y o u  i d i o t", "idiot"), ("i * i o t", "idiot")):
+        assert word in restore.words(text), text
+
+
+def test_toxicity_decodes_without_a_beam():
+    model, rng = small_model(), random.Random(8)
+    for _ in range(200):
+        token = "".join(rng.choice("aiostd01!$-.43@") for _ in range(rng.randint(1, 12)))
+        a, b = toxicity.few_paths(token, model), toxicity.many_paths(token, model)
+        assert abs(a[0] - b[0]) < 1e-9
+    for _ in range(3):
+        token = "".join(rng.choice("aiost*#") for _ in range(5)) + "**"
+        assert abs(toxicity.few_paths(token, model)[0] - toxicity.many_paths(token, model)[0]) < 1e-9
+    assert toxicity.decode("id*ot" + "-id*ot" * 120, model).count("idiot") == 121
+
+
 def test_html_rules():
     long = "this is the text of a long paragraph and it has many of the words "
     page = f"<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=x>menu</a></nav><div class='cookie-notice'>We use cookies</div><article><header><h1>Title &amp; more</h1></header><p>{long * 2}<p>short</p><div class='ad'>buy</div><ul><li>one\n two</li></ul></article><section id=comments><p>{long * 2}</p></section><footer>&copy; x</footer></body></html>"
