@@ -5,6 +5,10 @@ token-position rows, one for each byte. A recursive query joins the adjacent row
 the merge table, contracts the piece's leftmost pair of minimum rank and repeats until no piece
 has a pair left. An ordered aggregation of the tokens' bytes decodes.
 
+The recursive query keeps the rows of all its steps, about half the square of a piece's bytes. So a piece of over
+RECURSIVE bytes has a table of its current tokens, which each step replaces: it contracts the pairs of minimum rank
+from the left, all at once where no pair that this makes can have a lower rank, else the first of them.
+
 Pieces that a Python worker has met are remembered between batches, in two generations of bounded
 size, so that a frequent piece is merged once; a forgotten piece is merged again.
 """
@@ -29,6 +33,9 @@ from .common import claim, text_slices
 #: Pieces merged by one query, and pieces and words remembered in one generation.
 PIECES_PER_QUERY, PIECES_KEPT = 10_000, 100_000
 
+#: Bytes of a piece, and rows of all its pieces' steps, up to which the recursive query is used.
+RECURSIVE, ROWS_PER_QUERY = 256, 1_000_000
+
 #: Places count on through all pieces of a query, with a gap after each, so the next place is the next token of
 #: the piece or nobody's; a contraction moves the places after it up by one.
 MERGE = """
@@ -46,6 +53,24 @@ SELECT w, list(tok ORDER BY pos) AS ids, string_agg(hx, '' ORDER BY pos) AS hx
 FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) JOIN vocab ON id = tok
 GROUP BY w
 """
+#: The first table and each step of a long piece: place, token, and the rank of its pair with the next token.
+LONG = """
+CREATE OR REPLACE TABLE long AS
+SELECT pos, tok, m FROM (SELECT pos, tok, lead(tok) OVER (ORDER BY pos) AS after FROM start) LEFT JOIN merges ON lr = tok::BIGINT * 4294967296 + after
+"""
+CONTRACT = """
+CREATE OR REPLACE TABLE long AS
+WITH hit AS (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS run FROM long WHERE m = $rank),
+picked AS (SELECT pos FROM (SELECT pos, row_number() OVER (PARTITION BY run ORDER BY pos) AS k FROM hit) WHERE k % 2 = 1 ORDER BY pos LIMIT $most),
+kept AS (
+  SELECT long.pos AS place, CASE WHEN p.pos IS NULL THEN tok ELSE $rank END AS tok, m, p.pos IS NOT NULL AS made
+  FROM long LEFT JOIN picked p ON p.pos = long.pos LEFT JOIN picked q ON q.pos + 1 = long.pos WHERE q.pos IS NULL),
+next AS (
+  SELECT row_number() OVER w AS pos, tok, lead(tok) OVER w AS after, m, made OR coalesce(lead(made) OVER w, false) AS fresh
+  FROM kept WINDOW w AS (ORDER BY place)),
+ranked AS (SELECT pos, merges.m FROM (SELECT pos, tok::BIGINT * 4294967296 + after AS lr FROM next WHERE fresh) JOIN merges USING (lr))
+SELECT pos, tok, CASE WHEN fresh THEN ranked.m ELSE next.m END AS m FROM next LEFT JOIN ranked USING (pos)
+"""
 #: The characters of Unicode's White_Space property; the standard re module's class has four more.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space of two or more characters with a space in it: pieces may cross a space there.
@@ -87,6 +112,7 @@ class Coder:
         self.old_words: dict[str, tuple[bytes, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
         rows = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.one_by_one = {x for a, b, m in rows for x in (a, b) if m < x}
         self.db.register("rows", pa.table({n: pa.array([r[i] for r in rows], pa.int32()) for i, n in enumerate("lrm")}))
         self.db.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hx": [t.hex() for t in ranks]}))
         self.db.execute("CREATE TABLE merges AS SELECT l::BIGINT * 4294967296 + r AS lr, m FROM rows")
@@ -94,23 +120,44 @@ class Coder:
         self.db.unregister("rows")
         self.db.unregister("tokens")
 
+    def start(self, raw: list[bytes]) -> pa.Table:
+        size = np.array(list(map(len, raw)))
+        w = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+        return pa.table({"w": w, "pos": np.arange(size.sum(), dtype=np.int64) + w, "tok": self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]})
+
+    def learn_long(self, piece: str) -> None:
+        """Merge one piece of any length; only its current tokens are held."""
+        self.db.register("start", self.start([piece.encode()]))
+        self.db.execute(LONG)
+        self.db.unregister("start")
+        while (rank := self.db.execute("SELECT min(m) FROM long").fetchone()[0]) is not None:
+            self.db.execute(CONTRACT, {"rank": rank, "most": 1 if rank in self.one_by_one else len(piece) * 4})
+        ids, hx = self.db.execute("SELECT list(tok ORDER BY pos), string_agg(hx, '' ORDER BY pos) FROM long JOIN vocab ON id = tok").fetchone()
+        self.db.execute("DROP TABLE long")
+        self.new[piece] = (np.array(ids, dtype=np.int32).tobytes(), bytes.fromhex(hx))
+
     def learn(self, pieces: list[str]) -> None:
         """Merge pieces that are not remembered."""
-        for at in range(0, len(pieces), PIECES_PER_QUERY):
-            part = pieces[at : at + PIECES_PER_QUERY]
-            raw = [p.encode() for p in part]
-            size = np.array(list(map(len, raw)))
-            start = pa.table(
-                {
-                    "w": (w := np.repeat(np.arange(len(raw), dtype=np.int32), size)),
-                    "pos": np.arange(size.sum(), dtype=np.int64) + w,
-                    "tok": self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)],
-                }
-            )
-            self.db.register("start", start)
-            for w, ids, hx in self.db.execute(MERGE).fetchall():
-                self.new[part[w]] = (np.array(ids, dtype=np.int32).tobytes(), bytes.fromhex(hx))
-            self.db.unregister("start")
+        part: list[str] = []
+        rows = 0
+        for piece in pieces:
+            size = len(piece.encode())
+            if size > RECURSIVE:
+                self.learn_long(piece)
+                continue
+            part.append(piece)
+            rows += size * (size + 1) // 2
+            if len(part) == PIECES_PER_QUERY or rows > ROWS_PER_QUERY:
+                self.learn_short(part)
+                part, rows = [], 0
+        if part:
+            self.learn_short(part)
+
+    def learn_short(self, part: list[str]) -> None:
+        self.db.register("start", self.start([p.encode() for p in part]))
+        for w, ids, hx in self.db.execute(MERGE).fetchall():
+            self.new[part[w]] = (np.array(ids, dtype=np.int32).tobytes(), bytes.fromhex(hx))
+        self.db.unregister("start")
 
     def recall(self, pieces: set[str]) -> None:
         """Have all pieces in self.new."""
