@@ -96,6 +96,13 @@ def normalize_names(spark, sf):
     return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.normalize_name_alnum(x).alias("alnum"), (F.length(t.normalize_name_abbrev(x)) > 0).alias("has_name"))
 
 
+@query("normalize_names_whole", r"SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[^\p{L}\p{M}\p{Nd}]+', ' ', 'g')) AS alnum, length(trim(regexp_replace(lower(text), '[\s(),;:]+', ' ', 'g'))) > 0 AS has_name FROM documents")
+def normalize_names_whole(spark, sf):
+    """As normalize_names, over whole texts."""
+    x = F.col("text")
+    return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.normalize_name_alnum(x).alias("alnum"), (F.length(t.normalize_name_abbrev(x)) > 0).alias("has_name"))
+
+
 SHEET = """SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN 'Итого' WHEN 1 THEN 'Муниципальная программа' WHEN 2 THEN 'Подпрограмма 1' WHEN 3 THEN 'Основное мероприятие 01' WHEN 4 THEN 'Мероприятие 01.02' WHEN 5 THEN 'Школа' ELSE '' END AS name,
   CASE WHEN o_orderkey % 8 IN (4, 5) THEN concat('10', o_orderkey % 9 + 1, '0102') ELSE '' END AS measure, CASE o_orderkey % 8 WHEN 5 THEN CAST(o_custkey AS STRING) WHEN 6 THEN '0000000000.0000000000' ELSE '' END AS object_code FROM orders"""
 
@@ -160,6 +167,13 @@ def scrub_text(spark, sf):
     return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.scrub_text(x, [("the", "a"), ("[%*#$&]+", "")]).alias("scrubbed"), x.rlike("idiot|scum").alias("forbidden"))
 
 
+@query("scrub_text_whole", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), 'the', 'a', 'g'), '[%*#$&]+', '', 'g') AS scrubbed, contains(lower(text), 'idiot') OR contains(lower(text), 'scum') AS forbidden FROM documents")
+def scrub_text_whole(spark, sf):
+    """As scrub_text, over whole texts."""
+    x = F.lower("text")
+    return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.scrub_text(x, [("the", "a"), ("[%*#$&]+", "")]).alias("scrubbed"), x.rlike("idiot|scum").alias("forbidden"))
+
+
 @query("meaningful_tokens", "SELECT p_partkey AS id, len(list_filter(list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: length(w) > 1)) AS n FROM part")
 def meaningful_tokens(spark, sf):
     return bound(spark, sf, "SELECT p_partkey AS id, p_name FROM part").select("id", F.size(t.meaningful_tokens(F.col("p_name"))).cast("bigint").alias("n"))
