@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import match as x
 from ..operators import planning as q
-from .registry import bound, query, rows
+from .registry import ORACLES, bound, query, rows
 
 D = "DECIMAL(20,2)"
 SUM = f"CAST(sum(amount) AS {D})"
@@ -23,24 +23,24 @@ GLOBAL_SQL = f"l AS (SELECT group_key, {ONE.format('MATCH_EXACT_NAME_GLOBAL')} F
 OUT = "group_key, node_id, match_status, CAST(confidence AS DOUBLE) AS confidence"
 
 
-def sides(spark, sf):
+def sides(spark, sf, groups=GROUPS):
     n = x.named(bound(spark, sf, NODES), F.col("name")).withColumn("codes", F.array("code"))
-    return x.named(bound(spark, sf, GROUPS), F.col("name")), n
+    return x.named(bound(spark, sf, groups), F.col("name")), n
 
 
 @query("match_code", f"WITH {N_SQL}, {CODE_SQL} SELECT {OUT} FROM c")
-def match_code(spark, sf):
-    return x.match_code(*sides(spark, sf))
+def match_code(spark, sf, groups=GROUPS):
+    return x.match_code(*sides(spark, sf, groups))
 
 
 @query("match_exact", f"WITH {N_SQL}, {EXACT_SQL} SELECT {OUT} FROM e")
-def match_exact(spark, sf):
-    return x.match_exact_name(*sides(spark, sf))
+def match_exact(spark, sf, groups=GROUPS):
+    return x.match_exact_name(*sides(spark, sf, groups))
 
 
 @query("match_global", f"WITH {N_SQL}, {GLOBAL_SQL} SELECT {OUT} FROM l")
-def match_global(spark, sf):
-    return x.match_global_name(*sides(spark, sf))
+def match_global(spark, sf, groups=GROUPS):
+    return x.match_global_name(*sides(spark, sf, groups))
 
 
 @query(
@@ -49,36 +49,42 @@ def match_global(spark, sf):
     SELECT g.group_key, CASE WHEN c.group_key IS NOT NULL THEN c.node_id WHEN e.group_key IS NOT NULL THEN e.node_id ELSE l.node_id END AS node_id, coalesce(c.match_status, e.match_status, l.match_status, 'MISSING_IN_DOCX') AS match_status, CAST(coalesce(c.confidence, e.confidence, l.confidence, 0.0) AS DOUBLE) AS confidence
     FROM g LEFT JOIN c USING (group_key) LEFT JOIN e USING (group_key) LEFT JOIN l USING (group_key)""",
 )
-def match_cascade(spark, sf):
-    g, n = sides(spark, sf)
+def match_cascade(spark, sf, groups=GROUPS):
+    g, n = sides(spark, sf, groups)
     return x.match_cascade(g, [x.match_code(g, n), x.match_exact_name(g, n), x.match_global_name(g, n)])
 
 
 @query("parent_scope", f"SELECT group_key, count(*) AS candidates FROM ({GROUPS}) JOIN ({NODES}) USING (block) GROUP BY 1")
-def parent_scope(spark, sf):
-    g, n = sides(spark, sf)
+def parent_scope(spark, sf, groups=GROUPS):
+    g, n = sides(spark, sf, groups)
     return x.parent_scope(g.select("group_key", "block"), n.select("node_id", "block")).groupBy("group_key").agg(F.count("*").alias("candidates"))
 
 
 @query("match_fuzzy_greedy")
-def match_fuzzy_greedy(spark, sf):
-    return x.match_fuzzy(*sides(spark, sf), threshold=0.6)
+def match_fuzzy_greedy(spark, sf, groups=GROUPS):
+    return x.match_fuzzy(*sides(spark, sf, groups), threshold=0.6)
 
 
 @query("match_event_name")
-def match_event_name(spark, sf):
-    return x.match_event_name(*sides(spark, sf))
+def match_event_name(spark, sf, groups=GROUPS):
+    return x.match_event_name(*sides(spark, sf, groups))
 
 
 @query("match_residual_parent")
-def match_residual_parent(spark, sf):
-    g, n = sides(spark, sf)
+def match_residual_parent(spark, sf, groups=GROUPS):
+    g, n = sides(spark, sf, groups)
     return x.match_residual_parent(g, n.withColumn("is_leaf", F.col("p_size") > 10))
 
 
 PARENT = "SELECT concat('G', o_custkey) AS group_key, concat('C', o_custkey) AS parent_id, CAST(year(o_orderdate) AS INT) AS year, 'LOCAL_BUDGET' AS source_type, CAST(sum(CAST(o_totalprice AS DECIMAL(20,2))) AS DECIMAL(20,2)) AS amount FROM orders WHERE o_custkey % 3 <> 0 OR o_orderkey % 2 = 0 GROUP BY o_custkey, year(o_orderdate)"
 
 
+#: The same queries over the groups of all parts.
+OF_PARTS = " WHERE p_partkey % 3 <> 2"
+for _fn in (match_code, match_exact, match_global, match_cascade, parent_scope, match_fuzzy_greedy, match_event_name, match_residual_parent):
+    query(f"{_fn.__name__}_all", ORACLES.get(_fn.__name__, "").replace(OF_PARTS, "") or None)(lambda spark, sf, fn=_fn: fn(spark, sf, GROUPS.removesuffix(OF_PARTS)))
+
+
 @query(
     "match_residual_total",
     f"""WITH w AS ({PARENT}), h AS (SELECT node_id, year, source_type, {SUM} AS have FROM current GROUP BY ALL),
@@ -149,6 +155,13 @@ def find_candidates(spark, sf):
     return x.find_candidates(refs, x.named(parts.withColumn("node_id", F.concat(F.lit("P"), "p_partkey")), F.col("name")))
 
 
+@query("find_candidates_all", ORACLES["find_candidates"].replace(" WHERE p_partkey % 20 = 1", ""))
+def find_candidates_all(spark, sf):
+    """As find_candidates, for every part."""
+    parts = bound(spark, sf, "SELECT p_partkey, p_name AS name FROM part")
+    return x.find_candidates(x.named(parts.withColumnRenamed("p_partkey", "ref_id"), F.col("name")), x.named(parts.withColumn("node_id", F.concat(F.lit("P"), "p_partkey")), F.col("name")))
+
+
 @query("anchor_parent_score", "SELECT s_suppkey AS ref_id, concat('N', s_nationkey) AS p_id, CAST(9 AS INT) AS score FROM supplier")
 def anchor_parent_score(spark, sf):
     refs = bound(spark, sf, "SELECT s_suppkey AS ref_id, n_regionkey AS block, concat('A', s_nationkey) AS code, s_nationkey AS number FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -249,6 +262,12 @@ def recent_mention(spark, sf):
     return q.recent_mention(bound(spark, sf, "SELECT conv_id, turn, text FROM conversations"), names)
 
 
+@query("recent_mention_all", ORACLES["recent_mention"].replace(" WHERE item_id < 10", ""))
+def recent_mention_all(spark, sf):
+    """As recent_mention, with all names."""
+    return q.recent_mention(bound(spark, sf, "SELECT conv_id, turn, text FROM conversations"), bound(spark, sf, "SELECT item_id AS name_id, text AS name FROM benchmark"))
+
+
 @query("search_chunks", "SELECT doc_id AS chunk_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'worthless') OR contains(lower(source), 'license') OR contains(lower(source), 'worthless') ORDER BY n_chars DESC, doc_id DESC LIMIT 50")
 def search_chunks(spark, sf):
     chunks = bound(spark, sf, "SELECT doc_id AS chunk_id, source AS title, text AS content, n_chars AS created_at FROM documents")
