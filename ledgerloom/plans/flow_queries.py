@@ -115,3 +115,14 @@ def instructions_to_items(spark, sf):
     c = F.col("command")
     missing = F.array_compact(F.array(F.when(F.size(text.instruction_years(c)) == 0, "year"), F.when(money.extract_last_amount(c).isNull(), "amount")))
     return df.select("command_id", F.array_join(missing, ",").alias("missing"))
+
+
+@query("instructions_to_items_all", "SELECT o_orderkey AS command_id, CASE WHEN o_orderkey BETWEEN 2000 AND 2099 THEN 'amount' ELSE CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'year' ELSE 'amount' END END AS missing FROM orders")
+def instructions_to_items_all(spark, sf):
+    """As instructions_to_items, with the amounts that look like years: 20xx is a year and no amount."""
+    from ..functions import money, text
+
+    df = bound(spark, sf, "SELECT o_orderkey AS command_id, CASE o_orderkey % 3 WHEN 0 THEN concat('Установить ', o_orderkey, ' в 2026') WHEN 1 THEN concat('Установить ', o_orderkey) ELSE 'Установить в 2026' END AS command FROM orders")
+    c = F.col("command")
+    missing = F.array_compact(F.array(F.when(F.size(text.instruction_years(c)) == 0, "year"), F.when(money.extract_last_amount(c).isNull(), "amount")))
+    return df.select("command_id", F.array_join(missing, ",").alias("missing"))

@@ -216,3 +216,9 @@ def build_tree(spark, sf):
 def build_patch(spark, sf):
     pages = bound(spark, sf, CHANGES.replace(" тыс. руб", " тыс руб").replace("FROM orders", "FROM orders WHERE o_orderkey NOT BETWEEN 1900 AND 2099"))
     return g.build_patch(pages).select("doc_id", "object_name", "year", "page_number")
+
+
+@query("build_patch_all", "SELECT o_custkey AS doc_id, concat('Школа ', o_custkey) AS object_name, CAST(CASE WHEN o_orderkey BETWEEN 1900 AND 2099 THEN o_orderkey ELSE 2026 END AS INT) AS year, min(o_orderkey) AS page_number FROM orders GROUP BY ALL")
+def build_patch_all(spark, sf):
+    """As build_patch, with the amounts that look like years, which count as the year."""
+    return g.build_patch(bound(spark, sf, CHANGES.replace(" тыс. руб", " тыс руб"))).select("doc_id", "object_name", "year", "page_number")
