@@ -2,10 +2,10 @@
 
 A page is cut into blocks at block-level tags. The first pass decides what it can from a block's own
 features and the containers around it: furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, comments), its share of linked characters, its share of stop words and its length; a
-block inside the page's article that is no furniture is content. Short blocks without a
-telling container are left open. The second pass gives an open block the label of its nearest
-decided neighbours: both content, or one content and the other at least not furniture.
+forms, comments), its share of linked characters, its share of stop words and its length; the thresholds are lower
+inside the page's article and higher outside of it. Short blocks without a telling container are left open. The
+second pass gives an open block the label of its nearest decided neighbours: both content, or one content and the
+other at least not furniture. A short block inside the article is content unless it stands between the article's furniture.
 """
 
 from __future__ import annotations
@@ -122,13 +122,12 @@ def classify(found: list[Block]) -> None:
     for b in found:
         words = b.text.split()
         stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / max(1, len(words))
-        if b.furniture or b.linked > LINKED * len(b.text) and not b.article or "©" in b.text and not b.article:
+        outside = has_article and not b.article
+        if b.furniture or b.linked > LINKED * len(b.text) or "©" in b.text and not b.article:
             b.label = "furniture"
         elif b.article:
-            b.label = "content"
-        elif has_article:
-            b.label = "furniture"
-        elif len(b.text) < SHORT:
+            b.label = "content" if len(b.text) >= SHORT and stops >= STOP_LOW else "held"
+        elif len(b.text) < (2 * SHORT if outside else SHORT):
             b.label = "open"
         elif stops >= STOP_HIGH:
             b.label = "content"
@@ -140,16 +139,19 @@ def classify(found: list[Block]) -> None:
 
     def nearest(i: int, step: int) -> str:
         i += step
-        while 0 <= i < len(found):
+        held = first[i - step] == "held"
+        while 0 <= i < len(found) and (found[i].article or not held):
             if first[i] in ("content", "furniture"):
                 return first[i]
             i += step
         return "edge"
 
     for i, b in enumerate(found):
-        if b.label in ("open", "likely"):
+        if b.label in ("open", "likely", "held"):
             around = {nearest(i, -1), nearest(i, 1)}
-            if b.label == "likely":
+            if b.label == "held":
+                b.label = "content" if around != {"furniture"} else "furniture"
+            elif b.label == "likely":
                 b.label = "content" if around != {"furniture"} else "furniture"
             else:
                 b.label = "content" if "content" in around and "furniture" not in around else "furniture"
