@@ -74,7 +74,17 @@ def test_components_of_a_path(spark):
 
 def test_line_dedup_equals_brute_force(spark, corpus):
     want = {i: ",".join(map(str, k)) for i, k in linejoin.brute_force(corpus).items()}
-    assert {r.doc_id: r.kept_lines for r in linejoin.report(docs_of(spark, corpus.items())).collect()} == want
+    # usual buckets; words over several blocks; buckets handed back again and again
+    for how in ({}, {"hot": 1}, {"bucket": 50, "hot": 2, "big": 40}, {"hot": 10**9, "bucket": 10**9, "big": 60}):
+        assert {r.doc_id: r.kept_lines for r in linejoin.report(docs_of(spark, corpus.items()), **how).collect()} == want
+
+
+def test_line_dedup_verifies_what_the_best_candidates_leave(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(12)]
+    texts = {i: "\n".join(" ".join(rng.sample(vocab, rng.randint(4, 9))) for _ in range(3)) for i in range(60)}
+    want = {i: ",".join(map(str, k)) for i, k in linejoin.brute_force(texts).items()}
+    assert {r.doc_id: r.kept_lines for r in linejoin.report(docs_of(spark, texts.items()), kept=1).collect()} == want
 
 
 def test_line_dedup_removes_later_matches(spark):
