@@ -51,8 +51,10 @@ BYTE_HASH = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 NULL_ID = -(1 << 63)
+#: Words from which a set has a bitmap of 128 bits instead of 64.
+WIDE = 48
 #: A posting's columns as they are packed: side tells the block of its word's blocks, two bits for each dealing.
-POSTING = np.dtype([("word", "<u4"), ("n", "<i4"), ("place", "<i4"), ("side", "<u4"), ("line", "<i4"), ("doc", "<i8"), ("cls", "<i8"), ("map", "<u8")])
+POSTING = np.dtype([("word", "<u4"), ("n", "<i4"), ("place", "<i4"), ("side", "<u4"), ("line", "<i4"), ("doc", "<i8"), ("cls", "<i8"), ("map0", "<u8"), ("map1", "<u8")])
 CODEC = "zstd"
 
 
@@ -197,6 +199,14 @@ def sets_of(lines: list[bytes], rank: np.ndarray) -> Iterator[tuple[int, np.ndar
         yield at, n, key & np.uint64((1 << (64 - LINE_BITS)) - 1), np.cumsum(n) - n
 
 
+def bitmaps(word: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of each set's words over 64 bits; of a wide set over 128, whose halves together are those over 64."""
+    bit = np.uint64(1) << ((word >> np.uint64(3)) & np.uint64(63))
+    every = np.bitwise_xor.reduceat(bit, start)
+    half = np.where(n > WIDE, np.bitwise_xor.reduceat(np.where((word >> np.uint64(9)) & np.uint64(1) == 1, bit, np.uint64(0)), start), np.uint64(0))
+    return every ^ half, half
+
+
 def in_filter(bits: np.ndarray | None, values: np.ndarray) -> np.ndarray:
     """Whether values may be in a filter; all are in no filter."""
     if bits is None:
@@ -266,12 +276,12 @@ def posting_batches(batches: Iterator[pa.RecordBatch], order: Order, least: floa
         for at, n, word, start in sets_of(lines, order.rank):
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(word)) - start[row]
-            maps = np.bitwise_xor.reduceat(np.uint64(1) << ((word >> np.uint64(3)) & np.uint64(63)), start)
+            map0, map1 = bitmaps(word, start, n)
             use = place < (n - need(n, least) + 1)[row]
             key = mixed(word[use] & np.uint64((1 << HASH_BITS) - 1))
             row, place, blocks = row[use], place[use], order.blocks[(word[use] >> np.uint64(HASH_BITS)).astype(np.int64)]
             rows = np.zeros(len(row), dtype=POSTING)
-            for name, values in (("n", n[row]), ("place", place), ("line", number[at + row]), ("doc", doc[at + row]), ("cls", cls[at + row]), ("map", maps[row])):
+            for name, values in (("n", n[row]), ("place", place), ("line", number[at + row]), ("doc", doc[at + row]), ("cls", cls[at + row]), ("map0", map0[row]), ("map1", map1[row])):
                 rows[name] = values
             if (blocks > 1).any():
                 rows, key = over_blocks(rows, key, blocks, 0)
@@ -336,12 +346,12 @@ def candidate_batches(batches: Iterator[pa.RecordBatch], least: float, undecided
 def pairs_in(rows: np.ndarray, least: float, undecided: np.ndarray | None, level: int, kept: int = KEPT) -> Iterator[pa.RecordBatch]:
     """Sorted by word and size, each posting meets those after it while their sizes are near enough; pairs are made in blocks."""
     rows = once(rows)
-    word, n, place, side, line, doc, cls, maps = (np.ascontiguousarray(rows[name]) for name in POSTING.names)
-    n, place = n.astype(np.int64), place.astype(np.int64)
+    word, n, place, side, line, doc, cls, map0, map1 = (np.ascontiguousarray(rows[name]) for name in POSTING.names)
+    n, place, fold = n.astype(np.int64), place.astype(np.int64), map0 ^ map1
     group = np.cumsum(np.append(True, word[1:] != word[:-1])[: len(rows)])
     top = np.floor(n / least + 1e-9).astype(np.int64)
-    wide = int(n.max(initial=0)) + int(top.max(initial=0)) + 2
-    many = np.searchsorted(group * wide + n, group * wide + top, side="right") - np.arange(len(rows)) - 1
+    span = int(n.max(initial=0)) + int(top.max(initial=0)) + 2
+    many = np.searchsorted(group * span + n, group * span + top, side="right") - np.arange(len(rows)) - 1
     stop = np.cumsum(many)
     asked = in_filter(undecided, cls)
     seen, late_kept, score_kept, at = np.zeros(len(rows), np.int64), [], [], 0
@@ -361,9 +371,12 @@ def pairs_in(rows: np.ndarray, least: float, undecided: np.ndarray | None, level
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to])
         at = to
         overlap = np.ceil((n[i] + n[j]) * (least / (1 + least)) - 1e-9).astype(np.int64)
-        apart = np.bitwise_count(maps[i] ^ maps[j]).astype(np.int64)
         # one class comes twice where two of its words share a key
-        fits = (np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j]) >= overlap) & (apart <= n[i] + n[j] - 2 * overlap) & (cls[i] != cls[j])
+        fits = (np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j]) >= overlap) & (cls[i] != cls[j])
+        i, j, most = i[fits], j[fits], (n[i] + n[j] - 2 * overlap)[fits]
+        wide = np.bitwise_count(map0[i] ^ map0[j]).astype(np.int64) + np.bitwise_count(map1[i] ^ map1[j])
+        apart = np.where(np.minimum(n[i], n[j]) > WIDE, wide, np.bitwise_count(fold[i] ^ fold[j]))
+        fits = apart <= most
         i, j, apart = i[fits], j[fits], apart[fits]
         for k in range(level):
             x, y = (side[i] >> np.uint32(2 * k)) & np.uint32(3), (side[j] >> np.uint32(2 * k)) & np.uint32(3)
