@@ -11,27 +11,26 @@ ENDINGS = "ость ение ание ного ному ными ными ыми
 PLACEHOLDER_CODE = "0000000000.0000000000"
 SOURCE_LABELS = {
     "FEDERAL_BUDGET": ("Средства федерального бюджета", 10),
-    "REGIONAL_BUDGET": ("Средства регионального бюджета", 20),
+    "REGIONAL_BUDGET": ("Средства бюджета субъекта РФ", 20),
     "LOCAL_BUDGET": ("Средства местного бюджета", 30),
-    "MUNICIPAL_BUDGET": ("Средства муниципального бюджета", 40),
+    "DISTRICT_BUDGET": ("Средства муниципального бюджета", 40),
     "EXTRABUDGETARY": ("Внебюджетные средства", 50),
     "PRIVATE_FUNDS": ("Частные средства", 60),
     "OTHER_SOURCE": ("Иные источники", 70),
-    "UNKNOWN": ("Источник не определён", 99),
+    "UNKNOWN": ("Источник не определен", 99),
 }
 SOURCE_CELL_RULES = [
-    (r"^$", "UNKNOWN"), (r"^900100", "LOCAL_BUDGET"), (r"^900203", "FEDERAL_BUDGET"), (r"^90030[24]", "REGIONAL_BUDGET"),
+    (r"^$", "UNKNOWN"), (r"^900100$", "LOCAL_BUDGET"), (r"^900203$", "FEDERAL_BUDGET"), (r"^90030[24]$", "REGIONAL_BUDGET"),
     (r"федерал", "FEDERAL_BUDGET"), (r"собственн.*бюджет", "LOCAL_BUDGET"), (r"инвестор|концессион|частн|собственн.*средств", "PRIVATE_FUNDS"),
     (r"внебюдж", "EXTRABUDGETARY"), (r"иные? источник|прочие? источник", "OTHER_SOURCE"),
-    (r"местн|муниципальн.*округ|городск.*округ|муниципальн.*образован|поселен", "LOCAL_BUDGET"), (r"муниципальн.*район|муниципальн.*бюджет", "MUNICIPAL_BUDGET"),
+    (r"местн|муниципальн.*округ|городск.*округ|муниципальн.*образован|поселен", "LOCAL_BUDGET"), (r"муниципальн.*район|муниципальн.*бюджет", "DISTRICT_BUDGET"),
     (r"московск|субъект|област|краев|республикан|региональн|ленинградск", "REGIONAL_BUDGET"), (r"средства бюджета", "LOCAL_BUDGET"),
 ]
 SOURCE_CATALOG_RULES = [
     (r"федерал", "FEDERAL_BUDGET"), (r"инвестор|концессион|частн|собственн.*средств", "PRIVATE_FUNDS"), (r"внебюдж", "EXTRABUDGETARY"),
-    (r"иные? источник|прочие? источник", "OTHER_SOURCE"), (r"муниципальн.*район|муниципальн.*образован|муниципальн.*бюджет", "MUNICIPAL_BUDGET"),
+    (r"иные? источник|прочие? источник", "OTHER_SOURCE"), (r"муниципальн.*район|муниципальн.*образован|муниципальн.*бюджет", "DISTRICT_BUDGET"),
     (r"местн|городск.*округ|поселен|средства бюджета", "LOCAL_BUDGET"), (r"московск|област|краев|республикан|субъект|региональн|ленинградск", "REGIONAL_BUDGET"),
 ]
-DOC_ROW_RULES = [(r"итого по подпрограмме", "SUBPROGRAM_TOTAL")]
 MODE_RULES = [
     (r"перенест[а-я]*.*с 20\d\d.*на 20\d\d", "transfer"), (r"исключить|обнулить|снять лимит|финансировани[ея] не предусмотр", "zeroing"),
     (r"увеличить на|добавить|дополнительно|увеличение на", "delta_plus"), (r"уменьшить на|сократить на|снижение на", "delta_minus"),
@@ -41,9 +40,22 @@ OPERATION_RULES = [
     (r"перенес|перенос", "transfer"), (r"обнул|исключ|убрать финансирован", "zero"), (r"уменьш|сниз|минус|вычти|сократ", "decrease"),
     (r"увелич|добав|прибав|плюс", "increase"), (r"установ|постав|замен|сделай|должн[ао] стать|новая сумма", "set_absolute"), (r"переимен|измени.*наименован", "rename"),
 ]
+#: Fixed: source modes and their other names.
+SOURCE_MODES = {
+    "auto": ["auto"], "xlsx_target": ["xlsx_target", "excel_target", "xlsx_finance", "excel", "xlsx"], "pdf_patch": ["pdf_patch", "pdf_agreement", "pdf"],
+    "manual_instruction": ["manual_instruction", "manual", "chat_instruction", "manual_chat_instruction"],
+    "xlsx_target_with_pdf_evidence": ["xlsx_target_with_pdf_evidence", "excel_target_with_pdf_evidence"],
+}
+# Requests that must not run come first, then checks, since they speak of programs and files, too.
 INTENT_RULES = [
-    (r"\?|что|какой|сколько|how|what", "question"), (r"сверк|reconcil|провер", "reconcile"), (r"примен|apply|выгруз", "apply"),
-    (r"измен|увелич|уменьш|обнул|change|set", "manual_change"), (r"отчет|report|покажи|show", "report"),
+    (r"^(привет|здравствуй(те)?|добрый (день|вечер)|hello|hi)([ ,.!]|$)", "smalltalk"), (r"удали|без проверки", "unknown"),
+    (r"контрольн\S* сумм|сходятся ли|не сход|несовпаден|расхожден|провер\S* сумм|сверь|сверк", "validate_control_sums"),
+    (r"ручн\S* (проверк|вставк)|спорн|требу\S* подтвержд", "show_pending"), (r"пересч\S* объект", "recalculate_object"), (r"провер\S* объект", "recheck_object"),
+    (r"подтверди|подтверждаю|выгруз|отчет|docx|word|скача", "generate_docx"), (r"главн\S* источник|приоритет", "choose_source_priority"),
+    (r"файл\S* .*сформирован|готов\S* документ", "list_generated_documents"), (r"(создай|подготовь) .*(проект изменений|changeset)", "create_change_set"),
+    (r"(покажи|какой) .*(проект изменений|changeset)", "show_changeset"), (r"сравн\S* .*(источник|excel|pdf)", "compare_sources"),
+    (r"объясни .*объект .*измен", "explain_object_change"), (r"поменял|почему|объясни", "explain_change"), (r"анализ|пересчита", "run_analysis"),
+    (r"провер\S* документ", "check_documents"), (r"найди|что такое|регламент", "search_knowledge_base"),
 ]
 
 
@@ -201,9 +213,15 @@ def trim_evidence(c: Column, limit: int = 500) -> Column:
 
 
 def normalize_mode(c: Column) -> Column:
-    """T21."""
-    t = folded(c)
-    return F.when(t.isin("target", "xlsx", "excel", "target_only"), "target_only").when(t.isin("patch", "pdf", "patch_only"), "patch_only").when(t.isin("manual", "ручной"), "manual").when(t.isin("target_with_evidence", "both"), "target_with_evidence").otherwise("auto")
+    """The mode of a name; null for blank and unknown ones."""
+    t = F.trim(c)
+    return F.coalesce(*(F.when(t.isin(*names), F.lit(mode)) for mode, names in SOURCE_MODES.items()))
+
+
+def status_label(c: Column) -> Column:
+    """T21's label of an item's status; unknown ones stay as they are."""
+    names = {"proposed": "Предложено", "confirmed": "Подтверждено", "rejected": "Отклонено", "applied": "Применено"}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[c], c)
 
 
 def scrub_text(c: Column, replacements: list[tuple[str, str]]) -> Column:
@@ -213,6 +231,12 @@ def scrub_text(c: Column, replacements: list[tuple[str, str]]) -> Column:
     return c
 
 
+def forbidden_terms(c: Column, terms: list[str]) -> Column:
+    """Those of the terms that the text holds, in the order of the list."""
+    t = folded(c)
+    return F.filter(F.array(*map(F.lit, terms)), lambda x: t.contains(x))
+
+
 def token_core(c: Column) -> Column:
     """One ending off where three letters remain."""
     return F.regexp_replace(c, "(?<=.{3})(" + "|".join(ENDINGS) + ")$", "")
@@ -239,8 +263,17 @@ def item_category(is_new: Column, mode: Column, is_residual: Column) -> Column:
 
 
 def intent_class(c: Column) -> Column:
-    """T29."""
-    return rules(folded(c), INTENT_RULES, "other")
+    """What a message asks for; unknown if no rule holds."""
+    return rules(folded(c), INTENT_RULES, "unknown")
+
+
+def intent_decision(c: Column) -> Column:
+    """T29 with arguments: intent, year, object_query (what follows "по", without a leading "объекту") and confidence."""
+    intent, t = intent_class(c), folded(c)
+    asked = F.nullif(F.trim(F.regexp_replace(F.regexp_extract(t, r"(?:^|\s)по\s+(.+)$", 1), r"^объекту\s+|[?!.]+$", "")), F.lit(""))
+    query = F.when(intent.isin("explain_change", "explain_object_change", "recheck_object", "recalculate_object"), asked)
+    year = F.regexp_extract(t, r"\b(20\d\d)\b", 1).try_cast("int")
+    return F.struct(intent.alias("intent"), year.alias("year"), query.alias("object_query"), F.when(intent == "unknown", 0.3).otherwise(0.9).alias("confidence"))
 
 
 def mode_from_text(c: Column) -> Column:

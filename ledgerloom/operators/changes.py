@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money as m
+from ..functions.text import normalize_mode
 from .tree import KEY, MONEY, total
 
 NODE_KEY = ["node_id", *KEY]
@@ -95,6 +96,26 @@ def resolve(items: DataFrame) -> DataFrame:
     return items.withColumn("resolution", status).withColumn("reason", reason)
 
 
+def resolve_policy(items: DataFrame, policy: Column, uploads: DataFrame | None = None) -> DataFrame:
+    """Conflicts by a policy, then resolve()'s rules.
+
+    xlsx_over_pdf and pdf_over_xlsx name the document type that wins, latest_uploaded takes the type of the set's newest
+    document (uploads: set_id, doc_type, uploaded_at, doc_id). In a conflict the winner's items lose the mark and the others
+    are excluded with reason source_priority; a conflict without an item of the winner stays one.
+    """
+    if uploads is not None:
+        newest = uploads.groupBy("set_id").agg(F.max_by("doc_type", F.struct("uploaded_at", "doc_id")).alias("__newest"))
+        items = items.join(newest, "set_id", "left")
+    else:
+        items = items.withColumn("__newest", F.lit(None).cast("string"))
+    winner = F.when(policy == "pdf_over_xlsx", "pdf_agreement").when(policy == "latest_uploaded", F.col("__newest")).otherwise("xlsx_finance")
+    items = items.withColumn("__winner", winner)
+    won = F.bool_or(F.col("doc_type") == F.col("__winner")).over(W.partitionBy("set_id", *NODE_KEY))
+    marked = items.withColumn("__settled", F.col("has_conflict") & F.coalesce(won, F.lit(False))).withColumn("__lost", F.col("__settled") & ~F.coalesce(F.col("doc_type") == F.col("__winner"), F.lit(False)))
+    out = resolve(marked.withColumn("has_conflict", F.col("has_conflict") & ~F.col("__settled")))
+    return out.withColumns({"resolution": F.when(F.col("__lost"), "excluded").otherwise(F.col("resolution")), "reason": F.when(F.col("__lost"), "source_priority").otherwise(F.col("reason"))}).drop("__newest", "__winner", "__settled", "__lost")
+
+
 def pick_source_priority(items: DataFrame, winner: Column) -> DataFrame:
     """In conflicts the chosen source's items lose the mark, the others are rejected."""
     kept = F.col("has_conflict") & winner
@@ -102,11 +123,15 @@ def pick_source_priority(items: DataFrame, winner: Column) -> DataFrame:
     return items.withColumn("status", F.when(lost, "rejected").otherwise(F.col("status"))).withColumn("has_conflict", F.col("has_conflict") & ~kept)
 
 
-def apply_amounts(lines: DataFrame, items: DataFrame, strict: bool = False) -> DataFrame:
-    """P10: an item sets its key's first line and leaves the others; keys without a line get one. strict puts the others to zero."""
+def apply_amounts(lines: DataFrame, items: DataFrame, strict: bool = False, order: str | None = None) -> DataFrame:
+    """P10: an item sets its key's first line and leaves the others; keys without a line get one. strict puts the others to zero.
+
+    Of several items of one key the last by `order` counts (without it, the largest amount), so lines keep their number.
+    """
     first = F.row_number().over(W.partitionBy(*NODE_KEY).orderBy("line_no", "line_id"))
     ranked = lines.withColumn("__rn", first)
-    new = items.select(*NODE_KEY, F.col("new_amount").cast(MONEY).alias("__new"))
+    last = F.struct(*([order] if order else []), "new_amount")
+    new = items.groupBy(*NODE_KEY).agg(F.max_by("new_amount", last).cast(MONEY).alias("__new"))
     joined = ranked.join(new, NODE_KEY, "left")
     rest = F.lit(0).cast(MONEY) if strict else F.col("amount")
     amount = F.when(F.col("__new").isNull(), F.col("amount")).when(F.col("__rn") == 1, F.col("__new")).otherwise(rest)
@@ -127,13 +152,20 @@ def new_object_lines(items: DataFrame, by: str) -> DataFrame:
 
 
 def resolve_parent(items: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A new object's parent: by its anchor, else by code, else by main activity; the lowest node id of the best stage."""
+    """A new object's parent: by its anchor, else by code, else by main activity, else by a code that one node of the
+    tree ends with (a shifted code), of the best stage; activities before main activities, then the lowest node id."""
+    kind = F.when(F.col("node_type") == "activity", 0).when(F.col("node_type") == "main_activity", 1).otherwise(2)
+    n = nodes.select(F.col("node_id").alias("parent"), "code", "node_type", kind.alias("kind"))
+    # a code without its subprogram digits; only such as one node has
+    tail = n.where("node_type <> 'object'").select("parent", "kind", F.substring("code", 4, 100).alias("tail")).where("tail <> ''").groupBy("tail").agg(F.count("*").alias("n"), F.min("parent").alias("parent"), F.min("kind").alias("kind")).where("n = 1")
     stages = [
-        items.join(nodes.select(F.col("node_id").alias("parent")), F.col("anchor") == F.col("parent")).select("item_id", "parent", F.lit(1).alias("stage")),
-        items.join(nodes.select(F.col("node_id").alias("parent"), "code"), F.col("parent_code") == F.col("code")).select("item_id", "parent", F.lit(2).alias("stage")),
-        items.join(nodes.where("node_type = 'main_activity'").select(F.col("node_id").alias("parent"), F.col("code").alias("main")), F.col("main_code") == F.col("main")).select("item_id", "parent", F.lit(3).alias("stage")),
+        items.join(n.select("parent", "kind"), F.col("anchor") == F.col("parent")),
+        items.join(n.select("parent", "kind", "code"), F.col("parent_code") == F.col("code")),
+        items.join(n.where("node_type = 'main_activity'").select("parent", "kind", F.col("code").alias("main")), F.col("main_code") == F.col("main")),
+        items.join(tail, F.substring(F.coalesce("parent_code", "main_code"), 4, 100) == F.col("tail")),
     ]
-    found = stages[0].unionByName(stages[1]).unionByName(stages[2]).groupBy("item_id").agg(F.min(F.struct("stage", "parent")).alias("b"))
+    every = [s.select("item_id", "parent", "kind", F.lit(i + 1).alias("stage")) for i, s in enumerate(stages)]
+    found = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]).groupBy("item_id").agg(F.min(F.struct("stage", "kind", "parent")).alias("b"))
     return items.join(found, "item_id", "left").select("item_id", F.col("b.parent").alias("parent_id"), F.coalesce("b.stage", F.lit(0)).alias("stage"))
 
 
@@ -180,6 +212,20 @@ def lifecycle(versions: DataFrame) -> DataFrame:
     return versions.withColumn("status", status)
 
 
+def reject_drafts(versions: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Listed drafts are rejected; what is current or archived stays."""
+    marked = versions.join(rejected.select("program_id", "version_number").distinct().withColumn("__r", F.lit(True)), ["program_id", "version_number"], "left")
+    return marked.withColumn("status", F.when(F.col("__r") & (F.col("status") == "draft"), "rejected").otherwise(F.col("status"))).drop("__r")
+
+
+def restore_versions(versions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """An archived version (the newest chosen one of its program) becomes current again, and what was current is archived."""
+    back = versions.where("status = 'archived'").join(chosen, ["program_id", "version_number"], "left_semi").groupBy("program_id").agg(F.max("version_number").alias("__back"))
+    marked = versions.join(back, "program_id", "left")
+    status = F.when(F.col("version_number") == F.col("__back"), "current").when(F.col("__back").isNotNull() & (F.col("status") == "current"), "archived").otherwise(F.col("status"))
+    return marked.withColumn("status", status).drop("__back")
+
+
 def next_version_number(versions: DataFrame) -> DataFrame:
     """W13."""
     return versions.groupBy("program_id").agg((F.coalesce(F.max("version_number"), F.lit(0)) + 1).alias("next_version"))
@@ -192,6 +238,35 @@ def source_mode(docs: DataFrame) -> DataFrame:
     return docs.groupBy("org_id").agg(mode.alias("mode"))
 
 
+def source_policy(orgs: DataFrame, docs: DataFrame) -> DataFrame:
+    """P6 in full: orgs (org_id, requested, configured, plain_user) and docs (org_id, doc_id, kind, uploaded_at) to the mode, the
+    calculating and evidence documents, the roles and the guard against double counting.
+
+    The mode is the requested one, else the organization's (which plain users don't have), else what its documents suggest;
+    "auto" always means that. A target has the newest sheet, a patch all agreements, which are evidence beside a target.
+    """
+    sheets = F.col("kind") == "xlsx"
+    have = docs.groupBy("org_id").agg(F.max_by("doc_id", F.when(sheets, F.struct("uploaded_at", "doc_id"))).alias("sheet"), F.sort_array(F.collect_list(F.when(F.col("kind") == "pdf", F.col("doc_id")))).alias("pdfs"))
+    both = "xlsx_target_with_pdf_evidence"
+    no_docs = F.array().cast("array<bigint>")
+    joined = orgs.join(have, "org_id", "left").withColumn("pdfs", F.coalesce("pdfs", no_docs))
+    inferred = F.when(F.col("sheet").isNotNull() & (F.size("pdfs") > 0), both).when(F.col("sheet").isNotNull(), "xlsx_target").when(F.size("pdfs") > 0, "pdf_patch")
+    asked, own = normalize_mode(F.col("requested")), F.when(~F.col("plain_user"), normalize_mode(F.col("configured")))
+    auto = F.coalesce(asked == "auto", own == "auto", F.lit(False))
+    mode = F.when(auto, F.coalesce(inferred, F.lit("auto"))).otherwise(F.coalesce(asked, own, inferred, F.lit("auto")))
+    out = joined.withColumn("mode", mode)
+    target = F.col("mode").isin("xlsx_target", both)
+    sheet = F.array_compact(F.array("sheet"))
+    return out.select(
+        "org_id", "mode",
+        F.when(target, sheet).when(F.col("mode") == "pdf_patch", F.col("pdfs")).otherwise(no_docs).alias("calculation_docs"),
+        F.when(F.col("mode") == both, F.col("pdfs")).otherwise(no_docs).alias("evidence_docs"),
+        F.when(target, "target_model").otherwise("ignored").alias("xlsx_role"),
+        F.when(F.col("mode") == both, "evidence").when(F.col("mode") == "pdf_patch", "change_source").otherwise("ignored").alias("pdf_role"),
+        F.when(F.col("mode") == both, "pdf_evidence_only").otherwise("single_calculation_source").alias("double_count_guard"),
+    )
+
+
 def reuse_check(sets: DataFrame) -> DataFrame:
     """Whether the last set may be used again."""
     ok = (F.col("unresolved") == 0) & (F.col("duplicates") == 0) & (F.col("status") == "ready") & (F.sort_array("docs") == F.sort_array("wanted_docs"))
@@ -205,10 +280,20 @@ def assign_clarified(items: DataFrame, choices: DataFrame) -> DataFrame:
     return joined.withColumn("node_id", F.coalesce("node_id", "chosen")).withColumn("new_amount", F.when(F.col("chosen").isNotNull(), new).otherwise(F.col("new_amount"))).drop("chosen")
 
 
-def confirm_items(items: DataFrame, chosen: DataFrame, safe: Column) -> DataFrame:
-    """Listed items and safe ones are confirmed."""
-    marked = items.join(chosen.select("item_id").distinct().withColumn("__c", F.lit(True)), "item_id", "left")
-    return marked.withColumn("status", F.when(F.coalesce("__c", F.lit(False)) | safe, "confirmed").otherwise(F.col("status"))).drop("__c")
+def confirm_items(items: DataFrame, chosen: DataFrame, safe: Column, expected: DataFrame | None = None) -> DataFrame:
+    """Listed items and safe ones are confirmed. With `expected` (set_id, expected): only in sets with just so many of them."""
+    marked = items.join(chosen.select("item_id").distinct().withColumn("__c", F.lit(True)), "item_id", "left").withColumn("__c", F.coalesce("__c", F.lit(False)) | safe)
+    if expected is not None:
+        counted = marked.where("__c").groupBy("set_id").agg(F.count("*").alias("__n"))
+        agreed = expected.join(counted, "set_id", "left").where(F.coalesce("__n", F.lit(0)) == F.col("expected")).select("set_id").distinct().withColumn("__ok", F.lit(True))
+        marked = marked.join(agreed, "set_id", "left").withColumn("__c", F.col("__c") & F.coalesce("__ok", F.lit(False))).drop("__ok")
+    return marked.withColumn("status", F.when(F.col("__c"), "confirmed").otherwise(F.col("status"))).drop("__c")
+
+
+def without_open_sets(items: DataFrame) -> DataFrame:
+    """Resolved items of sets in which nothing needs clarification; the other sets stop."""
+    open_sets = items.where("resolution = 'needs_clarification'").select("set_id").distinct()
+    return items.where("resolution = 'resolved'").join(open_sets, "set_id", "left_anti")
 
 
 def result_counts(objects: DataFrame) -> DataFrame:

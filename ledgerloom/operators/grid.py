@@ -7,14 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.money import parse_money
-from ..functions.text import amount_mode, classify_finance_node, extract_object_name, folded, normalize_display_number, normalize_source_cells, slug, total_source_marker
+from ..functions.text import amount_mode, classify_finance_node, classify_sheet_row, extract_object_name, extraction_confidence, folded, group_identity, normalize_display_number, normalize_source_cells, slug, total_source_marker, trim_evidence
+from .reconcile import control_sums
 from .tree import MONEY
 
 YEAR = r"\b(20\d\d|19\d\d)\b"
 
 
-def detect_header(cells: DataFrame, below: int = 4) -> DataFrame:
-    """The header rows of each document: the first with "наименование" and up to `below` next ones with years or marks; a numbering row ends them."""
+def detect_header(cells: DataFrame, below: int = 4, within: int | None = None) -> DataFrame:
+    """The header rows of each document: the first with "наименование" and up to `below` next ones with years or marks; a numbering row ends them.
+
+    Where headers are known to begin above row `within`, no row below it and `below` is read.
+    """
+    if within is not None:
+        cells = cells.where(F.col("row_idx") < within + below)
     rows = cells.groupBy("doc_id", "row_idx").agg(
         F.bool_or(folded(F.col("text")).contains("наименование")).alias("named"),
         F.bool_or(folded(F.col("text")).rlike(YEAR + "|всего|бюджет|источник")).alias("marked"),
@@ -41,10 +47,14 @@ def header_text(cells: DataFrame, header: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id", "col_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "text"))), lambda x: x["text"]), " ").alias("header"))
 
 
-def base_year(cells: DataFrame) -> DataFrame:
-    """The largest 20xx in the first ten rows and columns."""
+def base_year(cells: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The largest 20xx in the first ten rows and columns; for documents without any the largest of their file's name (doc_id, file_name)."""
     found = cells.where("row_idx < 10 and col_idx < 10").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b(20\d\d)\b"), F.lit(1))).alias("y"))
-    return found.groupBy("doc_id").agg(F.max(F.col("y").cast("int")).alias("base_year"))
+    out = found.groupBy("doc_id").agg(F.max(F.col("y").cast("int")).alias("base_year"))
+    if files is None:
+        return out
+    named = files.select("doc_id", F.array_max(F.regexp_extract_all("file_name", F.lit(r"(?<!\d)(20\d\d)(?!\d)"), F.lit(1)).cast("array<int>")).alias("named"))
+    return out.join(named, "doc_id", "full_outer").select("doc_id", F.coalesce("base_year", "named").alias("base_year")).where("base_year is not null")
 
 
 def amount_columns(headers: DataFrame, base: DataFrame) -> DataFrame:
@@ -67,12 +77,18 @@ def row_fields(cells: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def unpivot_funding(cells: DataFrame, layout: DataFrame, row_sources: DataFrame) -> DataFrame:
-    """Amounts by year and source; zeros go; where a row has source columns its totals go; of repeated keys the last column counts."""
-    joined = cells.join(layout, ["doc_id", "col_idx"]).join(row_sources, ["doc_id", "row_idx"], "left").withColumn("amount", parse_money(F.col("text"))).where("amount <> 0")
-    specific = F.max((~F.col("needs_row_source")).cast("int")).over(W.partitionBy("doc_id", "row_idx"))
-    kept = joined.withColumn("__s", specific).where("not needs_row_source or __s = 0")
-    source = F.when(F.col("needs_row_source"), F.coalesce("row_source", F.lit("UNKNOWN"))).otherwise(F.col("source_type"))
-    return kept.groupBy("doc_id", "row_idx", "year", source.alias("source_type")).agg(F.max_by("amount", "col_idx").alias("amount"))
+    """Amounts by year and source; zeros go; where a row has source columns its totals go; of repeated keys the last column counts.
+
+    A row's amounts come together once, as a short list (a row has as many as its header has columns), and stay so till the end.
+    """
+    money = cells.join(layout, ["doc_id", "col_idx"]).withColumn("amount", parse_money(F.col("text"))).where("amount <> 0")
+    found = F.collect_list(F.struct("col_idx", "year", "source_type", "needs_row_source", "amount"))
+    row = money.groupBy("doc_id", "row_idx").agg(found.alias("found")).join(row_sources, ["doc_id", "row_idx"], "left")
+    own = F.filter("found", lambda x: ~x["needs_row_source"])
+    kept = F.when(F.size(own) > 0, own).otherwise(F.transform("found", lambda x: x.withField("source_type", F.coalesce("row_source", F.lit("UNKNOWN")))))
+    row = row.withColumn("kept", kept)
+    last = F.filter("kept", lambda x: ~F.exists("kept", lambda y: (y["year"] == x["year"]) & (y["source_type"] == x["source_type"]) & (y["col_idx"] > x["col_idx"])))
+    return row.select("doc_id", "row_idx", F.explode(last).alias("x")).select("doc_id", "row_idx", "x.year", "x.source_type", "x.amount")
 
 
 def total_columns(cells: DataFrame, layout: DataFrame) -> DataFrame:
@@ -81,6 +97,38 @@ def total_columns(cells: DataFrame, layout: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id", "year").agg(F.max_by("amount", F.struct("row_idx", "col_idx")).alias("amount"))
 
 
+def passport_amounts(cells: DataFrame) -> DataFrame:
+    """The amounts of a passport's table (cells: doc_id, table_idx, row_idx, col_idx, text), in roubles, with their coordinates.
+
+    The header is the first row with plain years and a cell that names the source; tables whose first six rows speak of
+    activities and of finance are none. Row kinds: source (year, source), year_total (the row "всего"), and from the total
+    column source_total and grand_total, without a year. A later row of the same kind and key replaces an earlier one.
+    """
+    table = ["doc_id", "table_idx"]
+    t = folded(F.col("text"))
+    sample = cells.where("row_idx < 6 and col_idx < 8").groupBy(*table).agg(F.bool_or(t.contains("мероприят")).alias("a"), F.bool_or(t.contains("финанс")).alias("b")).where("a and b")
+    named = t.isin("источник", "источники") | t.rlike("^источники? .*(финанс|средств|бюджет)")
+    year = F.regexp_extract(t, r"^(20\d\d)( ?год)?$", 1).try_cast("int")
+    marks = cells.select(*table, "row_idx", "col_idx", year.alias("year"), named.alias("named"), t.rlike(r"^всего( |$)").alias("whole"))
+    rows = marks.where("year is not null or named or whole").groupBy(*table, "row_idx").agg(
+        F.collect_list(F.when(F.col("year").isNotNull(), F.struct("col_idx", "year"))).alias("years"), F.bool_or("named").alias("named"), F.min(F.when(F.col("whole") & F.col("year").isNull(), F.col("col_idx"))).alias("total_col")
+    )
+    able = rows.where("named and size(years) > 0").join(sample.select(*table), table, "left_anti")
+    head = able.groupBy(*table).agg(F.min_by(F.struct("years", "total_col"), "row_idx").alias("h"), F.min("row_idx").alias("head"))
+    columns = head.select(*table, "head", F.explode(F.array_append(F.col("h.years"), F.struct(F.col("h.total_col").alias("col_idx"), F.lit(None).cast("int").alias("year")))).alias("c")).select(*table, "head", "c.*").where("col_idx is not null")
+    # of a year's several columns the first counts
+    columns = columns.groupBy(*table, "head", "year").agg(F.min("col_idx").alias("col_idx"))
+    labels = cells.where("col_idx = 0").select(*table, "row_idx", t.alias("label"))
+    body = cells.join(columns, [*table, "col_idx"]).where("row_idx > head").join(labels, [*table, "row_idx"])
+    whole, source = F.col("label").startswith("всего"), normalize_source_cells(F.col("label"))
+    none = F.col("year").isNull()
+    kind = F.when(whole & none, "grand_total").when(whole, "year_total").when(none, "source_total").otherwise("source")
+    out = body.select(*table, "row_idx", "col_idx", kind.alias("kind"), "year", F.when(~whole, source).alias("source_type"), parse_money(F.col("text"), "thousand_rub").alias("amount"))
+    kept = out.where("source_type is null or source_type <> 'UNKNOWN'")
+    last = kept.groupBy("doc_id", "kind", "year", "source_type").agg(F.max_by(F.struct("table_idx", "row_idx", "col_idx", "amount"), F.struct("table_idx", "row_idx")).alias("x"))
+    return last.select("doc_id", "kind", "year", "source_type", "x.*")
+
+
 def explicit_zero_rows(cells: DataFrame, layout: DataFrame) -> DataFrame:
     """Rows with amount columns and no amount but zero."""
     joined = cells.join(layout, ["doc_id", "col_idx"]).withColumn("amount", parse_money(F.col("text")))
@@ -153,6 +201,43 @@ def text_changes(pages: DataFrame) -> DataFrame:
     return kept.select("doc_id", "page_number", "position", F.regexp_extract("sentence", YEAR, 1).cast("int").alias("year"), amount_mode(F.col("sentence")).alias("mode"), extract_object_name(F.col("sentence")).alias("object_name"))
 
 
+def change_fields(windows: DataFrame) -> DataFrame:
+    """C20's fields of windows (doc_id, page_number, position, sentence): mode, years, source, old and new amount, delta, confidence, evidence.
+
+    Two amounts with "с … до …" are the old and the new one. Deltas carry the sign of their mode; a transfer has two years
+    and no new amount; zeroing sets zero.
+    """
+    s = F.col("sentence")
+    number = r"\d+(?:[ \u00a0]\d{3})*(?:[.,]\d+)?"
+    raw = F.regexp_extract_all(s, F.lit(rf"({number}\s*(?:тыс\S*\s*руб|млн\S*\s*руб|тыс|млн|руб))"), F.lit(1))
+    value = lambda x: F.round(F.translate(F.regexp_replace(x, r"[^\d.,]|\.(?!\d)", ""), ",", ".").try_cast("decimal(24,6)") * F.when(x.contains("тыс"), 1000).when(x.contains("млн"), 1000000).otherwise(1), 2).cast(MONEY)
+    rows = windows.withColumns({"mode": amount_mode(s), "amounts": F.transform(raw, value), "source_type": normalize_source_cells(s), "object_name": extract_object_name(s)})
+    mode, amounts, zero = F.col("mode"), F.col("amounts"), F.lit(0).cast(MONEY)
+    first, second = F.get("amounts", F.lit(0)), F.get("amounts", F.lit(1))
+    two = (mode == "absolute") & (F.size(amounts) > 1) & folded(s).rlike(r"\bс\b.* до |увеличить с |уменьшить с ")
+    old = F.when(two, first)
+    new = F.when(mode == "zeroing", zero).when(two, second).when(mode == "absolute", first)
+    delta = F.when(two, (second - first).cast(MONEY)).when(mode == "delta_minus", (-first).cast(MONEY)).when(mode.isin("delta_plus", "transfer"), first)
+    span = F.regexp_extract_all(s, F.lit(r"(20\d\d)"), F.lit(1)).cast("array<int>")
+    moved = mode == "transfer"
+    conf = extraction_confidence(F.col("object_name") != "", F.col("source_type") != "UNKNOWN", F.size(amounts), old.isNotNull(), mode)
+    return rows.select(
+        "doc_id", "page_number", "position", "object_name", "mode", F.regexp_extract(s, YEAR, 1).try_cast("int").alias("year"), "source_type", old.alias("old_amount"), new.alias("new_amount"), delta.alias("delta"),
+        F.when(moved, F.get(span, F.lit(0))).alias("from_year"), F.when(moved, F.get(span, F.lit(1))).alias("to_year"), conf.alias("confidence"), trim_evidence(s).alias("evidence"),
+    )
+
+
+def change_windows(pages: DataFrame, size: int = 120, step: int = 80) -> DataFrame:
+    """C20's windows: sentences that speak of a year and of money or of an end of financing; for pages without any, windows of words that do."""
+    able = lambda c: F.col(c).rlike(YEAR) & (F.col(c).rlike(r"\d+([.,]\d+)?\s*(тыс|млн|руб)") | (amount_mode(F.col(c)) == "zeroing"))
+    sentences = pages.select("doc_id", "page_number", F.posexplode(F.split("text", r"(?<=[.!?])\s+(?=[A-ZА-ЯЁ])")).alias("position", "sentence")).where(able("sentence"))
+    rest = pages.join(sentences.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
+    words = rest.select("doc_id", "page_number", F.split(F.trim("text"), r"\s+").alias("w"))
+    at = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(step)), lambda i: F.struct(i.alias("position"), F.array_join(F.slice(F.col("w"), i + 1, size), " ").alias("sentence")))
+    windows = words.select("doc_id", "page_number", F.explode(at).alias("x")).select("doc_id", "page_number", "x.position", "x.sentence").where(able("sentence"))
+    return sentences.unionByName(windows)
+
+
 def word_windows(pages: DataFrame, size: int = 120, step: int = 80) -> DataFrame:
     """C20's fallback: overlapping windows of words."""
     words = pages.select("doc_id", F.split(F.trim("text"), r"\s+").alias("w"))
@@ -197,6 +282,28 @@ def result_nodes(rows: DataFrame) -> DataFrame:
     return below.select("doc_id", "row_idx", F.concat_ws(":", F.lit("result"), normalize_display_number(F.col("number")), slug(F.col("name"))).alias("key"))
 
 
+def build_groups(cells: DataFrame, roles: DataFrame, first_row: int, ranges: DataFrame | None = None, within: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """P2 with its groups: merged cells filled, rows typed (T7) and grouped (T13, G1), rows without money kept when they say zero.
+
+    Gives groups (doc_id, group_key, status, object_name, explicit_zero, n_rows) and their funding (doc_id, group_key, year,
+    source_type, amount). Totals, empty rows and rows above objects belong to no group.
+    """
+    filled = cells if ranges is None else fill_merged(cells, ranges)
+    layout = amount_columns(header_text(filled, detect_header(filled, within=within)), base_year(filled))
+    body = filled.where(F.col("row_idx") >= first_row)
+    fields = row_fields(body, roles)
+    kind = classify_sheet_row(F.col("name"), F.col("program_code"), F.col("measure_code"), F.col("object_code"), F.col("object_name"))
+    identity = group_identity(F.col("object_code"), F.col("object_name"), F.coalesce("measure_code", F.lit("")), F.coalesce("name", F.lit("")))
+    rows = fields.withColumns({"row_type": kind, "identity": identity}).where(F.col("row_type").isin("OBJECT_LEAF", "UNASSIGNED_RESIDUAL", "ACTIVITY_AGGREGATE"))
+    rows = rows.select("doc_id", "row_idx", "row_type", F.col("identity.key").alias("group_key"), F.col("identity.status").alias("status"), F.coalesce("object_name", "name").alias("object_name"), normalize_source_cells(F.col("source")).alias("row_source"))
+    zeros = explicit_zero_rows(body, layout).withColumn("zero", F.lit(True))
+    groups = rows.join(zeros, ["doc_id", "row_idx"], "left").groupBy("doc_id", "group_key").agg(
+        F.min_by("status", "row_idx").alias("status"), F.min_by("object_name", "row_idx").alias("object_name"), F.bool_and(F.coalesce("zero", F.lit(False))).alias("explicit_zero"), F.count("*").alias("n_rows")
+    )
+    money = unpivot_funding(body, layout, rows.select("doc_id", "row_idx", "row_source")).join(rows.select("doc_id", "row_idx", "group_key"), ["doc_id", "row_idx"])
+    return groups, money.groupBy("doc_id", "group_key", "year", "source_type").agg(F.sum("amount").cast(MONEY).alias("amount"))
+
+
 def build_target(cells: DataFrame, row_sources: DataFrame, first_row: int) -> tuple[DataFrame, DataFrame]:
     """A sheet's funding by row, year and source, and its year totals."""
     layout = amount_columns(header_text(cells, detect_header(cells)), base_year(cells))
@@ -210,6 +317,25 @@ def build_tree(rows: DataFrame, source_rows: DataFrame) -> tuple[DataFrame, Data
     return nodes, finance_lines(source_rows, nodes)
 
 
+def build_program(rows: DataFrame, source_rows: DataFrame, cells: DataFrame, paragraphs: DataFrame) -> dict[str, DataFrame]:
+    """P1 in full: nodes and lines of the finance tables, result nodes, subprograms, the program's name and period, the passport's amounts."""
+    nodes, lines = build_tree(rows, source_rows)
+    return {"nodes": nodes, "lines": lines, "results": result_nodes(rows), "subprograms": subprograms(paragraphs), "metadata": program_metadata(paragraphs), "passport": passport_amounts(cells)}
+
+
+def build_patch_checked(pages: DataFrame, placed: DataFrame, controls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """P3 in full: changes of texts, each object, year, source and mode once, and the control sums of positioned amounts.
+
+    placed: fragments with their column's year and source (doc_id, y, x, col, text, year, source_type); their bands are put together
+    (C21) and summed by document, year and source against controls (doc_id, year, source_type, amount) (C22).
+    """
+    changes = change_dedup(change_fields(change_windows(pages)), ["doc_id", "object_name", "year", "source_type", "mode"])
+    keys = placed.select("doc_id", "col", "year", "source_type").distinct()
+    table = position_table(placed).join(keys, ["doc_id", "col"]).withColumn("amount", parse_money(F.col("text")))
+    details = table.groupBy("doc_id", "year", "source_type").agg(F.sum("amount").cast(MONEY).alias("amount"))
+    return changes, control_sums(details, controls, ["doc_id", "year", "source_type"])
+
+
 def build_patch(pages: DataFrame) -> DataFrame:
     """A document's changes, the first of each object, year and mode."""
     return change_dedup(text_changes(pages), ["doc_id", "object_name", "year", "mode"])

@@ -1,4 +1,8 @@
-"""Entity matching: a cascade of stages from codes to fuzzy names. Candidates meet only inside a block."""
+"""Entity matching: a cascade of stages from codes to fuzzy names.
+
+Names meet by the beginnings (stems) of their rarest words inside a block, not pair by pair: a score of at least a share
+of the group's words needs one of so few of them that only the rarest have to be looked up.
+"""
 
 from __future__ import annotations
 
@@ -25,6 +29,34 @@ def parent_scope(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return groups.join(nodes, "block")
 
 
+def code_scope(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """D7's block of each group, by its parent's code (subprogram, main, activity as one text): the activity of that code with its
+    subprogram; else, if just one activity has the code without its subprogram (a shifted index), that one; else none.
+
+    groups: group_key, parent_code; nodes: node_id, code (activities). A group without a code has the scope ALL, the whole tree.
+    """
+    own = groups.join(nodes.select(F.col("code").alias("parent_code"), F.col("node_id").alias("own")), "parent_code", "left").groupBy("group_key", "parent_code").agg(F.min("own").alias("own"))
+    shifted = nodes.groupBy(F.substring("code", 2, 100).alias("tail")).agg(F.count("*").alias("n"), F.min("node_id").alias("other")).where("n = 1 and tail <> ''").drop("n")
+    joined = own.join(shifted, F.substring("parent_code", 2, 100) == F.col("tail"), "left")
+    rest = groups.where("parent_code is null").select("group_key", F.lit("ALL").alias("scope"), F.lit("all").alias("how"))
+    scope = F.coalesce("own", "other")
+    how = F.when(F.col("own").isNotNull(), "code").when(F.col("other").isNotNull(), "shifted").otherwise("none")
+    return joined.where("parent_code is not null").select("group_key", scope.alias("scope"), how.alias("how")).unionByName(rest)
+
+
+def stem_pairs(groups: DataFrame, nodes: DataFrame, size: int, share: float) -> DataFrame:
+    """group_key, node_id: pairs of a block in which at least `share` of the group's words may have a partner that begins alike.
+
+    groups and nodes: block, their key, tokens. Of a group's n words all but ceil(share * n) - 1 are looked up, the rarest
+    stems of `size` letters first; stems that no node has cost nothing. Shorter words are their own stem.
+    """
+    theirs = nodes.select("block", "node_id", F.explode(F.array_distinct(F.transform("tokens", lambda x: F.left(x, F.lit(size))))).alias("stem"))
+    often = theirs.groupBy("block", "stem").agg(F.count("*").alias("often"))
+    mine = groups.select("block", "group_key", (F.size("tokens") - F.ceil(F.size("tokens") * share - 1e-9) + 1).alias("look"), F.explode("tokens").alias("token")).withColumn("stem", F.left("token", F.lit(size)))
+    ranked = mine.join(often, ["block", "stem"], "left").withColumn("__rn", F.row_number().over(W.partitionBy("block", "group_key").orderBy(F.coalesce("often", F.lit(0)), "stem", "token")))
+    return ranked.where("__rn <= look and often is not null").select("block", "group_key", "stem").join(theirs, ["block", "stem"]).select("group_key", "node_id").distinct()
+
+
 def match_code(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """The group's code among a node's codes inside its block; the lowest node id."""
     codes = nodes.select("block", "node_id", F.explode("codes").alias("code")).where("code is not null")
@@ -50,16 +82,22 @@ def rank_candidates(scored: DataFrame) -> DataFrame:
 
 def match_fuzzy(groups: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, band: float = BAND) -> DataFrame:
     """The best name of the block at or over the threshold, unless the second is within the band."""
-    pairs = groups.select("group_key", "block", F.col("tokens").alias("l")).join(nodes.select("block", "node_id", F.col("tokens").alias("r")), "block").where(F.arrays_overlap(F.transform("l", lambda x: F.left(x, F.lit(3))), F.transform("r", lambda x: F.left(x, F.lit(3)))))
+    # words match only if their first three letters do; of the left words this share is needed
+    met = stem_pairs(groups, nodes, 3, threshold - band - 0.001)
+    pairs = met.join(groups.select("group_key", F.col("tokens").alias("l")), "group_key").join(nodes.select("node_id", F.col("tokens").alias("r")), "node_id")
     best = rank_candidates(pairs.withColumn("score", F.round(name_similarity(F.col("l"), F.col("r")), 4))).where("rank = 1").where(F.col("score") >= threshold)
     clear = F.col("second").isNull() | (F.col("score") - F.col("second") > band)
     return best.select("group_key", F.when(clear, F.col("node_id")).alias("node_id"), F.when(clear, "MATCH_FUZZY_CONFIDENT").otherwise("NEEDS_CONFIRMATION").alias("match_status"), F.when(clear, F.col("score")).otherwise(0.5).alias("confidence"))
 
 
 def match_event_name(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The event's name holds the node's or has half its words; the top must be alone."""
-    pairs = groups.select("group_key", "block", "norm", F.col("tokens").alias("l")).join(nodes.select("block", "node_id", F.col("norm").alias("nn"), F.col("tokens").alias("r")), "block")
-    held = F.col("norm").contains(F.col("nn")) | F.col("nn").contains(F.col("norm"))
+    """The event's name holds the node's, or is held by it, in whole words, or they share enough of them; the top must be alone."""
+    # a held name's rarest word is in the other: each side looks up its own
+    back = stem_pairs(nodes.select("block", F.col("node_id").alias("group_key"), "tokens"), groups.select("block", F.col("group_key").alias("node_id"), "tokens"), 2, 1.0)
+    met = stem_pairs(groups, nodes, 2, FLOOR - 0.001).unionByName(back.select(F.col("node_id").alias("group_key"), F.col("group_key").alias("node_id"))).distinct()
+    pairs = met.join(groups.select("group_key", "norm", F.col("tokens").alias("l")), "group_key").join(nodes.select("node_id", F.col("norm").alias("nn"), F.col("tokens").alias("r")), "node_id")
+    whole = lambda a, b: F.concat(F.lit(" "), a, F.lit(" ")).contains(F.concat(F.lit(" "), b, F.lit(" ")))
+    held = whole(F.col("norm"), F.col("nn")) | whole(F.col("nn"), F.col("norm"))
     score = F.when(held, F.lit(CONTAINED)).otherwise(F.round(token_overlap_any(F.col("l"), F.col("r")) / F.greatest(F.size("l"), F.size("r"), F.lit(1)), 4))
     best = rank_candidates(pairs.withColumn("score", score)).where("rank = 1").where(F.col("score") >= FLOOR)
     return best.where("second is null or second < score").select("group_key", "node_id", F.lit("MATCH_PDF_EVENT_NAME").alias("match_status"), F.col("score").alias("confidence"))
@@ -67,7 +105,7 @@ def match_event_name(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def match_residual_parent(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """A residual's best structural node, if that is a concrete leaf."""
-    pairs = groups.select("group_key", "block", F.col("tokens").alias("l")).join(nodes.select("block", "node_id", "is_leaf", F.col("tokens").alias("r")), "block")
+    pairs = stem_pairs(groups, nodes, 2, FLOOR - 0.001).join(groups.select("group_key", F.col("tokens").alias("l")), "group_key").join(nodes.select("node_id", "is_leaf", F.col("tokens").alias("r")), "node_id")
     scored = pairs.withColumn("score", F.round(token_overlap_any(F.col("l"), F.col("r")) / F.greatest(F.size("l"), F.size("r"), F.lit(1)), 4)).where(F.col("score") >= FLOOR)
     best = scored.groupBy("group_key").agg(F.min_by(F.struct("node_id", "is_leaf", "score"), F.struct(-F.col("score"), "node_id")).alias("b")).where("b.is_leaf")
     return best.select("group_key", "b.node_id", F.lit("MATCH_RESIDUAL_PARENT").alias("match_status"), F.col("b.score").alias("confidence"))
@@ -84,10 +122,12 @@ def match_parent_total(groups: DataFrame, lines: DataFrame, tolerance: float = 0
 
 
 def match_activity_aggregate(groups: DataFrame, activities: DataFrame) -> DataFrame:
-    """By parsed code, else the only activity whose name holds the group's."""
+    """By parsed code, else the only activity whose name holds the group's in whole words."""
     by_code = groups.join(activities.select("node_id", F.col("code").alias("parent_code")), "parent_code").groupBy("group_key").agg(F.min("node_id").alias("node_id"))
     rest = groups.join(by_code.select("group_key"), "group_key", "left_anti")
-    by_name = rest.join(activities.select("block", "node_id", F.col("norm").alias("nn")), "block").where(F.col("nn").contains(F.col("norm"))).groupBy("group_key").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id")).where("n = 1").drop("n")
+    split = lambda df: df.withColumn("tokens", F.array_distinct(F.split("norm", " ")))
+    met = stem_pairs(split(rest), split(activities), 100, 1.0).join(rest.select("group_key", "norm"), "group_key").join(activities.select("node_id", F.col("norm").alias("nn")), "node_id")
+    by_name = met.where(F.concat(F.lit(" "), "nn", F.lit(" ")).contains(F.concat(F.lit(" "), "norm", F.lit(" ")))).groupBy("group_key").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id")).where("n = 1").drop("n")
     return by_code.unionByName(by_name).select("group_key", "node_id", F.lit("MATCH_ACTIVITY_AGGREGATE").alias("match_status"), F.lit(1.0).alias("confidence"))
 
 

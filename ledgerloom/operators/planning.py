@@ -15,18 +15,21 @@ def latest_parsed_document(registry: DataFrame) -> DataFrame:
     return registry.where("status = 'parsed'").groupBy("org_id", "document_type").agg(F.max_by("doc_id", F.struct("updated_at", "doc_id")).alias("doc_id"))
 
 
+TABLE = ["doc_id", "table_idx"]
+
+
 def insert_offsets(rows: DataFrame) -> DataFrame:
-    """The row at which an inserted object begins: its anchor, one, and all rows inserted before."""
-    before = F.sum("n_rows").over(W.partitionBy("table_idx").orderBy("anchor", "seq").rowsBetween(W.unboundedPreceding, -1))
+    """The row at which an inserted object begins: its anchor, one, and all rows inserted before in its table."""
+    before = F.sum("n_rows").over(W.partitionBy(*TABLE).orderBy("anchor", "seq").rowsBetween(W.unboundedPreceding, -1))
     return rows.withColumn("row_idx", (F.col("anchor") + 1 + F.coalesce(before, F.lit(0))).cast("bigint"))
 
 
 def shift_coordinates(updates: DataFrame, insertions: DataFrame, inclusive: bool = False) -> DataFrame:
-    """Rows moved down by what was inserted above them, by a running sum over both tables' rows."""
+    """Rows moved down by what was inserted above them in their table, by a running sum over both tables' rows."""
     order = F.lit(0 if inclusive else 2)
-    marks = insertions.select("table_idx", F.col("anchor").alias("at"), F.lit(1).alias("kind"), F.col("n_rows").alias("n"), F.lit(None).cast("bigint").alias("update_id"))
-    rows = updates.select("table_idx", F.col("row_idx").alias("at"), (F.lit(2) - order).alias("kind"), F.lit(0).cast("bigint").alias("n"), "update_id")
-    moved = marks.unionByName(rows).withColumn("shift", F.sum("n").over(W.partitionBy("table_idx").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)))
+    marks = insertions.select(*TABLE, F.col("anchor").alias("at"), F.lit(1).alias("kind"), F.col("n_rows").alias("n"), F.lit(None).cast("bigint").alias("update_id"))
+    rows = updates.select(*TABLE, F.col("row_idx").alias("at"), (F.lit(2) - order).alias("kind"), F.lit(0).cast("bigint").alias("n"), "update_id")
+    moved = marks.unionByName(rows).withColumn("shift", F.sum("n").over(W.partitionBy(*TABLE).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)))
     return moved.where("update_id is not null").select("update_id", (F.col("at") + F.col("shift")).cast("bigint").alias("row_idx"))
 
 
@@ -79,11 +82,11 @@ def recent_mention(messages: DataFrame, names: DataFrame, n: int = 12) -> DataFr
 
 
 def search_chunks(chunks: DataFrame, query: str, k: int = 50) -> DataFrame:
-    """Chunks with any of six distinct words of four letters or more, newest first."""
+    """Chunks with any of six distinct words of four letters or more in title, content or type, newest first."""
     words = list(dict.fromkeys(w for w in query.lower().split() if len(w) >= 4))[:6]
     hit = F.lit(False)
     for w in words:
-        hit = hit | F.lower("title").contains(w) | F.lower("content").contains(w)
+        hit = hit | F.lower("title").contains(w) | F.lower("content").contains(w) | F.lower("chunk_type").contains(w)
     return chunks.where(hit).orderBy(F.desc("created_at"), F.desc("chunk_id")).limit(k)
 
 
@@ -104,13 +107,22 @@ def index_chunks(docs: DataFrame) -> DataFrame:
     return rows.withColumn("chunk_type", F.lit("text")).withColumn("title", F.concat(F.lit("Text "), F.col("position") + 1))
 
 
-def chunk_pages(pages: DataFrame, topics: dict[str, list[str]], k: int = 3) -> DataFrame:
-    """Per document and topic the pages with a keyword: the first k page numbers and how many there are."""
+def chunk_pages(pages: DataFrame, topics: dict[str, list[str]], k: int = 3, fallback: str | None = None) -> DataFrame:
+    """Per document and topic the pages with a keyword: the first k page numbers, their texts, and how many there are.
+
+    With a fallback, documents without any topic have one row of that topic with their first k pages, matched 0.
+    """
     found = [F.when(F.lower("text").rlike("|".join(words)), F.lit(name)) for name, words in topics.items()]
-    hits = pages.select("doc_id", "page_number", F.explode(F.array_compact(F.array(*found))).alias("topic"))
+    hits = pages.select("doc_id", "page_number", "text", F.explode(F.array_compact(F.array(*found))).alias("topic"))
     w = W.partitionBy("doc_id", "topic").orderBy("page_number")
     ranked = hits.withColumn("rn", F.row_number().over(w))
-    return ranked.groupBy("doc_id", "topic").agg(F.count("*").alias("matched"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= k, F.col("page_number")))).cast("array<string>"), ",").alias("first_pages"))
+    first = F.array_sort(F.collect_list(F.when(F.col("rn") <= k, F.struct("page_number", "text"))))
+    show = [F.array_join(F.transform(first, lambda x: x["page_number"]).cast("array<string>"), ",").alias("first_pages"), F.array_join(F.transform(first, lambda x: x["text"]), "\n").alias("text")]
+    out = ranked.groupBy("doc_id", "topic").agg(F.count("*").alias("matched"), *show)
+    if fallback is None:
+        return out
+    rest = pages.join(out.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("rn", F.row_number().over(W.partitionBy("doc_id").orderBy("page_number")))
+    return out.unionByName(rest.groupBy("doc_id").agg(*show).select("doc_id", F.lit(fallback).alias("topic"), F.lit(0).cast("bigint").alias("matched"), "first_pages", "text"))
 
 
 def extract_rules(docs: DataFrame, table: dict[str, list[str]]) -> DataFrame:
@@ -143,13 +155,15 @@ def insert_rows_cube(items: DataFrame, years: list[int]) -> DataFrame:
 
 
 def duplicate_group_report(groups: DataFrame) -> DataFrame:
-    """Names with several groups: the row numbers and the totals."""
-    return groups.groupBy("object_name").agg(F.countDistinct("group_key").alias("groups"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"), total().alias("amount")).where("groups > 1")
+    """Names with several groups: their distinct rows in order, and the totals by year."""
+    named = groups.groupBy("object_name").agg(F.countDistinct("group_key").alias("groups"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"), F.array_sort(F.collect_set("row_id")).alias("row_ids"), total().alias("amount")).where("groups > 1")
+    years = groups.groupBy("object_name", "year").agg(total().alias("year_amount")).groupBy("object_name").agg(F.array_sort(F.collect_list(F.struct("year", "year_amount"))).alias("by_year"))
+    return named.join(years, "object_name")
 
 
-def group_object_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """G1: groups with their first row's fields, and amounts by year and source."""
-    order = F.struct("l_orderkey", "l_linenumber", "p_partkey", "amount")
+def group_object_rows(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """G1: groups with the fields of their first row by `by`, and amounts by year and source."""
+    order = F.struct(*by)
     groups = rows.groupBy("group_key").agg(F.min_by("object_name", order).alias("object_name"), F.min_by("source_type", order).alias("first_source"), F.bool_or(F.col("amount") == 0).alias("explicit_zero"), F.count("*").alias("n_rows"))
     return groups, rows.groupBy("group_key", "year", "source_type").agg(total().alias("amount"))
 
@@ -160,12 +174,26 @@ def context_counts(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     return nodes.join(n, "node_id", "left").groupBy("node_type").agg(F.count("*").alias("nodes"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
 
 
+def organization_context(items: DataFrame, versions: DataFrame) -> DataFrame:
+    """Per organization the items that wait, those in conflict, and the latest version's status."""
+    waiting = items.groupBy("org_id").agg(F.count_if(F.col("status") == "proposed").alias("pending"), F.count_if(F.col("has_conflict")).alias("conflicts"))
+    latest = versions.groupBy("org_id").agg(F.max_by("status", F.struct("created_at", "version_id")).alias("latest_status"), F.count("*").alias("versions"))
+    joined = waiting.join(latest, "org_id", "full_outer")
+    return joined.select("org_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("pending", "conflicts", "versions")), "latest_status")
+
+
+def analysis_diagnostics(items: DataFrame) -> DataFrame:
+    """Per session: items, without a node, without an amount, unsure ones, and the share with a node."""
+    found = F.count("node_id")
+    return items.groupBy("session_id").agg(F.count("*").alias("items"), (F.count("*") - found).alias("without_node"), F.count_if(F.col("amount").isNull()).alias("without_amount"), F.count_if(F.col("confidence") < 0.92).alias("unsure"), F.round(found * 100.0 / F.count("*"), 2).alias("percent"))
+
+
 def usage_by_model(runs: DataFrame) -> DataFrame:
     """G29."""
     return runs.groupBy("model", "purpose").agg(F.count("*").alias("runs"), F.round(F.sum("cost"), 4).alias("cost"))
 
 
 def insert_plan(parents: DataFrame, children: DataFrame, new: DataFrame) -> DataFrame:
-    """Where new objects (parent_id, seq, table_idx, n_rows) go: below their parent's last row, one after the other."""
+    """Where new objects (parent_id, seq, doc_id, table_idx, n_rows) go: below their parent's last row, one after the other."""
     anchors = anchor_row(children, parents).withColumnRenamed("node_id", "parent_id")
-    return insert_offsets(new.join(anchors, "parent_id")).select("parent_id", "seq", "table_idx", "row_idx")
+    return insert_offsets(new.join(anchors, "parent_id")).select("parent_id", "seq", *TABLE, "row_idx")

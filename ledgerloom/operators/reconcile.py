@@ -105,6 +105,34 @@ def validate_version(target: DataFrame, observed: DataFrame, tolerance: float =
     return joined.withColumn("code", code)
 
 
+def validation_rows(level: str, expected: DataFrame, actual: DataFrame, keys: list[str], missing: str | None, mismatch: str, tolerance: float = TOLERANCE) -> DataFrame:
+    """One level of P20: expected keys with actual amounts, delta and an error code, null where all is well.
+
+    Keys that are missing in actual give the code `missing`, or none if that is null. `key` shows the level's columns.
+    """
+    joined = expected.groupBy(*keys).agg(total().alias("expected")).join(actual.groupBy(*keys).agg(total().alias("actual")), keys, "left")
+    delta = (F.col("actual") - F.col("expected")).cast(MONEY)
+    code = F.when(F.col("actual").isNull(), F.lit(missing)).when(F.abs(delta) > tolerance, F.lit(mismatch))
+    return joined.select(F.lit(level).alias("level"), F.concat_ws("::", *keys).alias("key"), "expected", "actual", delta.alias("delta"), code.alias("code"))
+
+
+def validate_levels(target: DataFrame, passport: DataFrame, nodes: DataFrame, observed: DataFrame, summary: Column, tolerance: float = TOLERANCE) -> DataFrame:
+    """P20 on all levels: the passport by year and by year and source against the target's lines (node_id, year, source_type, amount),
+    objects by source, aggregates by year or, where they are summaries, by source (G20) against the observed lines.
+
+    A passport year must be there; a missing passport source or object is no error, only a different amount.
+    """
+    objects = nodes.where(~summary).select("node_id")
+    want, have = (aggregate_expected(nodes, df, summary) for df in (target, observed))
+    parts = [
+        validation_rows("passport_year", target, passport, ["year"], "passport_total_missing", "passport_total_mismatch", tolerance),
+        validation_rows("passport_source", target, passport, KEY, None, "passport_source_mismatch", tolerance),
+        validation_rows("object", target.join(objects, "node_id", "left_semi"), observed, ["node_id", *KEY], None, "object_funding_mismatch", tolerance),
+        validation_rows("aggregate", want, have, ["node_id", *KEY], None, "aggregate_funding_mismatch", tolerance),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def version_status(checks: DataFrame, by: list[str]) -> DataFrame:
     """P20's status: invalid with mismatches, valid_with_warnings with unexpected or missing rows, else valid."""
     bad, odd = F.count_if(F.col("code") == "MISMATCH"), F.count_if(F.col("code").isin("MISSING", "UNEXPECTED"))

@@ -52,23 +52,25 @@ def rollup_inclusive(lines: DataFrame, closure: DataFrame) -> DataFrame:
 
 
 def rollup_replace(nodes: DataFrame, lines: DataFrame, closure: DataFrame, excluded: Column | None = None) -> DataFrame:
-    """Leaves keep their lines, a node with regular children has their sum and loses its own lines."""
+    """Leaves keep their lines, a node with regular children has their sum and loses its own lines.
+
+    Nothing passes through an excluded node: what lies below it counts up to it, and not for it or those above.
+    """
     regular = nodes if excluded is None else nodes.where(~F.coalesce(excluded, F.lit(False)))
     parents = regular.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
     leaves = regular.select("node_id").join(parents, "node_id", "left_anti")
     mine = aggregate_lines(lines).join(leaves, "node_id", "left_semi").join(closure, "node_id")
     if excluded is not None:
-        # nothing passes through an excluded node
         hidden = nodes.where(F.coalesce(excluded, F.lit(False))).select(F.col("node_id").alias("ancestor_id"))
-        cut = closure.join(hidden, "ancestor_id", "left_semi").select("node_id").distinct()
-        mine = mine.join(cut, "node_id", "left_anti")
+        cut = closure.join(hidden, "ancestor_id", "left_semi").groupBy("node_id").agg(F.min("depth").alias("cut"))
+        mine = mine.join(cut, "node_id", "left").where("cut is null or depth < cut")
     return mine.groupBy(F.col("ancestor_id").alias("node_id"), *KEY).agg(total().alias("amount"))
 
 
 def root_totals(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """The program node's own lines if it has any, else the roots' totals."""
     roots = nodes.where("parent_id is null").select("node_id", "node_type")
-    mine = lines.join(F.broadcast(roots), "node_id")
+    mine = lines.join(roots, "node_id")
     has = mine.where("node_type = 'program'").agg((F.count("*") > 0).alias("has"))
     return mine.crossJoin(F.broadcast(has)).where("not has or node_type = 'program'").groupBy(*KEY).agg(total().alias("amount"))
 
@@ -132,9 +134,16 @@ def propagate_deltas(lines: DataFrame, deltas: DataFrame, closure: DataFrame) ->
     return joined.select("node_id", *KEY, (F.coalesce("amount", F.lit(0)) + F.coalesce("delta", F.lit(0))).cast(MONEY).alias("amount"))
 
 
-def refresh_summaries(summaries: DataFrame, totals: DataFrame) -> DataFrame:
-    """Summary rows (node_id, refers_to) take the totals of the node that they refer to."""
-    return summaries.join(totals.withColumnRenamed("node_id", "refers_to"), "refers_to").select("node_id", *KEY, "amount")
+def refresh_summaries(summaries: DataFrame, totals: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """Summary rows (node_id, refers_to) take the totals of the node that they refer to.
+
+    Rows that refer to no node with totals take `local` (node_id, year, source_type, amount), the sums of their table so far (W5).
+    """
+    given = summaries.join(totals.withColumnRenamed("node_id", "refers_to"), "refers_to").select("node_id", *KEY, "amount")
+    if local is None:
+        return given
+    rest = summaries.select("node_id").join(given.select("node_id").distinct(), "node_id", "left_anti")
+    return given.unionByName(local.join(rest, "node_id", "left_semi").select("node_id", *KEY, "amount"))
 
 
 def rebase_root(baseline: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -151,6 +160,12 @@ def close_to_target(actual: DataFrame, expected: DataFrame, tolerance: float = 1
     return joined.select(F.lit("ADJUSTMENT").alias("node_id"), *KEY, delta.alias("amount")).where(F.abs("amount") > tolerance)
 
 
+def closed_root(actual: DataFrame, expected: DataFrame, tolerance: float = 10.0) -> DataFrame:
+    """P16's second roll-up: the root's totals with its adjustment lines."""
+    both = actual.select(*KEY, "amount").unionByName(close_to_target(actual, expected, tolerance).select(*KEY, "amount"))
+    return both.groupBy(*KEY).agg(total().alias("amount"))
+
+
 def aggregate_parent_fix(totals: DataFrame, aggregates: DataFrame, closure: DataFrame) -> DataFrame:
     """New aggregates (node_id is the blank parent) replace its totals; the difference goes up."""
     mine = totals.withColumnRenamed("amount", "old")

@@ -15,7 +15,7 @@ SUM = f"CAST(sum(amount) AS {D})"
 
 @query("latest_status", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
 def latest_status(spark, sf):
-    return flows.latest_status(bound(spark, sf, "SELECT user_id, event_type, ts, event_id FROM events"))
+    return flows.latest_status(bound(spark, sf, "SELECT user_id, event_type, ts, event_id FROM events"), "user_id", "event_type", ["ts", "event_id"])
 
 
 @query("audit_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -106,20 +106,9 @@ def apply_new_objects(spark, sf):
     return numbered.groupBy("parent_id").agg(F.countDistinct("number").alias("n"), tree.total().alias("amount"))
 
 
-@query("instructions_to_items", "SELECT o_orderkey AS command_id, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'year' ELSE 'amount' END AS missing FROM orders WHERE o_orderkey NOT BETWEEN 1900 AND 2099")
+@query("instructions_to_items", "SELECT o_orderkey AS command_id, CASE WHEN o_orderkey BETWEEN 2000 AND 2099 THEN 'amount' ELSE CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'year' ELSE 'amount' END END AS missing FROM orders")
 def instructions_to_items(spark, sf):
-    """P25: the fields that a command lacks."""
-    from ..functions import money, text
-
-    df = bound(spark, sf, "SELECT o_orderkey AS command_id, CASE o_orderkey % 3 WHEN 0 THEN concat('Установить ', o_orderkey, ' в 2026') WHEN 1 THEN concat('Установить ', o_orderkey) ELSE 'Установить в 2026' END AS command FROM orders WHERE o_orderkey NOT BETWEEN 1900 AND 2099")
-    c = F.col("command")
-    missing = F.array_compact(F.array(F.when(F.size(text.instruction_years(c)) == 0, "year"), F.when(money.extract_last_amount(c).isNull(), "amount")))
-    return df.select("command_id", F.array_join(missing, ",").alias("missing"))
-
-
-@query("instructions_to_items_all", "SELECT o_orderkey AS command_id, CASE WHEN o_orderkey BETWEEN 2000 AND 2099 THEN 'amount' ELSE CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'year' ELSE 'amount' END END AS missing FROM orders")
-def instructions_to_items_all(spark, sf):
-    """As instructions_to_items, with the amounts that look like years: 20xx is a year and no amount."""
+    """P25: the fields that a command lacks; an amount like a year (20xx) is a year and no amount."""
     from ..functions import money, text
 
     df = bound(spark, sf, "SELECT o_orderkey AS command_id, CASE o_orderkey % 3 WHEN 0 THEN concat('Установить ', o_orderkey, ' в 2026') WHEN 1 THEN concat('Установить ', o_orderkey) ELSE 'Установить в 2026' END AS command FROM orders")

@@ -42,9 +42,9 @@ def extract_amounts(spark, sf):
     return bound(spark, sf, MONEY_TEXT).select("id", x[0].alias("first_amount"), x[1].alias("second_amount"), F.size(x).alias("n"))
 
 
-@query("extract_last_amount", f"SELECT o_orderkey AS id, CAST(o_custkey AS {D}) AS last_amount FROM orders WHERE length(CAST(o_custkey AS STRING)) <> 4")
+@query("extract_last_amount", f"SELECT o_orderkey AS id, CAST(CASE WHEN o_custkey BETWEEN 2000 AND 2099 THEN (o_orderkey % 900 + 100) * 1000 + 500 ELSE o_custkey END AS {D}) AS last_amount FROM orders")
 def extract_last_amount(spark, sf):
-    return bound(spark, sf, MONEY_TEXT.replace("FROM orders", "FROM orders WHERE length(CAST(o_custkey AS STRING)) <> 4")).select("id", m.extract_last_amount(F.col("command")).alias("last_amount"))
+    return bound(spark, sf, MONEY_TEXT).select("id", m.extract_last_amount(F.col("command")).alias("last_amount"))
 
 
 @query(
@@ -69,9 +69,9 @@ TABLE = lambda values: "CASE id % 16 " + " ".join(f"WHEN {i} THEN '{v}'" for i,
 @query(
     "normalize_sources",
     "SELECT id, "
-    + TABLE("FEDERAL_BUDGET REGIONAL_BUDGET LOCAL_BUDGET EXTRABUDGETARY PRIVATE_FUNDS OTHER_SOURCE LOCAL_BUDGET REGIONAL_BUDGET LOCAL_BUDGET MUNICIPAL_BUDGET UNKNOWN UNKNOWN UNKNOWN UNKNOWN UNKNOWN UNKNOWN".split())
+    + TABLE("FEDERAL_BUDGET REGIONAL_BUDGET LOCAL_BUDGET EXTRABUDGETARY PRIVATE_FUNDS OTHER_SOURCE LOCAL_BUDGET REGIONAL_BUDGET LOCAL_BUDGET DISTRICT_BUDGET UNKNOWN UNKNOWN UNKNOWN UNKNOWN UNKNOWN UNKNOWN".split())
     + " AS by_cells, "
-    + TABLE("FEDERAL_BUDGET LOCAL_BUDGET LOCAL_BUDGET EXTRABUDGETARY PRIVATE_FUNDS OTHER_SOURCE UNKNOWN UNKNOWN MUNICIPAL_BUDGET MUNICIPAL_BUDGET UNKNOWN UNKNOWN UNKNOWN UNKNOWN UNKNOWN UNKNOWN".split())
+    + TABLE("FEDERAL_BUDGET LOCAL_BUDGET LOCAL_BUDGET EXTRABUDGETARY PRIVATE_FUNDS OTHER_SOURCE UNKNOWN UNKNOWN DISTRICT_BUDGET DISTRICT_BUDGET UNKNOWN UNKNOWN UNKNOWN UNKNOWN UNKNOWN UNKNOWN".split())
     + " AS by_catalog, "
     + TABLE("SOURCE SOURCE SOURCE SOURCE SOURCE SOURCE SOURCE SOURCE SOURCE SOURCE EMPTY SUBPROGRAM_TOTAL MAIN_ACTIVITY OBJECT RESULT HEADER".split())
     + " AS row_type, id % 16 = 11 AS is_total, CAST(CASE id % 16 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 30 WHEN 3 THEN 50 WHEN 4 THEN 60 WHEN 5 THEN 70 WHEN 6 THEN 30 WHEN 7 THEN 20 WHEN 8 THEN 30 WHEN 9 THEN 40 ELSE 99 END AS INT) AS sort_order FROM (SELECT o_orderkey AS id FROM orders)",
@@ -90,17 +90,11 @@ def source_alias_join(spark, sf):
     return joined.select("id", t.normalize_source_catalog(F.col("label"), F.col("key")).alias("source_type"))
 
 
-@query("normalize_names", r"SELECT doc_id, trim(regexp_replace(replace(lower(substr(text, 1, 200)), 'ё', 'е'), '[^\p{L}\p{M}\p{Nd}]+', ' ', 'g')) AS alnum, length(trim(regexp_replace(lower(substr(text, 1, 200)), '[\s(),;:]+', ' ', 'g'))) > 0 AS has_name FROM documents")
+@query("normalize_names", r"""SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[^\p{L}\p{M}\p{Nd}]+', ' ', 'g')) AS alnum,
+  trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), 'ё', 'е'), '[\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g'), '["''«»“”„(),;:]', ' ', 'g'), '\s+', ' ', 'g')) AS abbrev FROM documents""")
 def normalize_names(spark, sf):
-    x = F.col("text").substr(1, 200)
-    return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.normalize_name_alnum(x).alias("alnum"), (F.length(t.normalize_name_abbrev(x)) > 0).alias("has_name"))
-
-
-@query("normalize_names_whole", r"SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[^\p{L}\p{M}\p{Nd}]+', ' ', 'g')) AS alnum, length(trim(regexp_replace(lower(text), '[\s(),;:]+', ' ', 'g'))) > 0 AS has_name FROM documents")
-def normalize_names_whole(spark, sf):
-    """As normalize_names, over whole texts."""
     x = F.col("text")
-    return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.normalize_name_alnum(x).alias("alnum"), (F.length(t.normalize_name_abbrev(x)) > 0).alias("has_name"))
+    return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.normalize_name_alnum(x).alias("alnum"), t.normalize_name_abbrev(x).alias("abbrev"))
 
 
 SHEET = """SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN 'Итого' WHEN 1 THEN 'Муниципальная программа' WHEN 2 THEN 'Подпрограмма 1' WHEN 3 THEN 'Основное мероприятие 01' WHEN 4 THEN 'Мероприятие 01.02' WHEN 5 THEN 'Школа' ELSE '' END AS name,
@@ -161,17 +155,13 @@ def trim_evidence(spark, sf):
     return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.trim_evidence(F.col("text")).alias("evidence"))
 
 
-@query("scrub_text", "SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 300)), 'the', 'a', 'g'), '[%*#$&]+', '', 'g') AS scrubbed, contains(lower(substr(text, 1, 300)), 'idiot') OR contains(lower(substr(text, 1, 300)), 'scum') AS forbidden FROM documents")
-def scrub_text(spark, sf):
-    x = F.lower(F.col("text").substr(1, 300))
-    return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.scrub_text(x, [("the", "a"), ("[%*#$&]+", "")]).alias("scrubbed"), x.rlike("idiot|scum").alias("forbidden"))
+TERMS = ["idiot", "scum", "moron"]
 
 
-@query("scrub_text_whole", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), 'the', 'a', 'g'), '[%*#$&]+', '', 'g') AS scrubbed, contains(lower(text), 'idiot') OR contains(lower(text), 'scum') AS forbidden FROM documents")
-def scrub_text_whole(spark, sf):
-    """As scrub_text, over whole texts."""
+@query("scrub_text", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), 'the', 'a', 'g'), '[%*#$&]+', '', 'g') AS scrubbed, concat_ws(',', CASE WHEN contains(lower(text), 'idiot') THEN 'idiot' END, CASE WHEN contains(lower(text), 'scum') THEN 'scum' END, CASE WHEN contains(lower(text), 'moron') THEN 'moron' END) AS forbidden FROM documents")
+def scrub_text(spark, sf):
     x = F.lower("text")
-    return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.scrub_text(x, [("the", "a"), ("[%*#$&]+", "")]).alias("scrubbed"), x.rlike("idiot|scum").alias("forbidden"))
+    return bound(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", t.scrub_text(x, [("the", "a"), ("[%*#$&]+", "")]).alias("scrubbed"), F.array_join(t.forbidden_terms(F.col("text"), TERMS), ",").alias("forbidden"))
 
 
 @query("meaningful_tokens", "SELECT p_partkey AS id, len(list_filter(list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: length(w) > 1)) AS n FROM part")
@@ -185,7 +175,11 @@ def token_core(spark, sf):
     return words.select("id", F.when(F.col("w") == "строительный", "строитель").otherwise(t.token_core(F.col("w"))).alias("core"))
 
 
-@query("intent_rules", "SELECT conv_id, turn, CASE WHEN regexp_matches(x, '[?]|что|какой|сколько|how|what') THEN 'question' WHEN regexp_matches(x, 'сверк|reconcil|провер') THEN 'reconcile' WHEN regexp_matches(x, 'примен|apply|выгруз') THEN 'apply' WHEN regexp_matches(x, 'измен|увелич|уменьш|обнул|change|set') THEN 'manual_change' WHEN regexp_matches(x, 'отчет|report|покажи|show') THEN 'report' ELSE 'other' END AS intent, CASE WHEN contains(x, 'xlsx') THEN 'target_only' WHEN contains(x, 'pdf') THEN 'patch_only' ELSE 'auto' END AS mode FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS x FROM conversations)")
+#: The rules as SQL, in their order.
+INTENT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(x, '{pattern}') THEN '{name}'" for pattern, name in t.INTENT_RULES) + " ELSE 'unknown' END"
+
+
+@query("intent_rules", rf"SELECT conv_id, turn, {INTENT_SQL} AS intent, CASE WHEN contains(x, 'xlsx') THEN 'target_only' WHEN contains(x, 'pdf') THEN 'patch_only' ELSE 'auto' END AS mode FROM (SELECT conv_id, turn, trim(regexp_replace(replace(lower(coalesce(text, '')), 'ё', 'е'), '\s+', ' ', 'g')) AS x FROM conversations)")
 def intent_rules(spark, sf):
     return bound(spark, sf, "SELECT conv_id, turn, text FROM conversations").select("conv_id", "turn", t.intent_class(F.col("text")).alias("intent"), t.mode_from_text(F.col("text")).alias("mode"))
 

@@ -25,7 +25,7 @@ def cells(spark, sf):
 
 def layout(spark, sf):
     c = cells(spark, sf)
-    return g.amount_columns(g.header_text(c, g.detect_header(c)), g.base_year(c))
+    return g.amount_columns(g.header_text(c.where("row_idx < 10"), g.detect_header(c, within=6)), g.base_year(c))
 
 
 @query("header_rows", "SELECT o_orderkey AS doc_id, CAST(r AS INT) AS row_idx FROM orders, (SELECT unnest([1, 2]) AS r)")
@@ -39,12 +39,12 @@ def header_layout(spark, sf):
     return g.header_text(c, g.detect_header(c))
 
 
-@query("amount_columns", "SELECT o_orderkey AS doc_id, CAST(c AS INT) AS col_idx, CAST(year(o_orderdate) + 10 + CASE WHEN c = 4 THEN 1 ELSE 0 END AS INT) AS year, CASE WHEN c = 3 THEN 'FEDERAL_BUDGET' ELSE 'UNKNOWN' END AS source_type, c <> 3 AS needs_row_source FROM orders, (SELECT unnest([2, 3, 4]) AS c) WHERE year(o_orderdate) + 10 >= 2000")
+@query("amount_columns", "SELECT o_orderkey AS doc_id, CAST(c AS INT) AS col_idx, CAST(year(o_orderdate) + 10 + CASE WHEN c = 4 THEN 1 ELSE 0 END AS INT) AS year, CASE WHEN c = 3 THEN 'FEDERAL_BUDGET' ELSE 'UNKNOWN' END AS source_type, c <> 3 AS needs_row_source FROM orders, (SELECT unnest([2, 3, 4]) AS c)")
 def amount_columns(spark, sf):
-    return layout(spark, sf).where("year >= 2000")
+    return layout(spark, sf)
 
 
-@query("base_year", "SELECT o_orderkey AS doc_id, CAST(year(o_orderdate) + 10 AS INT) AS base_year FROM orders WHERE year(o_orderdate) + 10 >= 2000")
+@query("base_year", "SELECT o_orderkey AS doc_id, CAST(year(o_orderdate) + 10 AS INT) AS base_year FROM orders")
 def base_year(spark, sf):
     return g.base_year(cells(spark, sf))
 
@@ -95,9 +95,9 @@ def finance_tables(spark, sf):
     return g.finance_tables(bound(spark, sf, TABLES))
 
 
-@query("finance_layout", "SELECT o_custkey AS doc_id, CAST(year(o_orderdate) + 10 AS INT) AS year, arg_min(o_orderkey % 9 + 5, o_orderkey) AS col_idx FROM orders WHERE year(o_orderdate) + 10 >= 2000 GROUP BY ALL")
+@query("finance_layout", "SELECT o_custkey AS doc_id, CAST(year(o_orderdate) + 10 AS INT) AS year, arg_min(o_orderkey % 9 + 5, o_orderkey) AS col_idx FROM orders GROUP BY ALL")
 def finance_layout(spark, sf):
-    c = bound(spark, sf, "SELECT o_custkey AS doc_id, o_orderkey AS row_idx, o_orderkey % 9 + 5 AS col_idx, concat(year(o_orderdate) + 10, ' год') AS text FROM orders WHERE year(o_orderdate) + 10 >= 2000")
+    c = bound(spark, sf, "SELECT o_custkey AS doc_id, o_orderkey AS row_idx, o_orderkey % 9 + 5 AS col_idx, concat(year(o_orderdate) + 10, ' год') AS text FROM orders")
     return g.finance_layout(c)
 
 
@@ -212,13 +212,7 @@ def build_tree(spark, sf):
     return nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"))
 
 
-@query("build_patch", "SELECT o_custkey AS doc_id, concat('Школа ', o_custkey) AS object_name, 2026 AS year, min(o_orderkey) AS page_number FROM orders WHERE o_orderkey NOT BETWEEN 1900 AND 2099 GROUP BY o_custkey")
+@query("build_patch", "SELECT o_custkey AS doc_id, concat('Школа ', o_custkey) AS object_name, CAST(CASE WHEN o_orderkey BETWEEN 1900 AND 2099 THEN o_orderkey ELSE 2026 END AS INT) AS year, min(o_orderkey) AS page_number FROM orders GROUP BY ALL")
 def build_patch(spark, sf):
-    pages = bound(spark, sf, CHANGES.replace(" тыс. руб", " тыс руб").replace("FROM orders", "FROM orders WHERE o_orderkey NOT BETWEEN 1900 AND 2099"))
-    return g.build_patch(pages).select("doc_id", "object_name", "year", "page_number")
-
-
-@query("build_patch_all", "SELECT o_custkey AS doc_id, concat('Школа ', o_custkey) AS object_name, CAST(CASE WHEN o_orderkey BETWEEN 1900 AND 2099 THEN o_orderkey ELSE 2026 END AS INT) AS year, min(o_orderkey) AS page_number FROM orders GROUP BY ALL")
-def build_patch_all(spark, sf):
-    """As build_patch, with the amounts that look like years, which count as the year."""
+    """Amounts that look like years count as the year."""
     return g.build_patch(bound(spark, sf, CHANGES.replace(" тыс. руб", " тыс руб"))).select("doc_id", "object_name", "year", "page_number")

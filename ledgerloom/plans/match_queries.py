@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import match as x
 from ..operators import planning as q
-from .registry import ORACLES, bound, query, rows
+from .registry import bound, query, rows
 
 D = "DECIMAL(20,2)"
 SUM = f"CAST(sum(amount) AS {D})"
 
 # parts stand for nodes, their brands for blocks; groups are the same names, some without a code, some renamed
 NODES = "SELECT concat('P', p_partkey) AS node_id, p_brand AS block, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN concat('K', p_partkey) END AS code, p_type, p_size FROM part"
-GROUPS = "SELECT concat('G', p_partkey) AS group_key, p_brand AS block, CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, ' x') ELSE p_name END AS name, CASE WHEN p_partkey % 6 = 0 THEN concat('K', p_partkey) WHEN p_partkey % 6 = 1 THEN 'K0' END AS code FROM part WHERE p_partkey % 3 <> 2"
+GROUPS = "SELECT concat('G', p_partkey) AS group_key, p_brand AS block, CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, ' x') ELSE p_name END AS name, CASE WHEN p_partkey % 6 = 0 THEN concat('K', p_partkey) WHEN p_partkey % 6 = 1 THEN 'K0' END AS code FROM part"
 NORM = "trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))"
 N_SQL = f"n AS (SELECT *, {NORM} AS norm FROM ({NODES})), g AS (SELECT *, {NORM} AS norm FROM ({GROUPS}))"
 CODE_SQL = "c AS (SELECT group_key, min(node_id) AS node_id, 'MATCH_EXACT_CODE' AS match_status, 1.0 AS confidence FROM g JOIN n USING (block, code) WHERE code IS NOT NULL GROUP BY 1)"
@@ -23,24 +23,24 @@ GLOBAL_SQL = f"l AS (SELECT group_key, {ONE.format('MATCH_EXACT_NAME_GLOBAL')} F
 OUT = "group_key, node_id, match_status, CAST(confidence AS DOUBLE) AS confidence"
 
 
-def sides(spark, sf, groups=GROUPS):
+def sides(spark, sf):
     n = x.named(bound(spark, sf, NODES), F.col("name")).withColumn("codes", F.array("code"))
-    return x.named(bound(spark, sf, groups), F.col("name")), n
+    return x.named(bound(spark, sf, GROUPS), F.col("name")), n
 
 
 @query("match_code", f"WITH {N_SQL}, {CODE_SQL} SELECT {OUT} FROM c")
-def match_code(spark, sf, groups=GROUPS):
-    return x.match_code(*sides(spark, sf, groups))
+def match_code(spark, sf):
+    return x.match_code(*sides(spark, sf))
 
 
 @query("match_exact", f"WITH {N_SQL}, {EXACT_SQL} SELECT {OUT} FROM e")
-def match_exact(spark, sf, groups=GROUPS):
-    return x.match_exact_name(*sides(spark, sf, groups))
+def match_exact(spark, sf):
+    return x.match_exact_name(*sides(spark, sf))
 
 
 @query("match_global", f"WITH {N_SQL}, {GLOBAL_SQL} SELECT {OUT} FROM l")
-def match_global(spark, sf, groups=GROUPS):
-    return x.match_global_name(*sides(spark, sf, groups))
+def match_global(spark, sf):
+    return x.match_global_name(*sides(spark, sf))
 
 
 @query(
@@ -49,40 +49,46 @@ def match_global(spark, sf, groups=GROUPS):
     SELECT g.group_key, CASE WHEN c.group_key IS NOT NULL THEN c.node_id WHEN e.group_key IS NOT NULL THEN e.node_id ELSE l.node_id END AS node_id, coalesce(c.match_status, e.match_status, l.match_status, 'MISSING_IN_DOCX') AS match_status, CAST(coalesce(c.confidence, e.confidence, l.confidence, 0.0) AS DOUBLE) AS confidence
     FROM g LEFT JOIN c USING (group_key) LEFT JOIN e USING (group_key) LEFT JOIN l USING (group_key)""",
 )
-def match_cascade(spark, sf, groups=GROUPS):
-    g, n = sides(spark, sf, groups)
+def match_cascade(spark, sf):
+    g, n = sides(spark, sf)
     return x.match_cascade(g, [x.match_code(g, n), x.match_exact_name(g, n), x.match_global_name(g, n)])
 
 
 @query("parent_scope", f"SELECT group_key, count(*) AS candidates FROM ({GROUPS}) JOIN ({NODES}) USING (block) GROUP BY 1")
-def parent_scope(spark, sf, groups=GROUPS):
-    g, n = sides(spark, sf, groups)
+def parent_scope(spark, sf):
+    g, n = sides(spark, sf)
     return x.parent_scope(g.select("group_key", "block"), n.select("node_id", "block")).groupBy("group_key").agg(F.count("*").alias("candidates"))
 
 
 @query("match_fuzzy_greedy")
-def match_fuzzy_greedy(spark, sf, groups=GROUPS):
-    return x.match_fuzzy(*sides(spark, sf, groups), threshold=0.6)
+def match_fuzzy_greedy(spark, sf):
+    return x.match_fuzzy(*sides(spark, sf), threshold=0.6)
 
 
-@query("match_event_name")
-def match_event_name(spark, sf, groups=GROUPS):
-    return x.match_event_name(*sides(spark, sf, groups))
+PAIRED_SQL = f"""p AS (SELECT g.group_key, n.node_id, n.p_size > 10 AS is_leaf, concat(' ', g.norm, ' ') LIKE concat('% ', n.norm, ' %') OR concat(' ', n.norm, ' ') LIKE concat('% ', g.norm, ' %') AS held, list_filter(list_distinct(string_split(g.norm, ' ')), lambda w: length(w) > 1) AS l, list_filter(list_distinct(string_split(n.norm, ' ')), lambda w: length(w) > 1) AS r FROM g JOIN n USING (block)),
+    o AS (SELECT group_key, node_id, is_leaf, held, round(len(list_filter(l, lambda a: len(list_filter(r, lambda b: starts_with(a, b) OR starts_with(b, a))) > 0)) / CAST(greatest(len(l), len(r), 1) AS DOUBLE), 4) AS overlap FROM p)"""
 
 
-@query("match_residual_parent")
-def match_residual_parent(spark, sf, groups=GROUPS):
-    g, n = sides(spark, sf, groups)
-    return x.match_residual_parent(g, n.withColumn("is_leaf", F.col("p_size") > 10))
+@query(
+    "match_event_name",
+    f"""WITH {N_SQL}, {PAIRED_SQL}, s AS (SELECT group_key, node_id, CASE WHEN held THEN 0.95 ELSE overlap END AS score FROM o), k AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY group_key ORDER BY score DESC, node_id))
+    SELECT group_key, node_id, 'MATCH_PDF_EVENT_NAME' AS match_status, CAST(score AS DOUBLE) AS confidence FROM k WHERE rn = 1 AND score >= 0.45 AND (second IS NULL OR second < score)""",
+)
+def match_event_name(spark, sf):
+    return x.match_event_name(*sides(spark, sf))
 
 
-PARENT = "SELECT concat('G', o_custkey) AS group_key, concat('C', o_custkey) AS parent_id, CAST(year(o_orderdate) AS INT) AS year, 'LOCAL_BUDGET' AS source_type, CAST(sum(CAST(o_totalprice AS DECIMAL(20,2))) AS DECIMAL(20,2)) AS amount FROM orders WHERE o_custkey % 3 <> 0 OR o_orderkey % 2 = 0 GROUP BY o_custkey, year(o_orderdate)"
+@query(
+    "match_residual_parent",
+    f"""WITH {N_SQL}, {PAIRED_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY overlap DESC, node_id) AS rn FROM o WHERE overlap >= 0.45)
+    SELECT group_key, node_id, 'MATCH_RESIDUAL_PARENT' AS match_status, CAST(overlap AS DOUBLE) AS confidence FROM k WHERE rn = 1 AND is_leaf""",
+)
+def match_residual_parent(spark, sf):
+    g, n = sides(spark, sf)
+    return x.match_residual_parent(g, n.withColumn("is_leaf", F.col("p_size") > 10))
 
 
-#: The same queries over the groups of all parts.
-OF_PARTS = " WHERE p_partkey % 3 <> 2"
-for _fn in (match_code, match_exact, match_global, match_cascade, parent_scope, match_fuzzy_greedy, match_event_name, match_residual_parent):
-    query(f"{_fn.__name__}_all", ORACLES.get(_fn.__name__, "").replace(OF_PARTS, "") or None)(lambda spark, sf, fn=_fn: fn(spark, sf, GROUPS.removesuffix(OF_PARTS)))
+PARENT = "SELECT concat('G', o_custkey) AS group_key, concat('C', o_custkey) AS parent_id, CAST(year(o_orderdate) AS INT) AS year, 'LOCAL_BUDGET' AS source_type, CAST(sum(CAST(o_totalprice AS DECIMAL(20,2))) AS DECIMAL(20,2)) AS amount FROM orders WHERE o_custkey % 3 <> 0 OR o_orderkey % 2 = 0 GROUP BY o_custkey, year(o_orderdate)"
 
 
 @query(
@@ -143,7 +149,7 @@ def decision_check(spark, sf):
 
 @query(
     "find_candidates",
-    f"""WITH r AS (SELECT p_partkey AS ref_id, {NORM} AS norm FROM (SELECT p_partkey, p_name AS name FROM part WHERE p_partkey % 20 = 1)), n AS (SELECT concat('P', p_partkey) AS node_id, {NORM} AS nn FROM (SELECT p_partkey, p_name AS name FROM part)),
+    f"""WITH r AS (SELECT p_partkey AS ref_id, {NORM} AS norm FROM (SELECT p_partkey, p_name AS name FROM part)), n AS (SELECT concat('P', p_partkey) AS node_id, {NORM} AS nn FROM (SELECT p_partkey, p_name AS name FROM part)),
     rs AS (SELECT DISTINCT ref_id, norm, substr(w, 1, 6) AS stem FROM (SELECT ref_id, norm, unnest(string_split(norm, ' ')) AS w FROM r) WHERE length(w) >= 6), ns AS (SELECT DISTINCT node_id, nn, substr(w, 1, 6) AS stem FROM (SELECT node_id, nn, unnest(string_split(nn, ' ')) AS w FROM n) WHERE length(w) >= 6),
     s AS (SELECT ref_id, node_id, count(*) + CASE WHEN norm = nn THEN 2 ELSE 0 END AS score FROM rs JOIN ns USING (stem) GROUP BY ref_id, node_id, norm, nn),
     k AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY ref_id ORDER BY score DESC, node_id))
@@ -151,17 +157,10 @@ def decision_check(spark, sf):
 )
 def find_candidates(spark, sf):
     parts = bound(spark, sf, "SELECT p_partkey, p_name AS name FROM part")
-    refs = x.named(parts.where("p_partkey % 20 = 1").withColumnRenamed("p_partkey", "ref_id"), F.col("name"))
+    refs = x.named(parts.withColumnRenamed("p_partkey", "ref_id"), F.col("name"))
     return x.find_candidates(refs, x.named(parts.withColumn("node_id", F.concat(F.lit("P"), "p_partkey")), F.col("name")))
 
 
-@query("find_candidates_all", ORACLES["find_candidates"].replace(" WHERE p_partkey % 20 = 1", ""))
-def find_candidates_all(spark, sf):
-    """As find_candidates, for every part."""
-    parts = bound(spark, sf, "SELECT p_partkey, p_name AS name FROM part")
-    return x.find_candidates(x.named(parts.withColumnRenamed("p_partkey", "ref_id"), F.col("name")), x.named(parts.withColumn("node_id", F.concat(F.lit("P"), "p_partkey")), F.col("name")))
-
-
 @query("anchor_parent_score", "SELECT s_suppkey AS ref_id, concat('N', s_nationkey) AS p_id, CAST(9 AS INT) AS score FROM supplier")
 def anchor_parent_score(spark, sf):
     refs = bound(spark, sf, "SELECT s_suppkey AS ref_id, n_regionkey AS block, concat('A', s_nationkey) AS code, s_nationkey AS number FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -176,19 +175,19 @@ def latest_parsed_document(spark, sf):
     return q.latest_parsed_document(bound(spark, sf, REGISTRY))
 
 
-OFFSETS = "SELECT l_suppkey % 20 AS table_idx, l_partkey AS anchor, l_orderkey * 10 + l_linenumber AS seq, l_orderkey, CAST(l_quantity AS BIGINT) AS n_rows, l_extendedprice AS e FROM lineitem"
+OFFSETS = "SELECT l_orderkey % 7 AS doc_id, l_suppkey % 20 AS table_idx, l_partkey AS anchor, l_orderkey * 10 + l_linenumber AS seq, l_orderkey, CAST(l_quantity AS BIGINT) AS n_rows, l_extendedprice AS e FROM lineitem"
 
 
-@query("insert_offsets", f"SELECT sum(row_idx) AS s, count(*) AS n, table_idx FROM (SELECT table_idx, CAST(anchor + 1 + coalesce(sum(n_rows) OVER (PARTITION BY table_idx ORDER BY anchor, seq, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_idx FROM ({OFFSETS})) GROUP BY table_idx".replace("sum(row_idx) AS s", "CAST(sum(row_idx) AS BIGINT) AS s"))
+@query("insert_offsets", f"SELECT sum(row_idx) AS s, count(*) AS n, doc_id, table_idx FROM (SELECT doc_id, table_idx, CAST(anchor + 1 + coalesce(sum(n_rows) OVER (PARTITION BY doc_id, table_idx ORDER BY anchor, seq, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_idx FROM ({OFFSETS})) GROUP BY doc_id, table_idx".replace("sum(row_idx) AS s", "CAST(sum(row_idx) AS BIGINT) AS s"))
 def insert_offsets(spark, sf):
     df = bound(spark, sf, OFFSETS).withColumn("seq", F.struct("seq", "e"))
-    return q.insert_offsets(df).groupBy("table_idx").agg(F.sum("row_idx").alias("s"), F.count("*").alias("n"))
+    return q.insert_offsets(df).groupBy("doc_id", "table_idx").agg(F.sum("row_idx").alias("s"), F.count("*").alias("n"))
 
 
-@query("shift_coordinates", "SELECT o_orderkey AS update_id, CAST(o_orderkey + coalesce((SELECT sum(p_size) FROM part WHERE p_partkey % 10 = o_custkey % 10 AND p_partkey < o_orderkey), 0) AS BIGINT) AS row_idx FROM orders")
+@query("shift_coordinates", "SELECT o_orderkey AS update_id, CAST(o_orderkey + coalesce((SELECT sum(p_size) FROM part WHERE p_partkey % 10 = o_custkey % 10 AND p_size % 3 = o_orderkey % 3 AND p_partkey < o_orderkey), 0) AS BIGINT) AS row_idx FROM orders")
 def shift_coordinates(spark, sf):
-    updates = bound(spark, sf, "SELECT o_custkey % 10 AS table_idx, o_orderkey AS row_idx, o_orderkey AS update_id FROM orders")
-    inserts = bound(spark, sf, "SELECT p_partkey % 10 AS table_idx, p_partkey AS anchor, CAST(p_size AS BIGINT) AS n_rows FROM part")
+    updates = bound(spark, sf, "SELECT o_orderkey % 3 AS doc_id, o_custkey % 10 AS table_idx, o_orderkey AS row_idx, o_orderkey AS update_id FROM orders")
+    inserts = bound(spark, sf, "SELECT CAST(p_size % 3 AS BIGINT) AS doc_id, p_partkey % 10 AS table_idx, p_partkey AS anchor, CAST(p_size AS BIGINT) AS n_rows FROM part")
     return q.shift_coordinates(updates, inserts)
 
 
@@ -254,23 +253,17 @@ def recent_messages(spark, sf):
 @query(
     "recent_mention",
     r"""WITH m AS (SELECT conv_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{Nd}]+')) AS w FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 12),
-    n AS (SELECT item_id AS name_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+')) AS w FROM benchmark WHERE item_id < 10)
+    n AS (SELECT item_id AS name_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+')) AS w FROM benchmark)
     SELECT conv_id, min(name_id) AS name_id FROM m JOIN n ON left(m.w, 5) = left(n.w, 5) WHERE length(m.w) >= 5 AND length(n.w) >= 5 GROUP BY 1""",
 )
 def recent_mention(spark, sf):
-    names = bound(spark, sf, "SELECT item_id AS name_id, text AS name FROM benchmark WHERE item_id < 10")
+    names = bound(spark, sf, "SELECT item_id AS name_id, text AS name FROM benchmark")
     return q.recent_mention(bound(spark, sf, "SELECT conv_id, turn, text FROM conversations"), names)
 
 
-@query("recent_mention_all", ORACLES["recent_mention"].replace(" WHERE item_id < 10", ""))
-def recent_mention_all(spark, sf):
-    """As recent_mention, with all names."""
-    return q.recent_mention(bound(spark, sf, "SELECT conv_id, turn, text FROM conversations"), bound(spark, sf, "SELECT item_id AS name_id, text AS name FROM benchmark"))
-
-
-@query("search_chunks", "SELECT doc_id AS chunk_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'worthless') OR contains(lower(source), 'license') OR contains(lower(source), 'worthless') ORDER BY n_chars DESC, doc_id DESC LIMIT 50")
+@query("search_chunks", "SELECT doc_id AS chunk_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'worthless') OR contains(lower(source), 'license') OR contains(lower(source), 'worthless') OR contains(lower(lang), 'license') OR contains(lower(lang), 'worthless') ORDER BY n_chars DESC, doc_id DESC LIMIT 50")
 def search_chunks(spark, sf):
-    chunks = bound(spark, sf, "SELECT doc_id AS chunk_id, source AS title, text AS content, n_chars AS created_at FROM documents")
+    chunks = bound(spark, sf, "SELECT doc_id AS chunk_id, source AS title, text AS content, lang AS chunk_type, n_chars AS created_at FROM documents")
     return q.search_chunks(chunks, "the License of worthless").select("chunk_id")
 
 
@@ -286,12 +279,12 @@ def index_chunks(spark, sf):
 
 @query(
     "chunk_topics",
-    """WITH p AS (SELECT doc_id % 100 AS doc_id, doc_id AS page_number, lower(text) AS t FROM documents), h AS (SELECT doc_id, page_number, 'license' AS topic FROM p WHERE regexp_matches(t, 'license') UNION ALL SELECT doc_id, page_number, 'insult' FROM p WHERE regexp_matches(t, 'idiot|scum')),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY page_number) AS rn FROM h) SELECT doc_id, topic, count(*) AS matched, string_agg(CASE WHEN rn <= 3 THEN CAST(page_number AS STRING) END, ',' ORDER BY page_number) AS first_pages FROM r GROUP BY ALL""",
+    """WITH p AS (SELECT doc_id % 100 AS doc_id, doc_id AS page_number, lower(text) AS t, length(text) AS n FROM documents), h AS (SELECT doc_id, page_number, n, 'license' AS topic FROM p WHERE regexp_matches(t, 'license') UNION ALL SELECT doc_id, page_number, n, 'insult' FROM p WHERE regexp_matches(t, 'idiot|scum')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY page_number) AS rn FROM h) SELECT doc_id, topic, count(*) AS matched, string_agg(CASE WHEN rn <= 3 THEN CAST(page_number AS STRING) END, ',' ORDER BY page_number) AS first_pages, CAST(sum(n) FILTER (rn <= 3) + least(count(*), 3) - 1 AS BIGINT) AS chars FROM r GROUP BY ALL""",
 )
 def chunk_topics(spark, sf):
     pages = bound(spark, sf, "SELECT doc_id % 100 AS doc_id, doc_id AS page_number, text FROM documents")
-    return q.chunk_pages(pages, {"license": ["license"], "insult": ["idiot", "scum"]})
+    return q.chunk_pages(pages, {"license": ["license"], "insult": ["idiot", "scum"]}).withColumn("chars", F.char_length("text").cast("bigint")).drop("text")
 
 
 @query("extract_rules", "SELECT doc_id, 'gnu' AS rule FROM documents WHERE contains(lower(text), 'gnu') AND contains(lower(text), 'license') UNION ALL SELECT doc_id, 'mit' FROM documents WHERE contains(lower(text), 'mit license')")
@@ -318,19 +311,20 @@ def insert_rows_cube(spark, sf):
     return q.insert_rows_cube(rows(spark, sf, "items").where("is_new and mode <> 'delta_minus'").withColumn("object_id", F.col("item_id") % 40), [1995, 1996])
 
 
-@query("duplicate_group_report", f"SELECT object_name, count(DISTINCT group_key) AS groups, min(p_partkey) AS first_row, max(p_partkey) AS last_row, {SUM} AS amount FROM groups GROUP BY 1 HAVING count(DISTINCT group_key) > 1")
+@query("duplicate_group_report", f"SELECT object_name, count(DISTINCT group_key) AS groups, min(p_partkey) AS first_row, max(p_partkey) AS last_row, array_to_string(list_sort(list(DISTINCT p_partkey)), ',') AS row_ids, count(DISTINCT year) AS years, {SUM} AS amount FROM groups GROUP BY 1 HAVING count(DISTINCT group_key) > 1")
 def duplicate_group_report(spark, sf):
-    return q.duplicate_group_report(rows(spark, sf, "groups").withColumn("row_id", F.col("p_partkey")))
+    out = q.duplicate_group_report(rows(spark, sf, "groups").withColumn("row_id", F.col("p_partkey")))
+    return out.select("object_name", "groups", "first_row", "last_row", F.array_join(F.col("row_ids").cast("array<string>"), ",").alias("row_ids"), F.size("by_year").cast("bigint").alias("years"), "amount")
 
 
 @query("group_object_rows", "SELECT group_key, arg_min(object_name, (l_orderkey, l_linenumber, p_partkey, amount)) AS object_name, arg_min(source_type, (l_orderkey, l_linenumber, p_partkey, amount)) AS first_source, bool_or(amount = 0) AS explicit_zero, count(*) AS n_rows FROM groups GROUP BY 1")
 def group_object_rows(spark, sf):
-    return q.group_object_rows(rows(spark, sf, "groups"))[0]
+    return q.group_object_rows(rows(spark, sf, "groups"), ["l_orderkey", "l_linenumber", "p_partkey", "amount"])[0]
 
 
 @query("group_funding", f"SELECT group_key, year, source_type, {SUM} AS amount FROM groups GROUP BY ALL")
 def group_funding(spark, sf):
-    return q.group_object_rows(rows(spark, sf, "groups"))[1]
+    return q.group_object_rows(rows(spark, sf, "groups"), ["l_orderkey", "l_linenumber", "p_partkey", "amount"])[1]
 
 
 @query("context_counts", "SELECT node_type, count(*) AS nodes, CAST(coalesce(sum(n), 0) AS BIGINT) AS lines FROM nodes LEFT JOIN (SELECT node_id, count(*) AS n FROM lines GROUP BY 1) USING (node_id) GROUP BY 1")
@@ -347,10 +341,10 @@ def usage_by_model(spark, sf):
 @query(
     "insert_plan",
     """WITH a AS (SELECT concat('C', c_custkey) AS parent_id, greatest(c_custkey, coalesce(m, c_custkey)) AS anchor FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey),
-    n AS (SELECT concat('C', o_custkey) AS parent_id, o_orderkey AS seq, o_custkey % 3 AS table_idx, o_orderkey % 4 + 1 AS n_rows FROM orders WHERE o_orderkey % 10 = 0)
-    SELECT parent_id, seq, table_idx, CAST(anchor + 1 + coalesce(sum(n_rows) OVER (PARTITION BY table_idx ORDER BY anchor, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_idx FROM n JOIN a USING (parent_id)""",
+    n AS (SELECT concat('C', o_custkey) AS parent_id, o_orderkey AS seq, o_custkey % 5 AS doc_id, o_custkey % 3 AS table_idx, o_orderkey % 4 + 1 AS n_rows FROM orders WHERE o_orderkey % 10 = 0)
+    SELECT parent_id, seq, doc_id, table_idx, CAST(anchor + 1 + coalesce(sum(n_rows) OVER (PARTITION BY doc_id, table_idx ORDER BY anchor, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_idx FROM n JOIN a USING (parent_id)""",
 )
 def insert_plan(spark, sf):
     children = bound(spark, sf, "SELECT concat('C', o_custkey) AS parent_id, o_orderkey AS row_idx, 'x' AS display_number FROM orders")
-    new = bound(spark, sf, "SELECT concat('C', o_custkey) AS parent_id, o_orderkey AS seq, o_custkey % 3 AS table_idx, o_orderkey % 4 + 1 AS n_rows FROM orders WHERE o_orderkey % 10 = 0")
+    new = bound(spark, sf, "SELECT concat('C', o_custkey) AS parent_id, o_orderkey AS seq, o_custkey % 5 AS doc_id, o_custkey % 3 AS table_idx, o_orderkey % 4 + 1 AS n_rows FROM orders WHERE o_orderkey % 10 = 0")
     return q.insert_plan(bound(spark, sf, "SELECT concat('C', c_custkey) AS node_id, c_custkey AS row_idx FROM customer"), children, new)

@@ -7,6 +7,8 @@ engines run, so a query and its oracle begin from the same rows.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,3 +106,13 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return put
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a query that writes and reads again: in the session's shared checkpoint folder, or, in local mode only, in a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

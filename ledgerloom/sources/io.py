@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +41,24 @@ def upload_policy_filter(files: DataFrame) -> DataFrame:
     return files.withColumn("accepted", ok & (F.col("length") <= MOST_BYTES))
 
 
-def replace_by_document(df: DataFrame, path: str, key: str) -> None:
-    """Idempotent reload; only the partitions of keys in df are replaced."""
-    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def replace_by_document(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Idempotent reload: all rows of the keys in df are replaced, those of other keys stay.
+
+    Rows lie in `buckets` folders by a hash of the key (column bucket), so their number does not grow with the documents; only
+    the folders that hold a key of df are written anew. A table keeps its number of buckets.
+    """
+    spark = df.sparkSession
+    new = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    out = new
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException:  # nothing there yet
+        old = None
+    if old is not None:
+        stay = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti")
+        out = new.unionByName(stay.select(new.columns))
+    dealt = out.repartition("bucket", F.pmod(F.xxhash64(*df.columns), F.lit(4)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def write_reconciliation_report(totals: DataFrame, by: str, path: str) -> None:

@@ -22,9 +22,9 @@ def stream_ingest(spark: SparkSession, source: str, schema: str, parse: Callable
     return arrivals.writeStream.foreachBatch(ingest_batch(parse, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_status(events: DataFrame) -> DataFrame:
+def latest_status(events: DataFrame, by: str, status: str, order: list[str]) -> DataFrame:
     """R2: the newest state of each id, for streams (update mode) and tables."""
-    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+    return events.groupBy(by).agg(F.max_by(status, F.struct(*order)).alias("status"))
 
 
 def audit_counts(events: DataFrame, late: str | None = "1 hour") -> DataFrame:

@@ -28,7 +28,7 @@ def test_money(spark):
 def test_sources_differ_by_normalizer(spark):
     x = F.lit("муниципальное образование")
     assert one(spark, text.normalize_source_cells(x)) == "LOCAL_BUDGET"
-    assert one(spark, text.normalize_source_catalog(x)) == "MUNICIPAL_BUDGET"
+    assert one(spark, text.normalize_source_catalog(x)) == "DISTRICT_BUDGET"
     assert one(spark, text.normalize_source_cells(F.lit("900203"))) == "FEDERAL_BUDGET"
     assert one(spark, text.normalize_source_catalog(F.lit("federal_budget"))) == "FEDERAL_BUDGET"
 
@@ -57,6 +57,9 @@ def test_two_rollups_differ(spark):
     assert total(tree.rollup_inclusive(lines, closure)) == {"r": Decimal("12.00"), "c": Decimal("7.00")}
     assert total(tree.rollup_replace(nodes, lines, closure)) == {"r": Decimal("7.00"), "c": Decimal("7.00")}
     assert total(tree.rollup_replace(nodes, lines, closure, F.col("node_id") == "c")) == {"r": Decimal("5.00")}
+    # r - h - c: what lies below the excluded h keeps its own total
+    deep = spark.createDataFrame([("r", None), ("h", "r"), ("c", "h")], "node_id string, parent_id string")
+    assert total(tree.rollup_replace(deep, lines.where("node_id = 'c'"), tree.ancestor_closure(deep, 3), F.col("node_id") == "h")) == {"c": Decimal("7.00")}
 
 
 def test_upsert_sets_the_first_line_only(spark):
@@ -81,6 +84,10 @@ def test_reload_by_document_is_idempotent(spark, tmp_path):
     io.replace_by_document(df, path, "doc_id")
     io.replace_by_document(df.where("doc_id = 'a'").withColumn("v", F.lit(5)), path, "doc_id")
     assert sorted((r.doc_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 5), ("b", 2)]
+    for bucket in (1, 2):
+        io.replace_by_document(df, f"{path}{bucket}", "doc_id", bucket)
+        io.replace_by_document(df.where("doc_id = 'b'").withColumn("v", F.lit(7)), f"{path}{bucket}", "doc_id", bucket)
+        assert sorted((r.doc_id, r.v) for r in spark.read.parquet(f"{path}{bucket}").collect()) == [("a", 1), ("b", 7)]
     io.write_reconciliation_report(df, "doc_id", str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     io.write_change_report(df, str(tmp_path / "c"))
@@ -93,7 +100,7 @@ def test_streams_agree_with_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "2026-01-01 00:10:00", 1), (1, "b", "2026-01-01 00:20:00", 2), (2, "a", "2026-01-01 02:00:00", 3)], "user_id long, event_type string, ts string, event_id long").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(source)
     stream = spark.readStream.schema(schema).parquet(source)
-    for name, fn in (("latest", flows.latest_status), ("audit", lambda d: flows.audit_counts(d))):
+    for name, fn in (("latest", lambda d: flows.latest_status(d, "user_id", "event_type", ["ts", "event_id"])), ("audit", lambda d: flows.audit_counts(d))):
         q = fn(stream).writeStream.format("memory").queryName(name).outputMode("complete").start()
         q.processAllAvailable()
         q.stop()
