@@ -39,13 +39,13 @@ LEAST = 0.8
 #: Words whose counts order them, and slots of the table that holds their count classes (STEPS of them double a count).
 FREQUENT, SLOTS, STEPS = 1 << 16, 1 << 20, 6
 #: Candidates of a class under one word that are verified first; pairs of one word compared at once.
-KEPT, BLOCK = 8, 1 << 20
+KEPT, BLOCK = 8, 1 << 18
 #: Postings in a bucket, on average; in a bucket that a task pairs; packed at once. Most blocks of a word, and those of a handed-back bucket.
-BUCKET, BIG, FLUSH, SPLIT, AGAIN = 500_000, 4_000_000, 1_000_000, 16, 8
+BUCKET, BIG, FLUSH, SPLIT, AGAIN = 300_000, 1_500_000, 200_000, 16, 8
 #: Most bits of a filter: what it lets through beyond its values is dropped by a join.
 FILTER = 1 << 25
 #: Bytes of text taken at once, and bits for a line of them in a sorted word.
-SLICE, LINE_BITS, HASH_BITS = 4 << 20, 16, 40
+SLICE, LINE_BITS, HASH_BITS = 2 << 20, 16, 40
 #: A random number for each byte value, and the odd base of the rolling hash with its inverse.
 BYTE_HASH = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
@@ -71,7 +71,7 @@ def powers_up_to(base: int, n: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base to the powers 0 to n - 1, modulo 2**64; kept for the next slice."""
-    return powers_up_to(base, 1 << max(22, n.bit_length()))[:n]
+    return powers_up_to(base, 1 << max(21, n.bit_length()))[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
