@@ -135,20 +135,10 @@ def classify(found: list[Block]) -> None:
             b.label = "likely"
         else:
             b.label = "furniture"
-    first = [b.label for b in found]
-
-    def nearest(i: int, step: int) -> str:
-        i += step
-        held = first[i - step] == "held"
-        while 0 <= i < len(found) and (found[i].article or not held):
-            if first[i] in ("content", "furniture"):
-                return first[i]
-            i += step
-        return "edge"
-
-    for i, b in enumerate(found):
+    before, after = nearest(found), nearest(found[::-1])[::-1]
+    for b, near in zip(found, zip(before, after)):
         if b.label in ("open", "likely", "held"):
-            around = {nearest(i, -1), nearest(i, 1)}
+            around = set(near)
             if b.label == "held":
                 b.label = "content" if around != {"furniture"} else "furniture"
             elif b.label == "likely":
@@ -157,6 +147,17 @@ def classify(found: list[Block]) -> None:
                 b.label = "content" if "content" in around and "furniture" not in around else "furniture"
 
 
+def nearest(found: list[Block]) -> list[str]:
+    """The last decided label before each block; edge if there is none. A held block does not look beyond its article."""
+    out, label, inside = [], "edge", "edge"
+    for b in found:
+        out.append(inside if b.label == "held" else label)
+        decided = b.label in ("content", "furniture")
+        label = b.label if decided else label
+        inside = "edge" if not b.article else b.label if decided else inside
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of one page, joined by empty lines."""
     found = blocks(page or "")
@@ -173,7 +174,8 @@ def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text (the main text, empty if there is none) and n_chars (its code points).
 
-    Null html counts as empty. Only page_id, url and html of pages are read; row for row.
+    Null and empty html, and pages without a main text, give an empty text; null page_ids and urls stay null. Row for row: repeated
+    rows have equal values. Columns of pages but page_id, url and html are not read. A page's time grows with its length alone.
     """
     found = pages.select("page_id", "url", "html").mapInArrow(extract_batches, "page_id long, url string, text string")
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
