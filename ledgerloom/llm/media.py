@@ -1,9 +1,9 @@
 """Media columns: bytes as WAV files, read back, with spectral-peak pair fingerprints.
 
 A payload is stored as mono 8-bit PCM (one byte, one sample). Its short-time Fourier transform uses
-windows of `frame` samples; the strongest bins of every frame are its peaks. Each peak is paired with
-the peaks of the next frames, and a pair is coded with both bins and the time between them; the
-codes are stored with the frame at which they begin.
+windows of `frame` samples that overlap by half, so that no sample lies at the edges of all its windows. A frame's peaks
+are its strongest local maxima: bins over both neighbours. Each peak is paired with the peaks of the next frames, and a
+pair is coded with both bins and the time between them; the codes are stored with the frame at which they begin.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .common import text_slices, utf8
 
 RATE = 8000
 #: Samples a frame, samples from frame to frame, peaks a frame, frames that a peak is paired with.
-FRAME, HOP, PEAKS, REACH = 256, 256, 3, 2
+FRAME, HOP, PEAKS, REACH = 256, 128, 3, 2
 #: Frames transformed at once.
 BLOCK = 4096
 
@@ -49,7 +49,11 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: bytes) -> np.ndarray:
-    """The bins of each frame's strongest peaks, strongest first; ties go to the lower bin."""
+    """The bins of each frame's strongest peaks, strongest first, ties by the lower bin; 0 where a frame has fewer.
+
+    A peak is stronger than the bin below it and at least as strong as the one above (of equal neighbours the lowest is one);
+    a silent frame has none.
+    """
     x = np.frombuffer(samples, dtype=np.uint8).astype(np.float32) - 128
     n = max(1, -(-len(x) // HOP))
     x = np.concatenate([x, np.zeros(max(0, (n - 1) * HOP + FRAME - len(x)), dtype=np.float32)])
@@ -60,10 +64,13 @@ def peaks(samples: bytes) -> np.ndarray:
         spectrum = np.fft.rfft(frames[at : at + BLOCK] * window, axis=1)[:, 1:]
         # whole numbers, so that the order of bins does not hang on rounding
         power = np.rint(spectrum.real**2 + spectrum.imag**2).astype(np.int64)
-        ranked = power * 256 + (255 - np.arange(power.shape[1]))
+        edge = np.zeros((len(power), 1), dtype=np.int64)
+        peak = (power > np.hstack([edge, power[:, :-1]])) & (power >= np.hstack([power[:, 1:], edge]))
+        ranked = np.where(peak, power * 256 + (255 - np.arange(power.shape[1])), -1)
         top = np.argpartition(ranked, -PEAKS, axis=1)[:, -PEAKS:]
         order = np.argsort(-np.take_along_axis(ranked, top, axis=1), axis=1)
-        out.append(np.take_along_axis(top, order, axis=1) + 1)
+        top = np.take_along_axis(top, order, axis=1)
+        out.append(np.where(np.take_along_axis(ranked, top, axis=1) < 0, 0, top + 1))
     return np.concatenate(out)
 
 
@@ -74,9 +81,10 @@ def pairs(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(bins) <= gap:
             break
         a, b = bins[:-gap, :, None], bins[gap:, None, :]
-        code = (a << 16) | (b << 4) | gap
-        times.append(np.repeat(np.arange(len(code), dtype=np.int32), PEAKS * PEAKS))
-        codes.append(code.reshape(-1).astype(np.int32))
+        code = ((a << 16) | (b << 4) | gap).reshape(-1)
+        both = np.broadcast_to((a > 0) & (b > 0), (len(a), PEAKS, PEAKS)).reshape(-1)
+        times.append(np.repeat(np.arange(len(a), dtype=np.int32), PEAKS * PEAKS)[both])
+        codes.append(code.astype(np.int32)[both])
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.argsort((t.astype(np.int64) << 32) | c)
     return t[order], c[order]
@@ -104,8 +112,7 @@ def media(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, media (the WAV file), payload (read back from it), and times and
     codes, the time-coded arrays of its peak pairs.
 
-    Null texts count as empty; an empty payload is one unit of zeros and has no pairs, since it is one
-    frame. Equal texts give equal values. Columns of docs but doc_id and text are not read.
+    Null texts count as empty; an empty payload is one unit of zeros and has no pairs. Equal texts give equal values. Columns of docs but doc_id and text are not read.
     """
     return docs.select("doc_id", "text").mapInArrow(media_batches, "doc_id long, n_bytes long, media binary, payload binary, times array<int>, codes array<int>")
 
@@ -133,7 +140,10 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per row of docs the digests of media(); feature is the number of peak pairs and their digest."""
+    """Per row of docs the digests of media(); feature is the number of peak pairs and their digest.
+
+    Nulls and empty texts count as one unit of zeros, which has no peaks. Row for row; repeated rows and null doc_ids stay.
+    """
     return docs.select("doc_id", "text").mapInArrow(digest_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
@@ -152,16 +162,3 @@ def matches(left: tuple[list[int], list[int]], right: tuple[list[int], list[int]
 def feature_of(times: list[int], codes: list[int]) -> str:
     raw = np.array(times, np.int32).tobytes() + np.array(codes, np.int32).tobytes()
     return f"{len(codes)}:{hashlib.sha256(raw).hexdigest()}"
-
-
-def expected(df: DataFrame) -> DataFrame:
-    """The same digests from media()'s stored columns by SQL functions, without feature; for tests."""
-    return df.select(
-        "doc_id",
-        "n_bytes",
-        F.length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("right(hex(payload), 128)")).alias("ignored"),
-        F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-    ).drop("ignored")
