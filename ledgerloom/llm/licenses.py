@@ -13,6 +13,7 @@ paragraph. A prediction stands if enough of the paragraph's word pairs are in a
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from dataclasses import dataclass
@@ -110,6 +111,8 @@ FUNCTION_WORDS = frozenset(
 WORDS = r"[^\p{L}\p{N}]+"
 #: Bounds on what is learned from; the share of word pairs that confirms; n-gram sizes.
 CORPUS_TEXTS, CORPUS_PARAGRAPHS, CONFIRM, LONGEST = 400, 3000, 0.6, 3
+#: Places in which a paragraph of many documents meets its family.
+SALTS = 16
 
 
 @dataclass
@@ -118,6 +121,7 @@ class Model:
     weights: dict[str, list[int]]  # n-gram -> thousandths by family, unknown last
     intercepts: list[int]
     temperature: float
+    sure: float = 0.0  # the calibrated probability under which a prediction is unknown
 
 
 def tokens(text: str) -> list[str]:
@@ -159,7 +163,7 @@ def learn(docs: DataFrame, texts: int = CORPUS_TEXTS, paragraphs: int = CORPUS_P
     last = marks.agg(F.max("mark").alias("last")).first().last
     sample = docs.where(F.col("text").isNotNull() & (mark <= F.lit(last))).select("text").distinct().collect() if last is not None else []
     lines = [line for r in sample for line in re.split(r"\n+", r.text)]
-    lines = sorted(set(lines))[: paragraphs * 4]
+    lines = sorted(set(lines), key=lambda x: (hashlib.md5(x.encode()).digest(), x))[: paragraphs * 4]
     known = [tokens(t) for ts in TEMPLATES.values() for t in ts]
     negative = [w for w in map(tokens, lines) if w and max(pair_share(w, t) for t in known) < CONFIRM / 2][:paragraphs]
     families = [*TEMPLATES, UNKNOWN]
@@ -173,9 +177,13 @@ def learn(docs: DataFrame, texts: int = CORPUS_TEXTS, paragraphs: int = CORPUS_P
     z = np.array([base + weights[has[i]].sum(axis=0) for i in check])
     scale = [0.25 * 1.25**k for k in range(14)]
     temperature = min(scale, key=lambda t: float(-log_softmax(z / t)[np.arange(len(check)), y[check]].mean()))
+    # the least bound that is right most often on the part that the calibration did not fit
+    p = np.exp(log_softmax(z / temperature))
+    best = lambda bound: int((np.where(p.max(axis=1) >= bound, p.argmax(axis=1), len(families) - 1) == y[check]).sum())
+    sure = max((0.2, 0.3, 0.4, 0.5, 0.6), key=lambda b: (best(b), -b))
     weights, base = fit(has, y, np.arange(len(rows)), len(place), len(families))
     whole = np.rint(weights * 1000).astype(int)
-    return Model(families, {g: whole[i].tolist() for g, i in place.items() if whole[i].any()}, np.rint(base * 1000).astype(int).tolist(), temperature)
+    return Model(families, {g: whole[i].tolist() for g, i in place.items() if whole[i].any()}, np.rint(base * 1000).astype(int).tolist(), temperature, sure)
 
 
 def log_softmax(z: np.ndarray) -> np.ndarray:
@@ -252,7 +260,7 @@ def classify(paragraphs: DataFrame, model: Model, confirm: float = CONFIRM) -> D
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
     family = F.coalesce(*(F.when(x == top, F.lit(f)) for x, f in zip(z, model.families)))
-    scored = sums.select("paragraph", family.alias("family"), (1 / total).alias("probability")).where(F.col("family") != UNKNOWN)
+    scored = sums.select("paragraph", family.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.sure))
     mine = scored.withColumn("words", words_of(F.col("paragraph"))).withColumn("mine", pairs_of(F.col("words")))
     pairs = mine.join(F.broadcast(template_table(spark)), "family")
     close = pairs.groupBy("paragraph", "family", "probability").agg(F.max(F.size(F.array_intersect("mine", "pairs")) / F.size("mine")).alias("similarity"))
@@ -279,7 +287,8 @@ def paragraphs_of(docs: DataFrame, model: Model, confirm: float = CONFIRM) -> Da
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_paragraphs, n_licensed (paragraphs with a confirmed family), families
-    (sorted, comma-joined, empty if none) and licensed.
+    (sorted, comma-joined, empty if none), licensed, and probability (the calibrated one of its least sure licensed
+    paragraph, null if none).
 
     A null or empty text has no paragraphs. Rows that repeat a doc_id and text are one document and get equal
     rows. Columns of docs but doc_id and text are not read.
@@ -289,13 +298,17 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     known = classify(found, model)
     # equal paragraphs of a document are counted together before they meet their family
     counted = found.groupBy("doc_id", "text_key", "paragraph").agg(F.count("*").alias("n"))
-    each = counted.join(known.select("paragraph", "family"), "paragraph").groupBy("doc_id", "text_key").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"))
+    # one common paragraph may be in a third of all documents: it meets its family in SALTS places
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    families = known.select("paragraph", "family", "probability", salts.alias("salt"))
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
+    each = salted.join(families, ["paragraph", "salt"]).groupBy("doc_id", "text_key").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.min("probability").alias("probability"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.when(F.length("text") > 0, F.size(F.filter(F.split("text", r"\n+"), lambda p: p != ""))).otherwise(0).cast("long").alias("n_paragraphs"))
     # rows that repeat a document were counted once for each
     copies = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
-    each = each.join(copies, each.doc_id.eqNullSafe(copies.doc_id) & (each.text_key == copies.text_key)).select(each.doc_id.alias("d"), each.text_key.alias("t"), (F.col("n") / F.col("copies")).cast("long").alias("n"), "families")
+    each = each.join(copies, each.doc_id.eqNullSafe(copies.doc_id) & (each.text_key == copies.text_key)).select(each.doc_id.alias("d"), each.text_key.alias("t"), (F.col("n") / F.col("copies")).cast("long").alias("n"), "families", "probability")
     joined = rows.join(each, rows.doc_id.eqNullSafe(F.col("d")) & (rows.text_key == F.col("t")), "left")
-    return joined.select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), F.col("n").isNotNull().alias("licensed"))
+    return joined.select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), F.col("n").isNotNull().alias("licensed"), F.round("probability", 4).alias("probability"))
 
 
 def brute_force(text: str | None, model: Model, confirm: float = CONFIRM) -> tuple[int, int, str]:
@@ -309,7 +322,8 @@ def brute_force(text: str | None, model: Model, confirm: float = CONFIRM) -> tup
             continue
         z = [sum(c) + b for c, b in zip(zip(*met), model.intercepts)]
         family = model.families[max(range(len(z)), key=lambda i: (z[i], -i))]
-        if family != UNKNOWN and max(pair_share(words, tokens(t)) for t in TEMPLATES[family]) >= confirm:
+        probability = 1 / sum(math.exp((x - max(z)) / (1000.0 * model.temperature)) for x in z)
+        if probability >= model.sure and family != UNKNOWN and max(pair_share(words, tokens(t)) for t in TEMPLATES[family]) >= confirm:
             families.append(family)
     return len(paragraphs), len(families), ",".join(sorted(set(families)))
 
