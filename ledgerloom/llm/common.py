@@ -22,15 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and return it without its lineage.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in local
+    The folder is the session's spark.checkpoint.dir. Only where that is unset in local mode, as in
     tests, a temporary folder is made.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(local_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def local_folder(spark: SparkSession) -> str:
+    """A new temporary folder; an error on a cluster, whose machines do not share one."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def parts(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -161,22 +161,27 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc:
     return net
 
 
+def predict_texts(texts: list[str | None], net: Network | None) -> tuple[list[str], list[float]]:
+    """The languages of texts and their probabilities."""
+    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    able = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if net is not None else []
+    if able:
+        cut = [windows(texts[i].encode()) for i in able]
+        starts = np.cumsum([0, *(len(c) for c, _ in cut)])[:-1]
+        p = net.probabilities(np.concatenate([c for c, _ in cut]))
+        weight = np.concatenate([w for _, w in cut]).astype(np.float64)
+        total = np.add.reduceat(p * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
+        for i, row in zip(able, total):
+            names[i], scores[i] = net.langs[int(row.argmax())], float(min(1, row.max()))
+    return names, scores
+
+
 def predict_batches(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
     claim("langid")
     if net is not None:
         net.tables()
     for batch in text_slices(batches, most_bytes=2 << 20):
-        texts = batch.column("text").to_pylist()
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        able = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if net is not None else []
-        if able:
-            cut = [windows(texts[i].encode()) for i in able]
-            starts = np.cumsum([0, *(len(c) for c, _ in cut)])[:-1]
-            p = net.probabilities(np.concatenate([c for c, _ in cut]))
-            weight = np.concatenate([w for _, w in cut]).astype(np.float64)
-            total = np.add.reduceat(p * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
-            for i, row in zip(able, total):
-                names[i], scores[i] = net.langs[int(row.argmax())], float(min(1, row.max()))
+        names, scores = predict_texts(batch.column("text").to_pylist(), net)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
 
@@ -191,18 +196,28 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from docs and predict all of them: doc_id, held_out, lang_pred, score."""
+    """Learn from docs and predict all of them: doc_id, held_out, lang_pred, score.
+
+    Row for row: repeated rows have equal values; null doc_ids are never learned from nor held out. Without labelled rows all
+    are `und`. Of two languages of equal probability the first by name counts. Columns of docs but doc_id, text and lang are not read.
+    """
     return predict(docs, learn(docs)).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """docs without rejected rows: `und`, or a score under least. All columns are kept."""
-    net = learn(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+def keep_known(docs: DataFrame, least: float = 0.4, net: Network | None = None) -> DataFrame:
+    """docs without rejected rows: `und` (null texts, texts without a letter), or a score under least.
+
+    All columns are kept, whatever their names, and so are repeated rows and null doc_ids. Without labelled rows nothing is known
+    and nothing stays. Learns from docs unless a network is given.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(net or learn(docs))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in predict_batches(batches, shared.value):
-            good = pa.array([n != "und" and s >= least for n, s in zip(b.column("lang_pred").to_pylist(), b.column("score").to_pylist())], pa.bool_())
-            yield b.drop_columns(["lang_pred", "score"]).filter(good)
+        claim("langid")
+        if shared.value is not None:
+            shared.value.tables()
+        for b in text_slices(batches, most_bytes=2 << 20):
+            found = predict_texts(b.column("text").to_pylist(), shared.value)
+            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(*found)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

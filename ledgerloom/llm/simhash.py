@@ -24,8 +24,9 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import claim, parts, settled, text_slices, utf8
 from .components import components
@@ -230,9 +231,33 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group: its component_id's. All columns are kept; rows with a null doc_id stay."""
-    gone = group(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    """docs with one document of each group: its component_id's. All columns are kept, whatever their names.
+
+    Of rows that repeat that doc_id the one of the least text hash stays, the first text of equal hashes. Rows with a null
+    doc_id go if a document with an id has their fingerprint; else one of each fingerprint stays, chosen alike.
+    """
+    grouped = settled(group(docs, **how))
+    named = grouped.where("doc_id is not null")
+    gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    often = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__often"))
+    kept = docs.where("doc_id is not null").join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    repeated = kept.join(often, kept["doc_id"] == F.col("__often"), "left_semi")
+    loose = docs.where("doc_id is null").mapInArrow(printed_batches, StructType([*docs.schema.fields, StructField("__print", LongType())]))
+    taken = named.select(F.col("fp").alias("__taken")).distinct()
+    loose = loose.join(taken, F.col("__print") == F.col("__taken"), "left_anti")
+    return kept.join(often, kept["doc_id"] == F.col("__often"), "left_anti").unionByName(one_of(repeated, "doc_id")).unionByName(one_of(loose, "__print").drop("__print"))
+
+
+def one_of(rows: DataFrame, by: str) -> DataFrame:
+    """One row of each value of `by`, by the hash of its text and the text; meant for the few rows that repeat."""
+    first = Window.partitionBy(by).orderBy(F.xxhash64("text"), "text")
+    return rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+
+
+def printed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        prints = np.array([fingerprint(t) for t in utf8(batch.column("text"))], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, "__print"])
 
 
 def brute_force(texts: dict[int, str | None], most: int = MOST) -> dict[int, tuple[int, int]]:
