@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import arrays, money, text
-from ledgerloom.operators import changes, match, tree
+from ledgerloom.operators import changes, grid, match, tree
 from ledgerloom.sources import io
 from ledgerloom.streaming import flows
 
@@ -109,3 +109,76 @@ def test_streams_agree_with_tables(spark, tmp_path):
     for _ in range(2):
         flows.stream_ingest(spark, source, schema, lambda d: d, out, "user_id", str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+#: Fixed: messages and what they ask for.
+INTENTS = {
+    "generate_docx": ["выгрузи новую редакцию", "подготовь отчет", "сформируй DOCX", "сделай Word файл", "скачай новую программу", "подтверди надежные строки", "подтверди все", "подтверждаю все 3 строки", "подтверди проект изменений"],
+    "run_analysis": ["проанализируй изменения", "проведи анализ документов", "пересчитай программу"],
+    "create_change_set": ["создай проект изменений", "подготовь ChangeSet"],
+    "validate_control_sums": ["проверь контрольные суммы", "сходятся ли итоги по годам", "где несовпадения?", "покажи расхождения", "почему не сходится 2028 год?", "перепроверь суммы", "сверь программу с Excel"],
+    "explain_change": ["что поменялось по Черустям", "почему в 2028 сумма стала больше", "объясни изменения по объекту ВЗУ"],
+    "show_pending": ["покажи ручную проверку", "какие строки требуют ручной вставки", "что спорно и требует подтверждения"],
+    "choose_source_priority": ["используй Excel как главный источник", "применяй PDF-основание как приоритет"],
+    "show_changeset": ["покажи проект изменений", "какой сейчас ChangeSet"],
+    "list_generated_documents": ["какие файлы уже сформированы", "покажи готовые документы"],
+    "smalltalk": ["привет"],
+    "unknown": ["удали все документы и начни заново", "поставь сумму 100 рублей без проверки"],
+}
+
+
+def test_intents(spark):
+    df = spark.createDataFrame([(k, x) for k, xs in INTENTS.items() for x in xs], "want string, message string").withColumn("d", text.intent_decision(F.col("message")))
+    rows = {r.message: r for r in df.collect()}
+    assert len(rows) == 36 and {m: r.d.intent for m, r in rows.items()} == {m: r.want for m, r in rows.items()}
+    assert rows["почему не сходится 2028 год?"].d.year == 2028 and rows["почему в 2028 сумма стала больше"].d.year == 2028
+    assert rows["что поменялось по Черустям"].d.object_query == "черустям" and rows["объясни изменения по объекту ВЗУ"].d.object_query == "взу"
+    assert all((r.d.confidence >= 0.55) == (r.want != "unknown") for r in rows.values())
+
+
+def test_texts_of_agreements(spark):
+    said = {
+        1: "Министерство сообщает: по объекту «ВЗУ Черусти» на 2028 год средства бюджета Московской области увеличить с 690 689,18 тыс. рублей до 780 689,18 тыс. рублей.",
+        2: "По объекту «ВЗУ Черусти» на 2028 год увеличить на 10 000 000 рублей средства бюджета Московской области.",
+        3: "По объекту «ВЗУ Черусти» на 2027 год уменьшить на 5 000 000 рублей средства местного бюджета.",
+        4: "По объекту «ВЗУ Черусти» перенести 7 000 000 рублей с 2026 года на 2027 год.",
+        5: "По объекту «ВЗУ Черусти» на 2028 год исключить финансирование из средств местного бюджета.",
+    }
+    pages = spark.createDataFrame([(i, 1, t) for i, t in said.items()], "doc_id int, page_number int, text string")
+    got = {r.doc_id: r for r in grid.change_fields(grid.change_windows(pages)).collect()}
+    assert len(got) == 5 and all(r.object_name == "ВЗУ Черусти" for r in got.values())
+    show = lambda r: (r["mode"], r.year, r.source_type, *(None if x is None else str(x) for x in (r.old_amount, r.new_amount, r.delta)))
+    assert show(got[1]) == ("absolute", 2028, "REGIONAL_BUDGET", "690689180.00", "780689180.00", "90000000.00") and got[1].confidence >= Decimal("0.8")
+    assert show(got[2]) == ("delta_plus", 2028, "REGIONAL_BUDGET", None, None, "10000000.00")
+    assert show(got[3]) == ("delta_minus", 2027, "LOCAL_BUDGET", None, None, "-5000000.00")
+    assert got[4]["mode"] == "transfer" and (got[4].from_year, got[4].to_year, str(got[4].delta)) == (2026, 2027, "7000000.00")
+    assert show(got[5])[:5] == ("zeroing", 2028, "LOCAL_BUDGET", None, "0.00") and got[5].confidence < Decimal("0.8")
+
+
+def test_passport_tables(spark):
+    table = [["Источник", "Всего", "2026", "2027 год"], ["Средства бюджета Московской области", "3 736 797,28", "1 858 904,68", "1"], ["Всего", "5", "2", "3"]]
+    cells = [(1, 1, i, j, x) for i, row in enumerate(table) for j, x in enumerate(row)] + [(1, 0, 0, 0, "Наш источник знаний"), (1, 0, 0, 1, "2026")]
+    got = {(r.kind, r.year, r.source_type): (str(r.amount), r.table_idx, r.row_idx, r.col_idx) for r in grid.passport_amounts(spark.createDataFrame(cells, "doc_id int, table_idx int, row_idx int, col_idx int, text string")).collect()}
+    assert got["source", 2026, "REGIONAL_BUDGET"] == ("1858904680.00", 1, 1, 2) and got["source_total", None, "REGIONAL_BUDGET"][0] == "3736797280.00"
+    assert got["year_total", 2027, None] == ("3000.00", 1, 2, 3) and got["grand_total", None, None][0] == "5000.00" and len(got) == 6
+
+
+def test_names_meet_by_rare_words(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    words = "школа школы дорога дорогами дом котельная котельной сквер реконструкция строительство парк".split()
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+    groups = match.named(spark.createDataFrame([(f"g{i}", f"b{i % 3}", name(), None) for i in range(60)], "group_key string, block string, name string, code string"), F.col("name"))
+    nodes = match.named(spark.createDataFrame([(f"n{i}", f"b{i % 3}", name()) for i in range(60)], "node_id string, block string, name string"), F.col("name"))
+    every = groups.select("group_key", "block", F.col("tokens").alias("l")).join(nodes.select("node_id", "block", F.col("tokens").alias("r")), "block")
+    score = {(r.group_key, r.node_id): r.s for r in every.select("group_key", "node_id", F.round(arrays.name_similarity(F.col("l"), F.col("r")), 4).alias("s")).collect()}
+    for threshold in (0.5, 0.92):
+        want = {}
+        for g, pairs in itertools.groupby(sorted(score.items()), key=lambda x: x[0][0]):
+            best = sorted(((-s, k[1]) for k, s in pairs))
+            if -best[0][0] >= threshold:
+                clear = len(best) == 1 or best[1][0] - best[0][0] > 0.05
+                want[g] = best[0][1] if clear else None
+        assert {r.group_key: r.node_id for r in match.match_fuzzy(groups, nodes, threshold).collect()} == want
