@@ -22,9 +22,10 @@ def parse_money(text: Column, unit: str = "rub") -> Column:
     """Null, blank or a dash is zero; null only where the text is no amount (see is_bad_money)."""
     clean = F.regexp_replace(F.lower(text), r"[\s  ​﻿]|руб\.?|тыс\.?|₽", "")
     clean = F.regexp_replace(clean, ",", ".")
-    value = clean.try_cast("decimal(24,6)") * F.lit(1000 if unit == "thousand_rub" else 1)
+    # plain numbers need no cleaning
+    value = F.coalesce(text.try_cast("decimal(24,6)"), clean.try_cast("decimal(24,6)")) * F.lit(1000 if unit == "thousand_rub" else 1)
     blank = text.isNull() | clean.isin("", "-", "—", "–")
-    return F.when(blank, F.lit(0).cast(MONEY)).otherwise(F.round(value, 2).cast(MONEY))
+    return F.coalesce(F.round(value, 2).cast(MONEY), F.when(blank, F.lit(0).cast(MONEY)))
 
 
 def is_bad_money(text: Column, unit: str = "rub") -> Column:

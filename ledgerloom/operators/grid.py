@@ -21,10 +21,12 @@ def detect_header(cells: DataFrame, below: int = 4, within: int | None = None) -
     """
     if within is not None:
         cells = cells.where(F.col("row_idx") < within + below)
+    # none of the words has a blank in it, so lower case is enough
+    t, bare = F.translate(F.lower("text"), "ё", "е"), F.trim("text")
     rows = cells.groupBy("doc_id", "row_idx").agg(
-        F.bool_or(folded(F.col("text")).contains("наименование")).alias("named"),
-        F.bool_or(folded(F.col("text")).rlike(YEAR + "|всего|бюджет|источник")).alias("marked"),
-        F.bool_and(F.trim("text").rlike(r"^\d{0,2}$")).alias("numbering"),
+        F.bool_or(t.contains("наименование")).alias("named"),
+        F.bool_or(t.contains("всего") | t.contains("бюджет") | t.contains("источник") | (t.rlike(YEAR))).alias("marked"),
+        F.bool_and((F.length(bare) <= 2) & bare.rlike(r"^\d{0,2}$")).alias("numbering"),
     )
     first = rows.where("named").groupBy("doc_id").agg(F.min("row_idx").alias("first"))
     near = rows.join(first, "doc_id").where((F.col("row_idx") >= F.col("first")) & (F.col("row_idx") <= F.col("first") + below))
@@ -49,7 +51,7 @@ def header_text(cells: DataFrame, header: DataFrame) -> DataFrame:
 
 def base_year(cells: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """The largest 20xx in the first ten rows and columns; for documents without any the largest of their file's name (doc_id, file_name)."""
-    found = cells.where("row_idx < 10 and col_idx < 10").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b(20\d\d)\b"), F.lit(1))).alias("y"))
+    found = cells.where("row_idx < 10 and col_idx < 10 and text like '%20%'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b(20\d\d)\b"), F.lit(1))).alias("y"))
     out = found.groupBy("doc_id").agg(F.max(F.col("y").cast("int")).alias("base_year"))
     if files is None:
         return out
@@ -59,14 +61,19 @@ def base_year(cells: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
 def amount_columns(headers: DataFrame, base: DataFrame) -> DataFrame:
     """C4: year and source of each amount column; a year carries to the right, fact columns end it, "очередной год" is the base year and one."""
-    t = folded(F.col("header"))
+    # headers repeat: each wording is read once
+    t, source = folded(F.col("header")), normalize_source_cells(F.col("header"))
+    wording = headers.select("header").distinct().select(
+        "header", F.regexp_extract("header", YEAR, 1).try_cast("int").alias("__year"), t.contains("очередной").alias("__next"), t.contains("текущий").alias("__this"),
+        t.rlike("поставлено|фактически|% исполнения").cast("int").alias("__stop"), source.alias("__source"), total_source_marker(F.col("header")).alias("__total"),
+    )
     w = W.partitionBy("doc_id").orderBy("col_idx").rowsBetween(W.unboundedPreceding, 0)
-    year = F.coalesce(F.regexp_extract("header", YEAR, 1).try_cast("int"), F.when(t.contains("очередной"), F.col("base_year") + 1).when(t.contains("текущий"), F.col("base_year")))
-    out = headers.join(base, "doc_id", "left").withColumn("own_year", year).withColumn("year", F.last("own_year", True).over(w))
-    out = out.withColumn("stopped", F.max(t.rlike("поставлено|фактически|% исполнения").cast("int")).over(w))
-    source = normalize_source_cells(F.col("header"))
-    is_amount = F.col("year").isNotNull() & (F.col("own_year").isNotNull() | (source != "UNKNOWN") | total_source_marker(F.col("header")))
-    return out.where(is_amount & (F.col("stopped") == 0)).select("doc_id", "col_idx", "year", source.alias("source_type"), (source == "UNKNOWN").alias("needs_row_source"))
+    year = F.coalesce("__year", F.when(F.col("__next"), F.col("base_year") + 1).when(F.col("__this"), F.col("base_year")))
+    out = headers.join(wording, "header").join(base, "doc_id", "left").withColumn("own_year", year).withColumn("year", F.last("own_year", True).over(w))
+    out = out.withColumn("stopped", F.max("__stop").over(w))
+    known = F.col("__source") != "UNKNOWN"
+    is_amount = F.col("year").isNotNull() & (F.col("own_year").isNotNull() | known | F.col("__total"))
+    return out.where(is_amount & (F.col("stopped") == 0)).select("doc_id", "col_idx", "year", F.col("__source").alias("source_type"), (~known).alias("needs_row_source"))
 
 
 def row_fields(cells: DataFrame, roles: DataFrame) -> DataFrame:

@@ -57,6 +57,18 @@ def stem_pairs(groups: DataFrame, nodes: DataFrame, size: int, share: float) ->
     return ranked.where("__rn <= look and often is not null").select("block", "group_key", "stem").join(theirs, ["block", "stem"]).select("group_key", "node_id").distinct()
 
 
+def held_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """group_key, node_id: pairs of a block in which the node's norm holds the group's, anywhere; they meet by the group's rarest three letters."""
+
+    def grams(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("norm") - size + 1, F.lit(1))), lambda i: F.substring("norm", i, F.lit(size)))
+
+    mine = groups.where("norm <> ''").select("block", "group_key", "norm", F.array_distinct(grams(3)).alias("tokens"))
+    theirs = nodes.where("norm <> ''").select("block", "node_id", F.array_distinct(F.concat(grams(1), grams(2), grams(3))).alias("tokens"))
+    met = stem_pairs(mine, theirs, 3, 1.0).join(mine.select("group_key", "norm"), "group_key").join(nodes.select("node_id", F.col("norm").alias("nn")), "node_id")
+    return met.where(F.col("nn").contains(F.col("norm"))).select("group_key", "node_id")
+
+
 def match_code(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """The group's code among a node's codes inside its block; the lowest node id."""
     codes = nodes.select("block", "node_id", F.explode("codes").alias("code")).where("code is not null")
@@ -91,15 +103,11 @@ def match_fuzzy(groups: DataFrame, nodes: DataFrame, threshold: float = THRESHOL
 
 
 def match_event_name(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The event's name holds the node's, or is held by it, in whole words, or they share enough of them; the top must be alone."""
-    # a held name's rarest word is in the other: each side looks up its own
-    back = stem_pairs(nodes.select("block", F.col("node_id").alias("group_key"), "tokens"), groups.select("block", F.col("group_key").alias("node_id"), "tokens"), 2, 1.0)
-    met = stem_pairs(groups, nodes, 2, FLOOR - 0.001).unionByName(back.select(F.col("node_id").alias("group_key"), F.col("group_key").alias("node_id"))).distinct()
+    """The node's name holds the event's, or is like it enough; the top must be alone."""
+    met = stem_pairs(groups, nodes, 3, FLOOR - 0.001).unionByName(held_pairs(groups, nodes)).distinct()
     pairs = met.join(groups.select("group_key", "norm", F.col("tokens").alias("l")), "group_key").join(nodes.select("node_id", F.col("norm").alias("nn"), F.col("tokens").alias("r")), "node_id")
-    whole = lambda a, b: F.concat(F.lit(" "), a, F.lit(" ")).contains(F.concat(F.lit(" "), b, F.lit(" ")))
-    held = whole(F.col("norm"), F.col("nn")) | whole(F.col("nn"), F.col("norm"))
-    score = F.when(held, F.lit(CONTAINED)).otherwise(F.round(token_overlap_any(F.col("l"), F.col("r")) / F.greatest(F.size("l"), F.size("r"), F.lit(1)), 4))
-    best = rank_candidates(pairs.withColumn("score", score)).where("rank = 1").where(F.col("score") >= FLOOR)
+    score = F.when(F.col("nn").contains(F.col("norm")), F.lit(CONTAINED)).otherwise(F.round(name_similarity(F.col("l"), F.col("r")), 4))
+    best = rank_candidates(pairs.where("norm <> ''").withColumn("score", score)).where("rank = 1").where(F.col("score") >= FLOOR)
     return best.where("second is null or second < score").select("group_key", "node_id", F.lit("MATCH_PDF_EVENT_NAME").alias("match_status"), F.col("score").alias("confidence"))
 
 
@@ -122,12 +130,10 @@ def match_parent_total(groups: DataFrame, lines: DataFrame, tolerance: float = 0
 
 
 def match_activity_aggregate(groups: DataFrame, activities: DataFrame) -> DataFrame:
-    """By parsed code, else the only activity whose name holds the group's in whole words."""
+    """By parsed code, else the only activity whose name holds the group's."""
     by_code = groups.join(activities.select("node_id", F.col("code").alias("parent_code")), "parent_code").groupBy("group_key").agg(F.min("node_id").alias("node_id"))
     rest = groups.join(by_code.select("group_key"), "group_key", "left_anti")
-    split = lambda df: df.withColumn("tokens", F.array_distinct(F.split("norm", " ")))
-    met = stem_pairs(split(rest), split(activities), 100, 1.0).join(rest.select("group_key", "norm"), "group_key").join(activities.select("node_id", F.col("norm").alias("nn")), "node_id")
-    by_name = met.where(F.concat(F.lit(" "), "nn", F.lit(" ")).contains(F.concat(F.lit(" "), "norm", F.lit(" ")))).groupBy("group_key").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id")).where("n = 1").drop("n")
+    by_name = held_pairs(rest, activities).groupBy("group_key").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id")).where("n = 1").drop("n")
     return by_code.unionByName(by_name).select("group_key", "node_id", F.lit("MATCH_ACTIVITY_AGGREGATE").alias("match_status"), F.lit(1.0).alias("confidence"))
 
 

@@ -45,13 +45,28 @@ def aggregate_lines(lines: DataFrame, by: str = "node_id") -> DataFrame:
     return lines.groupBy(by, *KEY).agg(total().alias("amount"))
 
 
-def rollup_inclusive(lines: DataFrame, closure: DataFrame) -> DataFrame:
+def roll_up(amounts: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
+    """Sums by node, year and source of each node's own amounts and of all below it, level by level; amounts of unknown nodes go.
+
+    A level's sums go to the parents in one join; they are far fewer than the amounts, so no ancestor list is made. The loop
+    is bounded by the tree's depth.
+    """
+    up = nodes.select("node_id", F.col("parent_id").alias("__up"))
+    level, every = amounts.groupBy("node_id", *KEY).agg(total().alias("amount")), None
+    for _ in range(depth):
+        known = level.join(up, "node_id")
+        own = known.select("node_id", *KEY, "amount")
+        every = own if every is None else every.unionByName(own)
+        level = known.where("__up is not null").groupBy(F.col("__up").alias("node_id"), *KEY).agg(total().alias("amount"))
+    return every.groupBy("node_id", *KEY).agg(total().alias("amount"))
+
+
+def rollup_inclusive(lines: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
     """A node's own lines and those of all below it."""
-    own = aggregate_lines(lines)
-    return own.join(closure, "node_id").groupBy(F.col("ancestor_id").alias("node_id"), *KEY).agg(total().alias("amount"))
+    return roll_up(lines, nodes, depth)
 
 
-def rollup_replace(nodes: DataFrame, lines: DataFrame, closure: DataFrame, excluded: Column | None = None) -> DataFrame:
+def rollup_replace(nodes: DataFrame, lines: DataFrame, excluded: Column | None = None, depth: int = 8) -> DataFrame:
     """Leaves keep their lines, a node with regular children has their sum and loses its own lines.
 
     Nothing passes through an excluded node: what lies below it counts up to it, and not for it or those above.
@@ -59,12 +74,10 @@ def rollup_replace(nodes: DataFrame, lines: DataFrame, closure: DataFrame, exclu
     regular = nodes if excluded is None else nodes.where(~F.coalesce(excluded, F.lit(False)))
     parents = regular.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
     leaves = regular.select("node_id").join(parents, "node_id", "left_anti")
-    mine = aggregate_lines(lines).join(leaves, "node_id", "left_semi").join(closure, "node_id")
     if excluded is not None:
-        hidden = nodes.where(F.coalesce(excluded, F.lit(False))).select(F.col("node_id").alias("ancestor_id"))
-        cut = closure.join(hidden, "ancestor_id", "left_semi").groupBy("node_id").agg(F.min("depth").alias("cut"))
-        mine = mine.join(cut, "node_id", "left").where("cut is null or depth < cut")
-    return mine.groupBy(F.col("ancestor_id").alias("node_id"), *KEY).agg(total().alias("amount"))
+        hidden = nodes.where(F.coalesce(excluded, F.lit(False))).select(F.col("node_id").alias("__hidden")).distinct()
+        regular = regular.join(hidden, F.col("parent_id") == F.col("__hidden"), "left").withColumn("parent_id", F.when(F.col("__hidden").isNull(), F.col("parent_id")))
+    return roll_up(aggregate_lines(lines).join(leaves, "node_id", "left_semi"), regular, depth)
 
 
 def root_totals(nodes: DataFrame, lines: DataFrame) -> DataFrame:
@@ -127,9 +140,9 @@ def renumber_siblings(rows: DataFrame, parent: str, code: str, order: list[str])
     return rows.withColumn("__first", first).withColumn("number", F.dense_rank().over(W.partitionBy(parent).orderBy(code, "__first"))).drop("__first")
 
 
-def propagate_deltas(lines: DataFrame, deltas: DataFrame, closure: DataFrame) -> DataFrame:
+def propagate_deltas(lines: DataFrame, deltas: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
     """Totals (node, year, source) with the deltas of a node added to it and to all above it."""
-    up = deltas.groupBy("node_id", *KEY).agg(total("delta").alias("delta")).join(closure, "node_id").groupBy(F.col("ancestor_id").alias("node_id"), *KEY).agg(total("delta").alias("delta"))
+    up = roll_up(deltas.withColumnRenamed("delta", "amount"), nodes, depth).withColumnRenamed("amount", "delta")
     joined = lines.join(up, ["node_id", *KEY], "full_outer")
     return joined.select("node_id", *KEY, (F.coalesce("amount", F.lit(0)) + F.coalesce("delta", F.lit(0))).cast(MONEY).alias("amount"))
 
@@ -166,11 +179,11 @@ def closed_root(actual: DataFrame, expected: DataFrame, tolerance: float = 10.0)
     return both.groupBy(*KEY).agg(total().alias("amount"))
 
 
-def aggregate_parent_fix(totals: DataFrame, aggregates: DataFrame, closure: DataFrame) -> DataFrame:
+def aggregate_parent_fix(totals: DataFrame, aggregates: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
     """New aggregates (node_id is the blank parent) replace its totals; the difference goes up."""
     mine = totals.withColumnRenamed("amount", "old")
     delta = aggregates.join(mine, ["node_id", *KEY], "left").select("node_id", *KEY, (F.col("amount") - F.coalesce("old", F.lit(0))).cast(MONEY).alias("delta"))
-    return propagate_deltas(totals, delta, closure)
+    return propagate_deltas(totals, delta, nodes, depth)
 
 
 def subtree_dates(closure: DataFrame, lines: DataFrame) -> DataFrame:

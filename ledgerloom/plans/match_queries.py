@@ -60,18 +60,33 @@ def parent_scope(spark, sf):
     return x.parent_scope(g.select("group_key", "block"), n.select("node_id", "block")).groupBy("group_key").agg(F.count("*").alias("candidates"))
 
 
-@query("match_fuzzy_greedy")
-def match_fuzzy_greedy(spark, sf):
-    return x.match_fuzzy(*sides(spark, sf), threshold=0.6)
+PAIRED_SQL = f"""p AS (SELECT g.group_key, n.node_id, n.p_size > 10 AS is_leaf, contains(n.norm, g.norm) AS held, list_filter(list_distinct(string_split(g.norm, ' ')), lambda w: length(w) > 1) AS l, list_filter(list_distinct(string_split(n.norm, ' ')), lambda w: length(w) > 1) AS r FROM g JOIN n USING (block)),
+    o AS (SELECT group_key, node_id, is_leaf, held, round(len(list_filter(l, lambda a: len(list_filter(r, lambda b: starts_with(a, b) OR starts_with(b, a))) > 0)) / CAST(greatest(len(l), len(r), 1) AS DOUBLE), 4) AS overlap FROM p)"""
 
 
-PAIRED_SQL = f"""p AS (SELECT g.group_key, n.node_id, n.p_size > 10 AS is_leaf, concat(' ', g.norm, ' ') LIKE concat('% ', n.norm, ' %') OR concat(' ', n.norm, ' ') LIKE concat('% ', g.norm, ' %') AS held, list_filter(list_distinct(string_split(g.norm, ' ')), lambda w: length(w) > 1) AS l, list_filter(list_distinct(string_split(n.norm, ' ')), lambda w: length(w) > 1) AS r FROM g JOIN n USING (block)),
-    o AS (SELECT group_key, node_id, is_leaf, held, round(len(list_filter(l, lambda a: len(list_filter(r, lambda b: starts_with(a, b) OR starts_with(b, a))) > 0)) / CAST(greatest(len(l), len(r), 1) AS DOUBLE), 4) AS overlap FROM p)"""
+def _match(a, b):
+    return f"({a} = {b} OR length({a}) >= 5 AND starts_with({b}, {a}) OR length({b}) >= 5 AND starts_with({a}, {b}) OR least(length({a}), length({b})) >= 6 AND left({a}, CAST(ceil(least(length({a}), length({b})) * 0.75) AS INT)) = left({b}, CAST(ceil(least(length({a}), length({b})) * 0.75) AS INT)))"
+
+
+# names have two words, so the greedy match is two steps
+GREEDY_SQL = f"""gp AS (SELECT group_key, node_id, l, r, list_filter(range(1, len(r) + 1), lambda i: {_match("l[1]", "r[i]")})[1] AS p1 FROM p),
+    gn AS (SELECT group_key, node_id, l, r, CASE WHEN len(l) = 0 OR len(r) = 0 THEN 0 ELSE CAST(p1 IS NOT NULL AS INT) + CAST(len(l) > 1 AND len(list_filter(range(1, len(r) + 1), lambda i: i IS DISTINCT FROM p1 AND {_match("l[2]", "r[i]")})) > 0 AS INT) END AS n FROM gp),
+    gs AS (SELECT group_key, node_id, round(greatest(n / CAST(greatest(len(l), len(r), 1) AS DOUBLE), 0.98 * n / CAST(greatest(len(l), 1) AS DOUBLE)), 4) AS score FROM gn),
+    gk AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM gs WINDOW w AS (PARTITION BY group_key ORDER BY score DESC, node_id))"""
+
+
+@query(
+    "match_fuzzy_greedy",
+    f"""WITH {N_SQL}, {PAIRED_SQL}, {GREEDY_SQL}, f AS (SELECT *, second IS NULL OR score - second > 0.05 AS clear FROM gk WHERE rn = 1 AND score >= 0.6)
+    SELECT group_key, CASE WHEN clear THEN node_id END AS node_id, CASE WHEN clear THEN 'MATCH_FUZZY_CONFIDENT' ELSE 'NEEDS_CONFIRMATION' END AS match_status, CAST(CASE WHEN clear THEN score ELSE 0.5 END AS DOUBLE) AS confidence FROM f""",
+)
+def match_fuzzy_greedy(spark, sf):
+    return x.match_fuzzy(*sides(spark, sf), threshold=0.6)
 
 
 @query(
     "match_event_name",
-    f"""WITH {N_SQL}, {PAIRED_SQL}, s AS (SELECT group_key, node_id, CASE WHEN held THEN 0.95 ELSE overlap END AS score FROM o), k AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY group_key ORDER BY score DESC, node_id))
+    f"""WITH {N_SQL}, {PAIRED_SQL}, {GREEDY_SQL}, s AS (SELECT group_key, node_id, CASE WHEN held THEN 0.95 ELSE score END AS score FROM gs JOIN p USING (group_key, node_id)), k AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY group_key ORDER BY score DESC, node_id))
     SELECT group_key, node_id, 'MATCH_PDF_EVENT_NAME' AS match_status, CAST(score AS DOUBLE) AS confidence FROM k WHERE rn = 1 AND score >= 0.45 AND (second IS NULL OR second < score)""",
 )
 def match_event_name(spark, sf):

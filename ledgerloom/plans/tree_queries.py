@@ -45,7 +45,7 @@ def aggregate_lines(spark, sf):
 
 @query("rollup_inclusive", f"WITH RECURSIVE {CLOSURE_SQL} SELECT ancestor_id AS node_id, year, source_type, {SUM} AS amount FROM own_lines JOIN closure USING (node_id) GROUP BY ALL")
 def rollup_inclusive(spark, sf):
-    return t.rollup_inclusive(rows(spark, sf, "own_lines"), closure(spark, sf))
+    return t.rollup_inclusive(rows(spark, sf, "own_lines"), rows(spark, sf, "nodes"), 5)
 
 
 @query(
@@ -54,7 +54,7 @@ def rollup_inclusive(spark, sf):
     SELECT ancestor_id AS node_id, year, source_type, {SUM} AS amount FROM own_lines JOIN leaves USING (node_id) JOIN closure USING (node_id) GROUP BY ALL""",
 )
 def rollup_replace(spark, sf):
-    return t.rollup_replace(rows(spark, sf, "nodes"), rows(spark, sf, "own_lines"), closure(spark, sf))
+    return t.rollup_replace(rows(spark, sf, "nodes"), rows(spark, sf, "own_lines"), depth=5)
 
 
 @query("root_totals", f"SELECT year, source_type, {SUM} AS amount FROM (SELECT * FROM lines WHERE node_id IN (SELECT concat('O', o_orderkey) FROM orders WHERE o_orderkey % 3 = 0)) GROUP BY ALL")
@@ -145,18 +145,22 @@ DELTAS = "SELECT concat('O', o_orderkey) AS node_id, CAST(year(o_orderdate) AS I
     SELECT node_id, year, source_type, CAST(coalesce(amount, 0) + coalesce(delta, 0) AS DECIMAL(20,2)) AS amount FROM base FULL JOIN up USING (node_id, year, source_type)""",
 )
 def propagate_deltas(spark, sf):
-    c = closure(spark, sf)
-    return t.propagate_deltas(t.rollup_inclusive(rows(spark, sf, "lines"), c), bound(spark, sf, DELTAS), c)
+    nodes = rows(spark, sf, "nodes")
+    return t.propagate_deltas(t.rollup_inclusive(rows(spark, sf, "lines"), nodes, 5), bound(spark, sf, DELTAS), nodes, 5)
 
 
-@query("delta_equals_recompute", "SELECT CAST(0 AS BIGINT) AS differing, count(DISTINCT year) > 0 AS seen FROM lines")
+@query(
+    "delta_equals_recompute",
+    f"""WITH RECURSIVE {CLOSURE_SQL}, m AS (SELECT ancestor_id, year, source_type, {SUM} AS amount FROM (SELECT node_id, year, source_type, amount FROM lines UNION ALL SELECT node_id, year, source_type, delta FROM ({DELTAS})) JOIN closure USING (node_id) GROUP BY ALL)
+    SELECT CAST(0 AS BIGINT) AS differing, count(*) AS n_keys, {SUM} AS amount FROM m""",
+)
 def delta_equals_recompute(spark, sf):
     """Adding deltas up the tree gives what rolling the changed lines up again gives."""
-    c, lines, deltas = closure(spark, sf), rows(spark, sf, "lines"), bound(spark, sf, DELTAS)
-    a = t.propagate_deltas(t.rollup_inclusive(lines, c), deltas, c)
-    b = t.rollup_inclusive(lines.select("node_id", *t.KEY, "amount").unionByName(deltas.withColumnRenamed("delta", "amount")), c).withColumnRenamed("amount", "again")
+    nodes, lines, deltas = rows(spark, sf, "nodes"), rows(spark, sf, "lines"), bound(spark, sf, DELTAS)
+    a = t.propagate_deltas(t.rollup_inclusive(lines, nodes, 5), deltas, nodes, 5)
+    b = t.rollup_inclusive(lines.select("node_id", *t.KEY, "amount").unionByName(deltas.withColumnRenamed("delta", "amount")), nodes, 5).withColumnRenamed("amount", "again")
     both = a.join(b, ["node_id", *t.KEY], "full_outer")
-    return both.agg(F.count_if(~F.col("amount").eqNullSafe(F.col("again"))).alias("differing"), (F.count("*") > 0).alias("seen"))
+    return both.agg(F.count_if(~F.col("amount").eqNullSafe(F.col("again"))).alias("differing"), F.count("*").alias("n_keys"), t.total().alias("amount"))
 
 
 @query("refresh_summaries", f"SELECT concat('S', node_id) AS node_id, year, source_type, {SUM} AS amount FROM current WHERE node_id LIKE '%3' GROUP BY ALL")
@@ -195,7 +199,7 @@ def close_to_target(spark, sf):
     SELECT node_id, year, source_type, CAST(coalesce(amount, 0) + coalesce(delta, 0) AS DECIMAL(20,2)) AS amount FROM base FULL JOIN up USING (node_id, year, source_type)""",
 )
 def aggregate_parent_fix(spark, sf):
-    return t.aggregate_parent_fix(t.aggregate_lines(rows(spark, sf, "current")), t.aggregate_lines(rows(spark, sf, "target").where("node_id like '%1'")), closure(spark, sf))
+    return t.aggregate_parent_fix(t.aggregate_lines(rows(spark, sf, "current")), t.aggregate_lines(rows(spark, sf, "target").where("node_id like '%1'")), rows(spark, sf, "nodes"), 5)
 
 
 @query(

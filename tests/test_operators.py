@@ -52,14 +52,13 @@ def test_greedy_overlap_uses_a_token_once(spark):
 def test_two_rollups_differ(spark):
     nodes = spark.createDataFrame([("r", None), ("c", "r")], "node_id string, parent_id string")
     lines = spark.createDataFrame([("r", 2026, "L", Decimal("5.00")), ("c", 2026, "L", Decimal("7.00"))], "node_id string, year int, source_type string, amount decimal(20,2)")
-    closure = tree.ancestor_closure(nodes, 3)
     total = lambda df: {r.node_id: r.amount for r in df.collect()}
-    assert total(tree.rollup_inclusive(lines, closure)) == {"r": Decimal("12.00"), "c": Decimal("7.00")}
-    assert total(tree.rollup_replace(nodes, lines, closure)) == {"r": Decimal("7.00"), "c": Decimal("7.00")}
-    assert total(tree.rollup_replace(nodes, lines, closure, F.col("node_id") == "c")) == {"r": Decimal("5.00")}
+    assert total(tree.rollup_inclusive(lines, nodes, 3)) == {"r": Decimal("12.00"), "c": Decimal("7.00")}
+    assert total(tree.rollup_replace(nodes, lines)) == {"r": Decimal("7.00"), "c": Decimal("7.00")}
+    assert total(tree.rollup_replace(nodes, lines, F.col("node_id") == "c")) == {"r": Decimal("5.00")}
     # r - h - c: what lies below the excluded h keeps its own total
     deep = spark.createDataFrame([("r", None), ("h", "r"), ("c", "h")], "node_id string, parent_id string")
-    assert total(tree.rollup_replace(deep, lines.where("node_id = 'c'"), tree.ancestor_closure(deep, 3), F.col("node_id") == "h")) == {"c": Decimal("7.00")}
+    assert total(tree.rollup_replace(deep, lines.where("node_id = 'c'"), F.col("node_id") == "h")) == {"c": Decimal("7.00")}
 
 
 def test_upsert_sets_the_first_line_only(spark):
