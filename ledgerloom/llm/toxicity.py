@@ -294,23 +294,27 @@ class Restorer:
         """The restored word of one lower-case token, perhaps empty."""
         return next(iter(self.readings(token)), "")
 
+    def wanted(self, words: list[str]) -> tuple[str, ...]:
+        """What is kept of a token's readings: here, the words."""
+        return tuple(w for w in words if w)
+
     def words(self, text: str | None) -> set[str]:
-        """The restored words of a text, each with its readings."""
-        low = (text or "").lower()
-        out = set()
+        """What is wanted of a text's tokens, with all their readings."""
+        low, known = (text or "").lower(), self.known
+        out: set[str] = set()
         for token in set(low.split()):
-            found = self.known.get(token)
+            found = known.get(token)
             if found is None:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                found = self.known[token] = self.readings(token)
-            out.update(found)
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[token] = self.wanted(self.readings(token))
+            if found:
+                out.update(found)
         for m in SPELT.finditer(low):
             run = BETWEEN.sub(r"\1", m.group())
             # a one-letter word may stand at either end of a spelt one
             for part in (run, run[1:], run[:-1], run[1:-1]):
-                out.update(self.readings(part))
-        out.discard("")
+                out.update(self.wanted(self.readings(part)))
         return out
 
     def restore(self, text: str | None) -> str:
@@ -319,6 +323,18 @@ class Restorer:
         return " ".join(w for w in map(self.word, low.split()) if w)
 
 
+class Scorer(Restorer):
+    """Finds the features of a classifier in texts; a word that begins like none of them is not looked at."""
+
+    def __init__(self, model: CharModel, weights: dict[str, float]):
+        super().__init__(model)
+        self.weights, self.starts = weights, {f[:3] for f in weights}
+
+    def wanted(self, words: list[str]) -> tuple[str, ...]:
+        able = {w for w in words if w and (w + " ")[:3] in self.starts}
+        return tuple(f for f in features(able) if f in self.weights) if able else ()
+
+
 def features(words: set[str]) -> set[str]:
     """Whole words (ending in a blank) and beginnings."""
     out = {w + " " for w in words}
@@ -369,7 +385,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = LABELLED, n_features
     marked = labels.where("doc_id is not null and toxic is not null").where(~held_out(5, 0)).groupBy("doc_id").agg(F.max(F.col("toxic")).alias("toxic"))
     picked = marked.withColumn("mark", F.xxhash64("doc_id")).orderBy("mark", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("mark", "text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.repartition(max(1, sample // 500), "mark")
+    # at most `sample` texts, read three times
+    rows = settled(rows.repartition(max(1, sample // 500), "mark"))
     share = docs.sparkSession.sparkContext.broadcast(model)
     counted = rows.mapInArrow(lambda it: count_batches(it, share.value), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
     size = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -392,20 +409,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = LABELLED, n_features
 
 def score_batches(batches: Iterator[pa.RecordBatch], learned: tuple[CharModel, dict[str, float], float]) -> Iterator[pa.RecordBatch]:
     model, weights, intercept = learned
-    restore = Restorer(model)
-    worth: dict[str, list[str]] = {}
+    scorer = Scorer(model, weights)
     for batch in text_slices(batches):
         scores = []
         for text in batch.column("text").to_pylist():
-            found: set[str] = set()
-            for w in restore.words(text):
-                has = worth.get(w)
-                if has is None:
-                    if len(worth) >= REMEMBERED:
-                        worth.clear()
-                    has = worth[w] = [f for f in features({w}) if f in weights]
-                found.update(has)
-            z = intercept + math.fsum(weights[f] for f in found)
+            z = intercept + math.fsum(weights[f] for f in scorer.words(text))
             scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -417,7 +425,12 @@ def score(docs: DataFrame, learned: tuple[CharModel, dict[str, float], float]) -
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from docs and labels, then per row of docs: doc_id, held_out, score, predicted."""
+    """Learn from docs and labels, then per row of docs: doc_id, held_out, score, predicted.
+
+    Null and empty texts have the intercept's score. Row for row: repeated rows have equal scores, null doc_ids are scored and
+    never learned from; of several labels of one id the toxic one counts. Without labels of both kinds all have one score.
+    Columns of docs but doc_id and text are not read.
+    """
     scored = score(docs, learn(docs, labels))
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
