@@ -7,7 +7,7 @@ has a pair left. An ordered aggregation of the bytes of the ids, and of nothing
 
 The recursive query keeps the rows of all its steps, about half the square of a piece's bytes. So a piece of over
 RECURSIVE bytes has a table of its current tokens, which each step replaces: it contracts the pairs of minimum rank
-from the left, all at once where no pair that this makes can have a lower rank, else the first of them.
+from the left, all of them, or those up to the first that makes a pair of a lower rank, which is next.
 
 Pieces that a Python worker has met are remembered between batches, ids and decoded bytes, in two
 generations of bounded size, so that a frequent piece is merged once; a forgotten piece is merged again.
@@ -64,7 +64,14 @@ SELECT pos, tok, m FROM (SELECT pos, tok, lead(tok) OVER (ORDER BY pos) AS after
 CONTRACT = """
 CREATE OR REPLACE TABLE long AS
 WITH hit AS (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS run FROM long WHERE m = $rank),
-picked AS (SELECT pos FROM (SELECT pos, row_number() OVER (PARTITION BY run ORDER BY pos) AS k FROM hit) WHERE k % 2 = 1 ORDER BY pos LIMIT $most),
+apart AS (SELECT pos FROM (SELECT pos, row_number() OVER (PARTITION BY run ORDER BY pos) AS k FROM hit) WHERE k % 2 = 1),
+beside AS (
+  SELECT a.pos, CASE WHEN lag(a.pos) OVER (ORDER BY a.pos) = a.pos - 2 THEN $rank ELSE b.tok END AS before, c.tok AS after
+  FROM apart a LEFT JOIN long b ON b.pos = a.pos - 1 LEFT JOIN long c ON c.pos = a.pos + 2 WHERE $guarded),
+turn AS (
+  SELECT min(pos) AS pos FROM beside LEFT JOIN merges l ON l.lr = before::BIGINT * 4294967296 + $rank LEFT JOIN merges r ON r.lr = $rank * 4294967296 + after
+  WHERE least(l.m, r.m) < $rank),
+picked AS (SELECT apart.pos FROM apart, turn WHERE turn.pos IS NULL OR apart.pos <= turn.pos),
 kept AS (
   SELECT long.pos AS place, CASE WHEN p.pos IS NULL THEN tok ELSE $rank END AS tok, m, p.pos IS NOT NULL AS made
   FROM long LEFT JOIN picked p ON p.pos = long.pos LEFT JOIN picked q ON q.pos + 1 = long.pos WHERE q.pos IS NULL),
@@ -114,7 +121,7 @@ class Coder:
         self.old: dict[str, Coded] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         rows = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.one_by_one = {x for a, b, m in rows for x in (a, b) if m < x}
+        self.guarded = {x for a, b, m in rows for x in (a, b) if m < x}
         self.db.register("rows", pa.table({n: pa.array([r[i] for r in rows], pa.int32()) for i, n in enumerate("lrm")}))
         self.db.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hx": [t.hex() for t in ranks]}))
         self.db.execute("CREATE TABLE merges AS SELECT l::BIGINT * 4294967296 + r AS lr, m FROM rows")
@@ -133,7 +140,7 @@ class Coder:
         self.db.execute(LONG)
         self.db.unregister("start")
         while (rank := self.db.execute("SELECT min(m) FROM long").fetchone()[0]) is not None:
-            self.db.execute(CONTRACT, {"rank": rank, "most": 1 if rank in self.one_by_one else len(piece) * 4})
+            self.db.execute(CONTRACT, {"rank": rank, "guarded": rank in self.guarded})
         ids = self.db.execute("SELECT tok FROM long ORDER BY pos").fetchnumpy()["tok"]
         self.db.execute("DROP TABLE long")
         return np.asarray(ids, dtype=np.int32).tobytes()
