@@ -69,7 +69,9 @@ def assign(df: DataFrame, key: str = "doc_id", shards: list[str] | None = None,
     return joined.select(*kept, F.col("__at").alias("slot"), F.col("__shard").alias("shard"))
 
 
-def write(df: DataFrame, path: str, key: str = "doc_id", shards: list[str] | None = None, size: int = TABLE_SIZE, files: int = 4) -> None:
-    """Write df in one folder a shard; a shard's rows are dealt over `files` files, so that none is one task's."""
+def write(df: DataFrame, path: str, key: str = "doc_id", shards: list[str] | None = None, size: int = TABLE_SIZE, rows_per_file: int = 1_000_000) -> None:
+    """Write df in one folder a shard; a shard's rows are dealt over files of about rows_per_file, so that no task has a whole shard."""
+    shards = shards or [f"shard-{i:03d}" for i in range(SHARDS)]
+    files = max(1, -(-df.count() // (rows_per_file * len(shards))))
     placed = assign(df, key, shards, size)
-    placed.repartition("shard", F.pmod(F.xxhash64(key), F.lit(files))).write.partitionBy("shard").mode("overwrite").parquet(path)
+    placed.repartition("shard", F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.partitionBy("shard").mode("overwrite").parquet(path)

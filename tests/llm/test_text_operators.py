@@ -182,11 +182,23 @@ def test_sharding_table():
         sharding.lookup(names, 1000)
 
 
+def test_sharding_table_by_whole_preference_lists():
+    names, size = [f"shard {i}" for i in range(5)], 101
+    lists = [[(sharding.hash_of("offset:" + s) + j * (sharding.hash_of("step:" + s) % (size - 1) + 1)) % size for j in range(size)] for s in names]
+    assert all(sorted(x) == list(range(size)) for x in lists)
+    owner, turn = {}, 0
+    while len(owner) < size:
+        mine = lists[turn % 5]
+        owner[next(slot for slot in mine if slot not in owner)] = turn % 5
+        turn += 1
+    assert sharding.lookup(names, size) == [owner[i] for i in range(size)]
+
+
 def test_sharding_places_every_row(spark, tmp_path):
     rows = sharding.assign(odd(spark), "doc_id", ["a", "b", "c"], 101).collect()
     table = sharding.lookup(["a", "b", "c"], 101)
     assert len(rows) == 11 and all(r.shard == "abc"[table[r.slot]] and r.slot == sharding.hash_of("" if r.doc_id is None else str(r.doc_id)) % 101 for r in rows)
-    sharding.write(odd(spark), str(tmp_path / "out"), "doc_id", ["a", "b", "c"], 101)
+    sharding.write(odd(spark), str(tmp_path / "out"), "doc_id", ["a", "b", "c"], 101, rows_per_file=2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 11
 
 
