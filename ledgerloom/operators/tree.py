@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stages import settled
+
 MONEY = "decimal(20,2)"
 KEY = ["year", "source_type"]
 
@@ -25,19 +29,30 @@ def attach_lines(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     return lines.join(nodes.select("node_id").distinct(), "node_id")
 
 
-def ancestor_closure(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
-    """node_id, ancestor_id, depth, each node included as its own ancestor at depth 0.
+def ancestor_closure(nodes: DataFrame) -> DataFrame:
+    """node_id, ancestor_id, depth, each node included as its own ancestor at depth 0; a tree of any depth.
 
-    The loop is bounded by the depth of the tree (types, not rows), so a cycle ends with it.
+    Steps double: those up to k and those of just k make those up to 2k, so a tree of depth d takes log2(d) rounds, each settled. The
+    last round finds nothing. A node above itself is an error that names it.
     """
-    up = nodes.where("parent_id is not null").select(F.col("node_id").alias("__n"), F.col("parent_id").alias("__p"))
-    # one row a node grows a column a level, so each level is one join
-    out, found = nodes.select("node_id", F.col("node_id").alias("__0")), ["__0"]
-    for depth in range(1, max_depth):
-        out = out.join(up, F.col(found[-1]) == F.col("__n"), "left").select("node_id", *found, F.col("__p").alias(f"__{depth}"))
-        found.append(f"__{depth}")
-    levels = F.posexplode(F.array_compact(F.array(*found))).alias("depth", "ancestor_id")
-    return out.select("node_id", levels).select("node_id", "ancestor_id", "depth")
+    steps = nodes.where("parent_id is not null").select("node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
+    found, k = settled(steps), 1
+    while True:
+        refuse_cycles(found)
+        jumps = found.where(F.col("depth") == k).select("node_id", F.col("ancestor_id").alias("__mid"))
+        further = found.select(F.col("node_id").alias("__mid"), "ancestor_id", (F.col("depth") + k).alias("depth"))
+        longer = settled(jumps.join(further, "__mid").select("node_id", "ancestor_id", "depth"))
+        if longer.isEmpty():
+            break
+        found, k = found.unionByName(longer), 2 * k
+    return found.unionByName(nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("depth")))
+
+
+def refuse_cycles(steps: DataFrame) -> None:
+    """An error if some node is its own ancestor."""
+    caught = steps.where("node_id = ancestor_id").agg(F.min("node_id").alias("node_id")).first().node_id
+    if caught is not None:
+        raise ValueError(f"the parents of node {caught} lead back to it")
 
 
 def aggregate_lines(lines: DataFrame, by: str = "node_id") -> DataFrame:
@@ -45,28 +60,36 @@ def aggregate_lines(lines: DataFrame, by: str = "node_id") -> DataFrame:
     return lines.groupBy(by, *KEY).agg(total().alias("amount"))
 
 
-def roll_up(amounts: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """Sums by node, year and source of each node's own amounts and of all below it, level by level; amounts of unknown nodes go.
+#: Levels after which a roll-up looks whether the tree is one.
+TALL = 32
+
+
+def roll_up(amounts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Sums by node, year and source of each node's own amounts and of all below it; amounts of unknown nodes go. A tree of any depth.
 
-    A level's sums go to the parents in one join; they are far fewer than the amounts, so no ancestor list is made. The loop
-    is bounded by the tree's depth.
+    Each level's sums are settled and then go to the parents; they are far fewer than the amounts, so no ancestor list is made. The loop
+    ends with the level that has nothing above it. Parents that lead back to a node are an error.
     """
-    up = nodes.select("node_id", F.col("parent_id").alias("__up"))
-    level, every = amounts.groupBy("node_id", *KEY).agg(total().alias("amount")), None
-    for _ in range(depth):
-        known = level.join(up, "node_id")
-        own = known.select("node_id", *KEY, "amount")
-        every = own if every is None else every.unionByName(own)
+    up, every, n = nodes.select("node_id", F.col("parent_id").alias("__up")), [], 0
+    level = amounts.groupBy("node_id", *KEY).agg(total().alias("amount"))
+    while True:
+        known = settled(level.join(up, "node_id"))
+        if known.isEmpty() and every:
+            break
+        every.append(known.select("node_id", *KEY, "amount"))
+        n += 1
+        if n == TALL:
+            ancestor_closure(nodes)
         level = known.where("__up is not null").groupBy(F.col("__up").alias("node_id"), *KEY).agg(total().alias("amount"))
-    return every.groupBy("node_id", *KEY).agg(total().alias("amount"))
+    return reduce(DataFrame.unionByName, every).groupBy("node_id", *KEY).agg(total().alias("amount"))
 
 
-def rollup_inclusive(lines: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
+def rollup_inclusive(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """A node's own lines and those of all below it."""
-    return roll_up(lines, nodes, depth)
+    return roll_up(lines, nodes)
 
 
-def rollup_replace(nodes: DataFrame, lines: DataFrame, excluded: Column | None = None, depth: int = 8) -> DataFrame:
+def rollup_replace(nodes: DataFrame, lines: DataFrame, excluded: Column | None = None) -> DataFrame:
     """Leaves keep their lines, a node with regular children has their sum and loses its own lines.
 
     Nothing passes through an excluded node: what lies below it counts up to it, and not for it or those above.
@@ -77,7 +100,7 @@ def rollup_replace(nodes: DataFrame, lines: DataFrame, excluded: Column | None =
     if excluded is not None:
         hidden = nodes.where(F.coalesce(excluded, F.lit(False))).select(F.col("node_id").alias("__hidden")).distinct()
         regular = regular.join(hidden, F.col("parent_id") == F.col("__hidden"), "left").withColumn("parent_id", F.when(F.col("__hidden").isNull(), F.col("parent_id")))
-    return roll_up(aggregate_lines(lines).join(leaves, "node_id", "left_semi"), regular, depth)
+    return roll_up(aggregate_lines(lines).join(leaves, "node_id", "left_semi"), regular)
 
 
 def root_totals(nodes: DataFrame, lines: DataFrame) -> DataFrame:
@@ -140,9 +163,9 @@ def renumber_siblings(rows: DataFrame, parent: str, code: str, order: list[str])
     return rows.withColumn("__first", first).withColumn("number", F.dense_rank().over(W.partitionBy(parent).orderBy(code, "__first"))).drop("__first")
 
 
-def propagate_deltas(lines: DataFrame, deltas: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
+def propagate_deltas(lines: DataFrame, deltas: DataFrame, nodes: DataFrame) -> DataFrame:
     """Totals (node, year, source) with the deltas of a node added to it and to all above it."""
-    up = roll_up(deltas.withColumnRenamed("delta", "amount"), nodes, depth).withColumnRenamed("amount", "delta")
+    up = roll_up(deltas.withColumnRenamed("delta", "amount"), nodes).withColumnRenamed("amount", "delta")
     joined = lines.join(up, ["node_id", *KEY], "full_outer")
     return joined.select("node_id", *KEY, (F.coalesce("amount", F.lit(0)) + F.coalesce("delta", F.lit(0))).cast(MONEY).alias("amount"))
 
@@ -179,11 +202,11 @@ def closed_root(actual: DataFrame, expected: DataFrame, tolerance: float = 10.0)
     return both.groupBy(*KEY).agg(total().alias("amount"))
 
 
-def aggregate_parent_fix(totals: DataFrame, aggregates: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
+def aggregate_parent_fix(totals: DataFrame, aggregates: DataFrame, nodes: DataFrame) -> DataFrame:
     """New aggregates (node_id is the blank parent) replace its totals; the difference goes up."""
     mine = totals.withColumnRenamed("amount", "old")
     delta = aggregates.join(mine, ["node_id", *KEY], "left").select("node_id", *KEY, (F.col("amount") - F.coalesce("old", F.lit(0))).cast(MONEY).alias("delta"))
-    return propagate_deltas(totals, delta, nodes, depth)
+    return propagate_deltas(totals, delta, nodes)
 
 
 def subtree_dates(closure: DataFrame, lines: DataFrame) -> DataFrame:

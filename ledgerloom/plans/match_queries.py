@@ -243,7 +243,7 @@ def explain_items(spark, sf):
     from ..operators import tree
 
     nodes = rows(spark, sf, "nodes").where("node_type <> 'object'")
-    names = tree.hierarchy_struct(nodes, tree.ancestor_closure(nodes, 4), ["main_activity", "activity"])
+    names = tree.hierarchy_struct(nodes, tree.ancestor_closure(nodes), ["main_activity", "activity"])
     category = F.when(F.col("is_new"), "new_object").when(F.col("mode") == "zeroing", "zeroing").otherwise("other")
     return rows(spark, sf, "items").where("confidence >= 0.9").join(names, "node_id").select("item_id", "activity", "main_activity", category.alias("category"))
 

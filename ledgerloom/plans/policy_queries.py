@@ -104,7 +104,7 @@ def intent_decisions(spark, sf):
 def rollup_excluded(spark, sf):
     """G6 with inner nodes that nothing passes through; leaves below them keep their own totals."""
     excluded = F.col("node_id").like("C%") & (F.expr("try_cast(substring(node_id, 2) as bigint)") % 3 == 0)
-    return tree.rollup_replace(rows(spark, sf, "nodes"), rows(spark, sf, "own_lines"), excluded, 5)
+    return tree.rollup_replace(rows(spark, sf, "nodes"), rows(spark, sf, "own_lines"), excluded)
 
 
 ONE_LINE = f"SELECT node_id, year, source_type, {SUM} AS amount, 1 AS line_no, 1 AS line_id FROM current GROUP BY node_id, year, source_type"

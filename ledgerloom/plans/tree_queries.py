@@ -14,7 +14,7 @@ SUM = "CAST(sum(amount) AS DECIMAL(20,2))"
 
 
 def closure(spark, sf):
-    return t.ancestor_closure(rows(spark, sf, "nodes"), 5)
+    return t.ancestor_closure(rows(spark, sf, "nodes"))
 
 
 @query("ancestor_closure", f"WITH RECURSIVE {CLOSURE_SQL} SELECT node_id, ancestor_id, depth FROM closure")
@@ -45,7 +45,7 @@ def aggregate_lines(spark, sf):
 
 @query("rollup_inclusive", f"WITH RECURSIVE {CLOSURE_SQL} SELECT ancestor_id AS node_id, year, source_type, {SUM} AS amount FROM own_lines JOIN closure USING (node_id) GROUP BY ALL")
 def rollup_inclusive(spark, sf):
-    return t.rollup_inclusive(rows(spark, sf, "own_lines"), rows(spark, sf, "nodes"), 5)
+    return t.rollup_inclusive(rows(spark, sf, "own_lines"), rows(spark, sf, "nodes"))
 
 
 @query(
@@ -54,7 +54,7 @@ def rollup_inclusive(spark, sf):
     SELECT ancestor_id AS node_id, year, source_type, {SUM} AS amount FROM own_lines JOIN leaves USING (node_id) JOIN closure USING (node_id) GROUP BY ALL""",
 )
 def rollup_replace(spark, sf):
-    return t.rollup_replace(rows(spark, sf, "nodes"), rows(spark, sf, "own_lines"), depth=5)
+    return t.rollup_replace(rows(spark, sf, "nodes"), rows(spark, sf, "own_lines"))
 
 
 @query("root_totals", f"SELECT year, source_type, {SUM} AS amount FROM (SELECT * FROM lines WHERE node_id IN (SELECT concat('O', o_orderkey) FROM orders WHERE o_orderkey % 3 = 0)) GROUP BY ALL")
@@ -146,7 +146,7 @@ DELTAS = "SELECT concat('O', o_orderkey) AS node_id, CAST(year(o_orderdate) AS I
 )
 def propagate_deltas(spark, sf):
     nodes = rows(spark, sf, "nodes")
-    return t.propagate_deltas(t.rollup_inclusive(rows(spark, sf, "lines"), nodes, 5), bound(spark, sf, DELTAS), nodes, 5)
+    return t.propagate_deltas(t.rollup_inclusive(rows(spark, sf, "lines"), nodes), bound(spark, sf, DELTAS), nodes)
 
 
 @query(
@@ -157,8 +157,8 @@ def propagate_deltas(spark, sf):
 def delta_equals_recompute(spark, sf):
     """Adding deltas up the tree gives what rolling the changed lines up again gives."""
     nodes, lines, deltas = rows(spark, sf, "nodes"), rows(spark, sf, "lines"), bound(spark, sf, DELTAS)
-    a = t.propagate_deltas(t.rollup_inclusive(lines, nodes, 5), deltas, nodes, 5)
-    b = t.rollup_inclusive(lines.select("node_id", *t.KEY, "amount").unionByName(deltas.withColumnRenamed("delta", "amount")), nodes, 5).withColumnRenamed("amount", "again")
+    a = t.propagate_deltas(t.rollup_inclusive(lines, nodes), deltas, nodes)
+    b = t.rollup_inclusive(lines.select("node_id", *t.KEY, "amount").unionByName(deltas.withColumnRenamed("delta", "amount")), nodes).withColumnRenamed("amount", "again")
     both = a.join(b, ["node_id", *t.KEY], "full_outer")
     return both.agg(F.count_if(~F.col("amount").eqNullSafe(F.col("again"))).alias("differing"), F.count("*").alias("n_keys"), t.total().alias("amount"))
 
@@ -199,7 +199,7 @@ def close_to_target(spark, sf):
     SELECT node_id, year, source_type, CAST(coalesce(amount, 0) + coalesce(delta, 0) AS DECIMAL(20,2)) AS amount FROM base FULL JOIN up USING (node_id, year, source_type)""",
 )
 def aggregate_parent_fix(spark, sf):
-    return t.aggregate_parent_fix(t.aggregate_lines(rows(spark, sf, "current")), t.aggregate_lines(rows(spark, sf, "target").where("node_id like '%1'")), rows(spark, sf, "nodes"), 5)
+    return t.aggregate_parent_fix(t.aggregate_lines(rows(spark, sf, "current")), t.aggregate_lines(rows(spark, sf, "target").where("node_id like '%1'")), rows(spark, sf, "nodes"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import arrays, money, text
@@ -53,7 +54,7 @@ def test_two_rollups_differ(spark):
     nodes = spark.createDataFrame([("r", None), ("c", "r")], "node_id string, parent_id string")
     lines = spark.createDataFrame([("r", 2026, "L", Decimal("5.00")), ("c", 2026, "L", Decimal("7.00"))], "node_id string, year int, source_type string, amount decimal(20,2)")
     total = lambda df: {r.node_id: r.amount for r in df.collect()}
-    assert total(tree.rollup_inclusive(lines, nodes, 3)) == {"r": Decimal("12.00"), "c": Decimal("7.00")}
+    assert total(tree.rollup_inclusive(lines, nodes)) == {"r": Decimal("12.00"), "c": Decimal("7.00")}
     assert total(tree.rollup_replace(nodes, lines)) == {"r": Decimal("7.00"), "c": Decimal("7.00")}
     assert total(tree.rollup_replace(nodes, lines, F.col("node_id") == "c")) == {"r": Decimal("5.00")}
     # r - h - c: what lies below the excluded h keeps its own total
@@ -61,6 +62,29 @@ def test_two_rollups_differ(spark):
     assert total(tree.rollup_replace(deep, lines.where("node_id = 'c'"), F.col("node_id") == "h")) == {"c": Decimal("7.00")}
 
 
+@pytest.mark.parametrize("tall", [32, 4])
+def test_rollups_of_a_long_chain(spark, monkeypatch, tall):
+    monkeypatch.setattr(tree, "TALL", tall)
+    nodes = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(11)], "node_id string, parent_id string")
+    lines = spark.createDataFrame([("n10", 2026, "L", Decimal("7.00")), ("n4", 2026, "L", Decimal("2.00"))], "node_id string, year int, source_type string, amount decimal(20,2)")
+    total = lambda df: {r.node_id: int(r.amount) for r in df.collect()}
+    assert total(tree.rollup_inclusive(lines, nodes)) == {f"n{i}": 9 if i <= 4 else 7 for i in range(11)}
+    assert total(tree.rollup_replace(nodes, lines)) == {f"n{i}": 7 for i in range(11)}
+    assert total(tree.propagate_deltas(lines, lines.withColumnRenamed("amount", "delta"), nodes))["n0"] == 9
+    pairs = {(r.node_id, r.ancestor_id): r.depth for r in tree.ancestor_closure(nodes).collect()}
+    assert pairs == {(f"n{i}", f"n{j}"): i - j for i in range(11) for j in range(i + 1)}
+
+
+def test_a_cycle_of_parents_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(tree, "TALL", 5)
+    nodes = spark.createDataFrame([("r", None), ("a", "c"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d")], "node_id string, parent_id string")
+    lines = spark.createDataFrame([("e", 2026, "L", Decimal("7.00"))], "node_id string, year int, source_type string, amount decimal(20,2)")
+    with pytest.raises(ValueError, match="the parents of node a lead back"):
+        tree.ancestor_closure(nodes)
+    with pytest.raises(ValueError, match="lead back"):
+        tree.rollup_inclusive(lines, nodes)
+
+
 def test_upsert_sets_the_first_line_only(spark):
     lines = spark.createDataFrame([("n", 2026, "L", Decimal("1.00"), 1, 1), ("n", 2026, "L", Decimal("2.00"), 2, 2)], "node_id string, year int, source_type string, amount decimal(20,2), line_no int, line_id int")
     items = spark.createDataFrame([("n", 2026, "L", Decimal("9.00"))], "node_id string, year int, source_type string, new_amount decimal(20,2)")
