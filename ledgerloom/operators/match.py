@@ -6,20 +6,28 @@ of the group's words needs one of so few of them that only the rarest have to be
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import name_similarity, token_overlap_any
 from ..functions.text import meaningful_tokens, normalize_name_alnum
+from .stages import settled
 
 #: Fixed thresholds.
 THRESHOLD, BAND, FLOOR, CONTAINED, DECISION_FLOOR, KEPT = 0.92, 0.05, 0.45, 0.95, 0.70, 10
 
 
-def one_or_ambiguous(pairs: DataFrame, status: str) -> DataFrame:
-    """group_key with its only node, or NEEDS_CONFIRMATION when there are several."""
-    found = pairs.groupBy("group_key").agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("node_id"))
+def by_name(nodes: DataFrame, *by: str) -> DataFrame:
+    """A row for each name: how many nodes (n) have it, and the least of them."""
+    return nodes.groupBy(*by).agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("node_id"))
+
+
+def one_or_ambiguous(found: DataFrame, status: str) -> DataFrame:
+    """group_key with its name's only node, or NEEDS_CONFIRMATION when there are several (n)."""
     one = F.col("n") == 1
     return found.select("group_key", F.when(one, F.col("node_id")).alias("node_id"), F.when(one, status).otherwise("NEEDS_CONFIRMATION").alias("match_status"), F.when(one, 1.0).otherwise(0.5).alias("confidence"))
 
@@ -45,7 +53,7 @@ def code_scope(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def stem_pairs(groups: DataFrame, nodes: DataFrame, size: int, share: float) -> DataFrame:
-    """group_key, node_id: pairs of a block in which at least `share` of the group's words may have a partner that begins alike.
+    """block, group_key, node_id: pairs of a block in which at least `share` of the group's words may have a partner that begins alike.
 
     groups and nodes: block, their key, tokens. Of a group's n words all but ceil(share * n) - 1 are looked up, the rarest
     stems of `size` letters first; stems that no node has cost nothing. Shorter words are their own stem.
@@ -54,19 +62,19 @@ def stem_pairs(groups: DataFrame, nodes: DataFrame, size: int, share: float) ->
     often = theirs.groupBy("block", "stem").agg(F.count("*").alias("often"))
     mine = groups.select("block", "group_key", (F.size("tokens") - F.ceil(F.size("tokens") * share - 1e-9) + 1).alias("look"), F.explode("tokens").alias("token")).withColumn("stem", F.left("token", F.lit(size)))
     ranked = mine.join(often, ["block", "stem"], "left").withColumn("__rn", F.row_number().over(W.partitionBy("block", "group_key").orderBy(F.coalesce("often", F.lit(0)), "stem", "token")))
-    return ranked.where("__rn <= look and often is not null").select("block", "group_key", "stem").join(theirs, ["block", "stem"]).select("group_key", "node_id").distinct()
+    return ranked.where("__rn <= look and often is not null").select("block", "group_key", "stem").join(theirs, ["block", "stem"]).select("block", "group_key", "node_id").distinct()
 
 
 def held_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """group_key, node_id: pairs of a block in which the node's norm holds the group's, anywhere; they meet by the group's rarest three letters."""
+    """block, group_key, node_id: pairs of a block in which the node's norm holds the group's, anywhere; they meet by the group's rarest three letters."""
 
     def grams(size: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("norm") - size + 1, F.lit(1))), lambda i: F.substring("norm", i, F.lit(size)))
 
     mine = groups.where("norm <> ''").select("block", "group_key", "norm", F.array_distinct(grams(3)).alias("tokens"))
     theirs = nodes.where("norm <> ''").select("block", "node_id", F.array_distinct(F.concat(grams(1), grams(2), grams(3))).alias("tokens"))
-    met = stem_pairs(mine, theirs, 3, 1.0).join(mine.select("group_key", "norm"), "group_key").join(nodes.select("node_id", F.col("norm").alias("nn")), "node_id")
-    return met.where(F.col("nn").contains(F.col("norm"))).select("group_key", "node_id")
+    met = stem_pairs(mine, theirs, 3, 1.0).join(mine.select("group_key", "norm"), "group_key").join(nodes.select("block", "node_id", F.col("norm").alias("nn")), ["block", "node_id"])
+    return met.where(F.col("nn").contains(F.col("norm"))).select("block", "group_key", "node_id")
 
 
 def match_code(groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -77,13 +85,13 @@ def match_code(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def match_exact_name(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Equal normalized names inside the block."""
-    return one_or_ambiguous(groups.join(nodes.select("block", "node_id", "norm"), ["block", "norm"]), "MATCH_EXACT_NAME")
+    """Equal normalized names inside the block; a name that normalizes to nothing equals another such, as no rule forbids it here."""
+    return one_or_ambiguous(groups.join(by_name(nodes, "block", "norm"), ["block", "norm"]), "MATCH_EXACT_NAME")
 
 
-def match_global_name(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Equal names in the whole tree, for groups without a code."""
-    return one_or_ambiguous(groups.where("code is null").join(nodes.select("node_id", "norm"), "norm"), "MATCH_EXACT_NAME_GLOBAL")
+def match_global_name(groups: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Equal names in the whole tree (of each `by`, such as a program), for groups without a code; names that normalize to nothing meet none."""
+    return one_or_ambiguous(groups.where("code is null and norm <> ''").join(by_name(nodes, *by, "norm"), [*by, "norm"]), "MATCH_EXACT_NAME_GLOBAL")
 
 
 def rank_candidates(scored: DataFrame) -> DataFrame:
@@ -96,24 +104,44 @@ def match_fuzzy(groups: DataFrame, nodes: DataFrame, threshold: float = THRESHOL
     """The best name of the block at or over the threshold, unless the second is within the band."""
     # words match only if their first three letters do; of the left words this share is needed
     met = stem_pairs(groups, nodes, 3, threshold - band - 0.001)
-    pairs = met.join(groups.select("group_key", F.col("tokens").alias("l")), "group_key").join(nodes.select("node_id", F.col("tokens").alias("r")), "node_id")
+    pairs = met.join(groups.select("group_key", F.col("tokens").alias("l")), "group_key").join(nodes.select("block", "node_id", F.col("tokens").alias("r")), ["block", "node_id"])
     best = rank_candidates(pairs.withColumn("score", F.round(name_similarity(F.col("l"), F.col("r")), 4))).where("rank = 1").where(F.col("score") >= threshold)
     clear = F.col("second").isNull() | (F.col("score") - F.col("second") > band)
     return best.select("group_key", F.when(clear, F.col("node_id")).alias("node_id"), F.when(clear, "MATCH_FUZZY_CONFIDENT").otherwise("NEEDS_CONFIRMATION").alias("match_status"), F.when(clear, F.col("score")).otherwise(0.5).alias("confidence"))
 
 
+def likeliest(groups: DataFrame, find: Callable[[DataFrame, float], DataFrame], shares: tuple[float, ...] = (CONTAINED, 0.7, FLOOR)) -> DataFrame:
+    """Scored pairs of each group with all its best nodes among them: find(groups, share) gives those that score at least share.
+
+    A high share needs the rarest words only, so it is asked first, and lower ones only for the groups that it leaves without a node.
+    """
+    left, every = groups, []
+    for share in shares:
+        found = settled(find(left, share).where(F.col("score") >= share))
+        every.append(found)
+        if share != shares[-1]:
+            left = settled(left.join(found.select("group_key").distinct(), "group_key", "left_anti"))
+    return reduce(DataFrame.unionByName, every)
+
+
 def match_event_name(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """The node's name holds the event's, or is like it enough; the top must be alone."""
-    met = stem_pairs(groups, nodes, 3, FLOOR - 0.001).unionByName(held_pairs(groups, nodes)).distinct()
-    pairs = met.join(groups.select("group_key", "norm", F.col("tokens").alias("l")), "group_key").join(nodes.select("node_id", F.col("norm").alias("nn"), F.col("tokens").alias("r")), "node_id")
-    score = F.when(F.col("nn").contains(F.col("norm")), F.lit(CONTAINED)).otherwise(F.round(name_similarity(F.col("l"), F.col("r")), 4))
-    best = rank_candidates(pairs.where("norm <> ''").withColumn("score", score)).where("rank = 1").where(F.col("score") >= FLOOR)
+
+    def find(left: DataFrame, share: float) -> DataFrame:
+        met = stem_pairs(left, nodes, 3, share - 0.001)
+        if share == CONTAINED:
+            met = met.unionByName(held_pairs(left, nodes)).distinct()
+        pairs = met.join(left.select("group_key", "norm", F.col("tokens").alias("l")), "group_key").join(nodes.select("block", "node_id", F.col("norm").alias("nn"), F.col("tokens").alias("r")), ["block", "node_id"])
+        score = F.when(F.col("nn").contains(F.col("norm")), F.lit(CONTAINED)).otherwise(F.round(name_similarity(F.col("l"), F.col("r")), 4))
+        return pairs.select("group_key", "node_id", score.alias("score"))
+
+    best = rank_candidates(likeliest(groups.where("norm <> ''"), find)).where("rank = 1")
     return best.where("second is null or second < score").select("group_key", "node_id", F.lit("MATCH_PDF_EVENT_NAME").alias("match_status"), F.col("score").alias("confidence"))
 
 
 def match_residual_parent(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """A residual's best structural node, if that is a concrete leaf."""
-    pairs = stem_pairs(groups, nodes, 2, FLOOR - 0.001).join(groups.select("group_key", F.col("tokens").alias("l")), "group_key").join(nodes.select("node_id", "is_leaf", F.col("tokens").alias("r")), "node_id")
+    pairs = stem_pairs(groups, nodes, 2, FLOOR - 0.001).join(groups.select("group_key", F.col("tokens").alias("l")), "group_key").join(nodes.select("block", "node_id", "is_leaf", F.col("tokens").alias("r")), ["block", "node_id"])
     scored = pairs.withColumn("score", F.round(token_overlap_any(F.col("l"), F.col("r")) / F.greatest(F.size("l"), F.size("r"), F.lit(1)), 4)).where(F.col("score") >= FLOOR)
     best = scored.groupBy("group_key").agg(F.min_by(F.struct("node_id", "is_leaf", "score"), F.struct(-F.col("score"), "node_id")).alias("b")).where("b.is_leaf")
     return best.select("group_key", "b.node_id", F.lit("MATCH_RESIDUAL_PARENT").alias("match_status"), F.col("b.score").alias("confidence"))

@@ -101,6 +101,12 @@ def test_ambiguity_stops_the_cascade(spark):
     assert (row.node_id, row.match_status, row.confidence) == (None, "NEEDS_CONFIRMATION", 0.5)
 
 
+def test_blank_names_meet_none_in_the_whole_tree(spark):
+    groups = match.named(spark.createDataFrame([("g", "b", "...", None), ("h", "b", None, None), ("i", "b", "Школа", None)], "group_key string, block string, name string, code string"), F.col("name"))
+    nodes = match.named(spark.createDataFrame([("1", "c", " - "), ("2", "c", "школа"), ("3", "d", "ШКОЛА")], "node_id string, block string, name string"), F.col("name"))
+    assert [(r.group_key, r.match_status) for r in match.match_global_name(groups, nodes).collect()] == [("i", "NEEDS_CONFIRMATION")]
+
+
 def test_reload_by_document_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "doc_id string, v int")
