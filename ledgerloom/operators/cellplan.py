@@ -57,7 +57,7 @@ def seq(phase: int, node: Column, kind: int, line: Column | None = None) -> Colu
 
 def update(df: DataFrame, reason: str, order: Column, item: Column | None = None) -> DataFrame:
     """One kind of update; cells without all their coordinates go."""
-    out = df.withColumns({"unit": F.coalesce(F.nullif(F.col("unit"), F.lit("")), F.lit(UNIT)), "reason": F.lit(reason), "seq": order, "item_id": F.lit(None).cast("long") if item is None else item, "raw": F.nullif(F.col("raw"), F.lit("")), "amount": F.col("amount").cast(MONEY)})
+    out = df.withColumns({"unit": F.coalesce(F.nullif(F.col("unit"), F.lit("")), F.lit(UNIT)), "reason": F.lit(reason), "seq": F.struct(order.alias("order"), F.col("amount").cast(MONEY).alias("amount")), "item_id": F.lit(None).cast("long") if item is None else item, "raw": F.nullif(F.col("raw"), F.lit("")), "amount": F.col("amount").cast(MONEY)})
     return out.where("table_idx is not null and row_idx is not null and col_idx is not null").select(*(F.col(c).cast("int").alias(c) if c in CELL[1:] else F.col(c) for c in OUT))
 
 
@@ -126,7 +126,7 @@ def passport_rows(nodes: DataFrame, lines: DataFrame, passport: DataFrame) -> li
 
 def cell_plan(nodes: DataFrame, lines: DataFrame, passport: DataFrame, changed: DataFrame, added: DataFrame) -> DataFrame:
     """version_id, table_idx, row_idx, col_idx, amount, raw, unit, reason, node_id, item_id: one amount a cell. Among equals the later
-    wins: passport cells after rows, then by node and kind. Versions without an impacted node have passport cells too."""
+    wins: passport cells after rows, then by node and kind, then the larger. Versions without an impacted node have passport cells too."""
     hit = settled(impacted(nodes, changed, added))
     mine = nodes.join(hit, "node_id", "left_semi")
     theirs = lines.join(hit, "node_id", "left_semi")

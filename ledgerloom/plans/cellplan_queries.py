@@ -58,7 +58,7 @@ rows6 AS (SELECT version_id, table_idx, row_idx, col_idx, CAST(sum({SHOWN.format
 rows7 AS (SELECT version_id, table_idx, row_idx, col_idx, amount, raw, unit, 'passport_total', node_id, NULL, 1, 2, 0 FROM ry JOIN passport0 p USING (version_id, year) WHERE kind = 'total'),
 rows8 AS (SELECT version_id, table_idx, row_idx, col_idx, CAST(sum({SHOWN.format("amount", "unit")}) AS {D}), raw, unit, 'passport_grand_total_column', node_id, NULL, 1, 3, 0 FROM ry JOIN gt USING (version_id) GROUP BY ALL),
 every AS ({" UNION ALL ".join(f"SELECT * FROM rows{i}" for i in range(1, 9))}),
-best AS (SELECT *, row_number() OVER (PARTITION BY version_id, table_idx, row_idx, col_idx ORDER BY raw IS NOT NULL DESC, amount <> 0 DESC, phase DESC, node_id DESC, kind DESC, line DESC) AS rn FROM every)
+best AS (SELECT *, row_number() OVER (PARTITION BY version_id, table_idx, row_idx, col_idx ORDER BY raw IS NOT NULL DESC, amount <> 0 DESC, phase DESC, node_id DESC, kind DESC, line DESC, amount DESC) AS rn FROM every)
 SELECT version_id, table_idx, row_idx, col_idx, CAST(amount AS {D}) AS amount, raw, unit, reason, node_id, item_id FROM best WHERE rn = 1
 """
 
