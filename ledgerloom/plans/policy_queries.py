@@ -420,14 +420,15 @@ def scan_cells(spark, sf):
 STATUS = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
 
 
-@query("replace_by_document", "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 'NEW' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+@query("replace_by_document", "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 'NEW' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_custkey % 10 <> 0")
 def replace_by_document(spark, sf):
-    """A load, then a reload of half the keys, twice."""
+    """A load, then a reload of half the keys, twice, in which every tenth is emptied."""
     path, df = scratch(spark, "reload"), bound(spark, sf, STATUS)
     io.replace_by_document(df, path, "o_custkey", 8)
+    again = df.where("o_custkey % 2 = 0").withColumn("o_orderstatus", F.lit("NEW"))
     for _ in range(2):
-        io.replace_by_document(df.where("o_custkey % 2 = 0").withColumn("o_orderstatus", F.lit("NEW")), path, "o_custkey", 8)
-    return spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus")
+        io.replace_by_document(again.where("o_custkey % 10 <> 0"), path, "o_custkey", 8, again.select("o_custkey"))
+    return io.read_documents(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query("write_change_report", "SELECT item_id, set_id, status FROM items")
@@ -447,12 +448,26 @@ def append_audit(spark, sf):
     return spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n")).select(F.to_date("day").alias("day"), "n")
 
 
-@query("stream_ingest", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0")
+ARRIVALS = """SELECT concat('D', o_orderkey) AS doc_id, CASE WHEN o_orderkey % 50 = 7 THEN 'letter' ELSE 'finance_report' END AS document_type,
+  CASE WHEN o_orderkey % 10 = 3 AND NOT fixed THEN concat('{bad ', o_orderkey) WHEN o_orderkey % 15 = 0 AND fixed THEN '{"lines": [], "pages": []}'
+    ELSE concat('{"pages": ["page of ', o_custkey, '", "Rules"], "lines": [{"name": "x", "year": ', year(o_orderdate), ', "source": "', CASE WHEN o_orderkey % 2 = 0 THEN 'FEDERAL_BUDGET' ELSE 'LOCAL_BUDGET' END, '", "amount": "', CASE WHEN o_orderkey % 40 = 6 THEN 'unclear' ELSE CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS STRING) END, '", "unit": "rub"}]}') END AS payload
+  FROM orders CROSS JOIN (SELECT {fixed} AS fixed)"""
+
+
+@query(
+    "stream_ingest",
+    """WITH d AS (SELECT concat('D', o_orderkey) AS doc_id, o_orderkey AS k, CAST(o_totalprice AS DECIMAL(20,2)) AS amount, o_orderkey % 3 = 0 AS again, CASE WHEN o_orderkey % 50 = 7 THEN 'unknown_type' WHEN o_orderkey % 10 = 3 AND o_orderkey % 3 <> 0 THEN 'unreadable' WHEN o_orderkey % 15 = 0 THEN NULL WHEN o_orderkey % 40 = 6 THEN 'bad_amount' END AS error FROM orders)
+    SELECT doc_id, CASE WHEN error IS NULL THEN 'parsed' ELSE 'failed' END AS status, error, CAST(CASE WHEN again THEN 1 ELSE 0 END AS BIGINT) AS batch_id, CASE WHEN error IS NULL AND k % 15 <> 0 THEN amount END AS amount, CAST(CASE WHEN error IS NULL AND k % 15 <> 0 THEN 2 ELSE 0 END AS BIGINT) AS pages, error IS NOT NULL AS quarantined FROM d""",
+)
 def stream_ingest(spark, sf):
-    """The orders arrive as files, are parsed and loaded; a second run finds nothing new."""
+    """Documents arrive as files; a third of them arrives again, mended or emptied; a third run finds nothing new."""
     path = scratch(spark, "ingest")
-    bound(spark, sf, STATUS).write.parquet(f"{path}/in")
-    parse = lambda df: df.where("o_orderkey % 2 = 0")
-    for _ in range(2):
-        flows.stream_ingest(spark, f"{path}/in", "o_orderkey long, o_custkey long, o_orderstatus string", parse, f"{path}/out", "o_custkey", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("o_orderkey", "o_custkey", "o_orderstatus")
+    for fixed in (False, True, None):
+        if fixed is not None:
+            arrivals = bound(spark, sf, ARRIVALS.replace("{fixed}", str(fixed).lower()))
+            (arrivals.where("substring(doc_id, 2, 20) % 3 = 0") if fixed else arrivals).write.mode("append").parquet(f"{path}/in")
+        flows.stream_ingest(spark, f"{path}/in", "doc_id string, document_type string, payload string", flows.parse_payloads, f"{path}/out", "doc_id", f"{path}/state", 8).awaitTermination()
+    read = lambda name: io.read_documents(spark, f"{path}/out/{name}")
+    out = read("status").join(read("totals").groupBy("doc_id").agg(F.sum("amount").cast("decimal(20,2)").alias("amount")), "doc_id", "left")
+    out = out.join(read("pages").groupBy("doc_id").agg(F.count("*").alias("pages")), "doc_id", "left").join(read("quarantine").select("doc_id", F.lit(True).alias("quarantined")), "doc_id", "left")
+    return out.select("doc_id", "status", "error", "batch_id", "amount", F.coalesce("pages", F.lit(0)).cast("long").alias("pages"), F.coalesce("quarantined", F.lit(False)).alias("quarantined"))

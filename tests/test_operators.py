@@ -107,16 +107,60 @@ def test_blank_names_meet_none_in_the_whole_tree(spark):
     assert [(r.group_key, r.match_status) for r in match.match_global_name(groups, nodes).collect()] == [("i", "NEEDS_CONFIRMATION")]
 
 
+def test_reload_empties_documents_and_survives_a_failure(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "doc_id string, v int")
+    found = lambda: sorted((r.doc_id, r.v) for r in io.read_documents(spark, path, "doc_id string, v int").collect())
+    assert found() == []
+    io.replace_by_document(df, path, "doc_id", 2)
+    broken = df.withColumn("v", F.when(F.col("doc_id") == "b", F.raise_error(F.lit("stop")).cast("int")).otherwise(9))
+    with pytest.raises(Exception, match="stop"):
+        io.replace_by_document(broken, path, "doc_id", 2)
+    assert found() == [("a", 1), ("b", 2)]
+    io.replace_by_document(df.limit(0), path, "doc_id", 2, df.where("doc_id = 'a'").select("doc_id"))
+    assert found() == [("b", 2)]
+    io.replace_by_document(df.limit(0), path, "doc_id", 2, df.select("doc_id"))
+    assert found() == []
+    io.replace_by_document(df, path, "doc_id", 2)
+    assert found() == [("a", 1), ("b", 2)]
+
+
+def test_a_batch_that_fails_halfway_is_loaded_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    arrivals = spark.createDataFrame([("a", "1"), ("b", "x")], "doc_id string, text string")
+
+    def parse(df, stop=False):
+        rows = df.where("try_cast(text as int) is not null").select("doc_id", F.col("text").cast("int").alias("v"))
+        more = rows.withColumn("v", F.raise_error(F.lit("stop")).cast("int")) if stop else rows
+        return {"one": rows, "two": more, "failed": df.where("try_cast(text as int) is null").select("doc_id", F.lit("no number").alias("error"))}
+
+    with pytest.raises(Exception, match="stop"):
+        flows.ingest_batch(lambda df: parse(df, True), path, buckets=2)(arrivals, 0)
+    for _ in range(2):
+        flows.ingest_batch(parse, path, buckets=2)(arrivals, 0)
+    read = lambda name: sorted(tuple(r) for r in io.read_documents(spark, f"{path}/{name}").collect())
+    assert read("one") == read("two") == [("a", 1)]
+    assert [r[0] for r in read("quarantine")] == ["b"]
+    # done once: a batch of this number is not loaded any more
+    flows.ingest_batch(parse, path, buckets=2)(arrivals.withColumn("text", F.lit("7")), 0)
+    assert read("one") == [("a", 1)]
+    flows.ingest_batch(parse, path, buckets=2)(arrivals.where("doc_id = 'b'").withColumn("text", F.lit("5")), 1)
+    assert read("one") == [("a", 1), ("b", 5)]
+    status = io.read_documents(spark, f"{path}/status")
+    assert sorted((r.doc_id, r.status, r.batch_id) for r in status.collect()) == [("a", "parsed", 0), ("b", "parsed", 1)]
+    assert io.read_documents(spark, f"{path}/quarantine", "doc_id string").isEmpty()
+
+
 def test_reload_by_document_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "doc_id string, v int")
     io.replace_by_document(df, path, "doc_id")
     io.replace_by_document(df.where("doc_id = 'a'").withColumn("v", F.lit(5)), path, "doc_id")
-    assert sorted((r.doc_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 5), ("b", 2)]
+    assert sorted((r.doc_id, r.v) for r in io.read_documents(spark, path).collect()) == [("a", 5), ("b", 2)]
     for bucket in (1, 2):
         io.replace_by_document(df, f"{path}{bucket}", "doc_id", bucket)
         io.replace_by_document(df.where("doc_id = 'b'").withColumn("v", F.lit(7)), f"{path}{bucket}", "doc_id", bucket)
-        assert sorted((r.doc_id, r.v) for r in spark.read.parquet(f"{path}{bucket}").collect()) == [("a", 1), ("b", 7)]
+        assert sorted((r.doc_id, r.v) for r in io.read_documents(spark, f"{path}{bucket}").collect()) == [("a", 1), ("b", 7)]
     io.write_reconciliation_report(df, "doc_id", str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     io.write_change_report(df, str(tmp_path / "c"))
@@ -136,8 +180,8 @@ def test_streams_agree_with_tables(spark, tmp_path):
         assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, fn(df).collect()))
     out = str(tmp_path / "out")
     for _ in range(2):
-        flows.stream_ingest(spark, source, schema, lambda d: d, out, "user_id", str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(out).count() == 3
+        flows.stream_ingest(spark, source, schema, lambda d: {"events": d}, out, "user_id", str(tmp_path / "cp")).awaitTermination()
+    assert io.read_documents(spark, f"{out}/events").count() == 3
 
 
 #: Fixed: messages and what they ask for.
