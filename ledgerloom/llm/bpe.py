@@ -5,9 +5,10 @@ token-position rows, one for each byte. A recursive query joins the adjacent row
 the merge table, contracts the piece's leftmost pair of minimum rank and repeats until no piece
 has a pair left. An ordered aggregation of the bytes of the ids, and of nothing else, decodes.
 
-The recursive query keeps the rows of all its steps, about half the square of a piece's bytes. So a piece of over
-RECURSIVE bytes has a table of its current tokens, which each step replaces: it contracts the pairs of minimum rank
-from the left, all of them, or those up to the first that makes a pair of a lower rank, which is next.
+The recursive query keeps the rows of all its steps, about half the square of a piece's bytes. So a longer piece is merged in
+windows that overlap by half, as pieces of their own. A row of tokens is the encoding of its bytes if and only if each two neighbours
+are the encoding of theirs; so two windows may be joined at any place where a token of the one ends and a token of the other begins, if
+these two are. Where there is no such place the next window begins at a token of the last one, or a window of twice the length is merged.
 
 Pieces that a Python worker has met are remembered between batches, ids and decoded bytes, in two
 generations of bounded size, so that a frequent piece is merged once; a forgotten piece is merged again.
@@ -21,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import duckdb
 import numpy as np
@@ -36,8 +38,10 @@ PIECES_PER_QUERY, PIECES_KEPT = 20_000, 200_000
 #: Bytes of text coded at once, unless one text has more.
 SLICE = 8 << 20
 
-#: Bytes of a piece, and rows of all its pieces' steps, up to which the recursive query is used.
-RECURSIVE, ROWS_PER_QUERY = 256, 1_000_000
+#: Bytes of a window, and windows held at once; rows of all its pieces' steps up to which a query goes.
+WINDOW, WINDOWS, ROWS_PER_QUERY = 64, 4096, 1_000_000
+#: Pairs of tokens whose encoding is remembered; tokens decoded at once; bytes of a piece up to which it is remembered.
+PAIRS_KEPT, TOKENS_PER_QUERY, REMEMBERED = 1 << 18, 1 << 17, 1 << 12
 
 #: Places count on through all pieces of a query, with a gap after each, so the next place is the next token of
 #: the piece or nobody's; a contraction moves the places after it up by one.
@@ -56,31 +60,6 @@ SELECT w, list(tok ORDER BY pos) AS ids FROM t JOIN (SELECT w, max(step) AS step
 """
 #: The bytes of the ids of each piece, in order.
 DECODE = "SELECT w, string_agg(hx, '' ORDER BY pos) AS hx FROM coded JOIN vocab ON id = tok GROUP BY w"
-#: The first table and each step of a long piece: place, token, and the rank of its pair with the next token.
-LONG = """
-CREATE OR REPLACE TABLE long AS
-SELECT pos, tok, m FROM (SELECT pos, tok, lead(tok) OVER (ORDER BY pos) AS after FROM start) LEFT JOIN merges ON lr = tok::BIGINT * 4294967296 + after
-"""
-CONTRACT = """
-CREATE OR REPLACE TABLE long AS
-WITH hit AS (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS run FROM long WHERE m = $rank),
-apart AS (SELECT pos FROM (SELECT pos, row_number() OVER (PARTITION BY run ORDER BY pos) AS k FROM hit) WHERE k % 2 = 1),
-beside AS (
-  SELECT a.pos, CASE WHEN lag(a.pos) OVER (ORDER BY a.pos) = a.pos - 2 THEN $rank ELSE b.tok END AS before, c.tok AS after
-  FROM apart a LEFT JOIN long b ON b.pos = a.pos - 1 LEFT JOIN long c ON c.pos = a.pos + 2 WHERE $guarded),
-turn AS (
-  SELECT min(pos) AS pos FROM beside LEFT JOIN merges l ON l.lr = before::BIGINT * 4294967296 + $rank LEFT JOIN merges r ON r.lr = $rank * 4294967296 + after
-  WHERE least(l.m, r.m) < $rank),
-picked AS (SELECT apart.pos FROM apart, turn WHERE turn.pos IS NULL OR apart.pos <= turn.pos),
-kept AS (
-  SELECT long.pos AS place, CASE WHEN p.pos IS NULL THEN tok ELSE $rank END AS tok, m, p.pos IS NOT NULL AS made
-  FROM long LEFT JOIN picked p ON p.pos = long.pos LEFT JOIN picked q ON q.pos + 1 = long.pos WHERE q.pos IS NULL),
-next AS (
-  SELECT row_number() OVER w AS pos, tok, lead(tok) OVER w AS after, m, made OR coalesce(lead(made) OVER w, false) AS fresh
-  FROM kept WINDOW w AS (ORDER BY place)),
-ranked AS (SELECT pos, merges.m FROM (SELECT pos, tok::BIGINT * 4294967296 + after AS lr FROM next WHERE fresh) JOIN merges USING (lr))
-SELECT pos, tok, CASE WHEN fresh THEN ranked.m ELSE next.m END AS m FROM next LEFT JOIN ranked USING (pos)
-"""
 #: The characters of Unicode's White_Space property; the standard re module's class has four more.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -107,6 +86,8 @@ def fast_pattern(pattern: str) -> re.Pattern:
 
 
 Coded = tuple[bytes, bytes]
+#: Tokens, and the places where each begins and the last one ends.
+Window = tuple[list[int], list[int]]
 
 
 class Coder:
@@ -116,12 +97,13 @@ class Coder:
         ranks = read_ranks(path)
         self.split = fast_pattern(pattern).findall
         self.ranks = ranks
+        self.bytes_of = {i: t for t, i in ranks.items()}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.new: dict[str, Coded] = {}
         self.old: dict[str, Coded] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         rows = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.guarded = {x for a, b, m in rows for x in (a, b) if m < x}
         self.db.register("rows", pa.table({n: pa.array([r[i] for r in rows], pa.int32()) for i, n in enumerate("lrm")}))
         self.db.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hx": [t.hex() for t in ranks]}))
         self.db.execute("CREATE TABLE merges AS SELECT l::BIGINT * 4294967296 + r AS lr, m FROM rows")
@@ -134,48 +116,122 @@ class Coder:
         w = np.repeat(np.arange(len(raw), dtype=np.int32), size)
         return pa.table({"w": w, "pos": np.arange(size.sum(), dtype=np.int64) + w, "tok": self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]})
 
-    def merge_long(self, piece: str) -> bytes:
-        """Merge one piece of any length; only its current tokens are held."""
-        self.db.register("start", self.start([piece.encode()]))
-        self.db.execute(LONG)
-        self.db.unregister("start")
-        while (rank := self.db.execute("SELECT min(m) FROM long").fetchone()[0]) is not None:
-            self.db.execute(CONTRACT, {"rank": rank, "guarded": rank in self.guarded})
-        ids = self.db.execute("SELECT tok FROM long ORDER BY pos").fetchnumpy()["tok"]
-        self.db.execute("DROP TABLE long")
-        return np.asarray(ids, dtype=np.int32).tobytes()
-
-    def merge_short(self, part: list[str]) -> dict[str, bytes]:
-        self.db.register("start", self.start([p.encode() for p in part]))
-        found = self.db.sql(MERGE).to_arrow_table()
-        self.db.unregister("start")
-        lists = found.column("ids").combine_chunks()
-        ends, flat = (lists.offsets.to_numpy() * 4).tolist(), lists.values.to_numpy().tobytes()
-        return {part[w]: flat[a:b] for w, a, b in zip(found.column("w").to_pylist(), ends, ends[1:])}
+    def merge_short(self, part: list[bytes]) -> list[bytes]:
+        """The ids of pieces, one query for as many as its rows allow."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(part):
+            to, rows = at, 0
+            while to < len(part) and to - at < PIECES_PER_QUERY and (to == at or rows < ROWS_PER_QUERY):
+                rows += len(part[to]) * (len(part[to]) + 1) // 2
+                to += 1
+            self.db.register("start", self.start(part[at:to]))
+            found = self.db.sql(MERGE).to_arrow_table()
+            self.db.unregister("start")
+            lists = found.column("ids").combine_chunks()
+            ends, flat = (lists.offsets.to_numpy() * 4).tolist(), lists.values.to_numpy().tobytes()
+            ids = [b""] * (to - at)
+            for w, a, b in zip(found.column("w").to_pylist(), ends, ends[1:]):
+                ids[w] = flat[a:b]
+            out += ids
+            at = to
+        return out
+
+    def windows(self, raw: bytes, starts: list[int], size: int = WINDOW) -> list[Window]:
+        """The encodings of raw[s : s + size]; equal windows are merged once."""
+        parts = [raw[s : s + size] for s in starts]
+        distinct = list(dict.fromkeys(parts))
+        merged = {p: np.frombuffer(ids, np.int32).tolist() for p, ids in zip(distinct, self.merge_short(distinct))}
+        ends = {p: list(accumulate(len(self.bytes_of[t]) for t in ids)) for p, ids in merged.items()}
+        return [(merged[p], [s, *(s + e for e in ends[p])]) for p, s in zip(parts, starts)]
+
+    def learn_pairs(self, pairs: set[tuple[int, int]]) -> None:
+        """Have in self.pairs whether two tokens are the encoding of their bytes."""
+        if len(self.pairs) > PAIRS_KEPT:
+            self.pairs.clear()
+        asked = [p for p in pairs if p not in self.pairs]
+        merged = self.merge_short([self.bytes_of[a] + self.bytes_of[b] for a, b in asked])
+        self.pairs.update((p, ids == np.array(p, np.int32).tobytes()) for p, ids in zip(asked, merged))
+
+    def joins(self, left: Window, right: Window) -> list[tuple[int, int, int]]:
+        """Where a token of left ends and one of right begins, and their numbers there; those in the middle of what both hold first."""
+        begins = {at: j for j, at in enumerate(right[1][:-1])}
+        found = [(at, i, begins[at]) for i, at in enumerate(left[1][1:], 1) if at in begins]
+        middle = (right[1][0] + left[1][-1]) / 2
+        return sorted(found, key=lambda x: abs(x[0] - middle))
+
+    def fits(self, left: Window, i: int, right: Window, j: int) -> bool:
+        pair = left[0][i - 1], right[0][j]
+        if pair not in self.pairs:
+            self.learn_pairs({pair})
+        return self.pairs[pair]
+
+    def merge_long(self, raw: bytes) -> bytes:
+        """The ids of one piece of any length; what is held besides them and the piece is a block of windows."""
+        stride, out, now = WINDOW // 2, [], None
+        starts = list(range(0, max(1, len(raw) - stride), stride))
+        for at in range(0, len(starts), WINDOWS):
+            block = self.windows(raw, starts[at : at + WINDOWS])
+            self.learn_pairs({(a[0][i - 1], b[0][j]) for a, b in zip(block, block[1:]) for _, i, j in self.joins(a, b)[:1]})
+            for k, nxt in enumerate(block):
+                if now is None:
+                    now = nxt
+                elif nxt[1][-1] > now[1][-1]:
+                    now = self.joined(raw, now, nxt, out)
+        out.append(np.array(now[0], np.int32))
+        return np.concatenate(out).tobytes()
+
+    def joined(self, raw: bytes, now: Window, nxt: Window, out: list[np.ndarray]) -> Window:
+        """The window that goes on after now and is at least as far as nxt; the tokens before it are put out."""
+        size = WINDOW
+        while now[1][-1] < nxt[1][-1]:
+            for _, i, j in self.joins(now, nxt):
+                if self.fits(now, i, nxt, j):
+                    out.append(np.array(now[0][:i], np.int32))
+                    return nxt[0][j:], nxt[1][j:]
+            # begin anew at a token's end, the middle one first, and meet nxt or go past it
+            for i in sorted(range(1, len(now[1]) - 1), key=lambda i: abs(now[1][i] - (now[1][0] + now[1][-1]) / 2)):
+                more = self.windows(raw, [now[1][i]], size)[0]
+                if more[1][-1] > now[1][-1] and self.fits(now, i, more, 0):
+                    out.append(np.array(now[0][:i], np.int32))
+                    now = more
+                    break
+            else:
+                size *= 2
+                now = self.windows(raw, [now[1][0]], max(size, 2 * (now[1][-1] - now[1][0])))[0]
+        return now
 
     def merge(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of pieces."""
         out: dict[str, bytes] = {}
         part: list[str] = []
-        rows = 0
         for piece in pieces:
             raw = piece.encode()
             if (whole := self.ranks.get(raw)) is not None:
                 out[piece] = whole.to_bytes(4, "little")
-                continue
-            size = len(raw)
-            if size > RECURSIVE:
-                out[piece] = self.merge_long(piece)
-                continue
-            part.append(piece)
-            rows += size * (size + 1) // 2
-            if len(part) == PIECES_PER_QUERY or rows > ROWS_PER_QUERY:
-                out |= self.merge_short(part)
-                part, rows = [], 0
-        return out | self.merge_short(part) if part else out
+            elif len(raw) > WINDOW:
+                out[piece] = self.merge_long(raw)
+            else:
+                part.append(piece)
+        out.update(zip(part, self.merge_short([p.encode() for p in part])))
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each list of ids, by the ordered aggregation over its token-position rows."""
+        """The bytes of each list of ids, by the ordered aggregation over its token-position rows; long lists in parts."""
+        parts = [(w, x[at : at + 4 * TOKENS_PER_QUERY]) for w, x in enumerate(ids) for at in range(0, len(x), 4 * TOKENS_PER_QUERY)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        at = 0
+        while at < len(parts):
+            to, rows = at, 0
+            while to < len(parts) and (to == at or rows < TOKENS_PER_QUERY):
+                rows += len(parts[to][1]) // 4
+                to += 1
+            for (w, _), raw in zip(parts[at:to], self.decode_part([x for _, x in parts[at:to]])):
+                out[w].append(raw)
+            at = to
+        return [b"".join(x) for x in out]
+
+    def decode_part(self, ids: list[bytes]) -> list[bytes]:
         size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
         rows = pa.table({"w": np.repeat(np.arange(len(ids), dtype=np.int32), size), "pos": np.arange(size.sum()), "tok": np.frombuffer(b"".join(ids), dtype=np.int32)})
         self.db.register("coded", rows)
@@ -257,6 +313,9 @@ class Coder:
         known = [" " + names[k >> 1] if k & 1 else names[k >> 1] for k in np.flatnonzero(used).tolist()]
         self.recall_words(known)
         coded = list(map(self.new.__getitem__, known))
+        for word in known:
+            if len(word) > REMEMBERED:
+                self.new.pop(word, None)
         if len(self.new) > PIECES_KEPT:
             self.old, self.new = self.new, {}
         ends, take = np.append(0, np.cumsum(many)), pa.array(place[code])
@@ -293,8 +352,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs' doc_id and text with ids (the token ids of the whole text) and decoded (the bytes of those ids).
 
     Null texts count as empty and give no ids; there are no special tokens. Row for row; equal texts
-    give equal ids. Columns of docs but doc_id and text are not read. A text's longest piece sets the
-    number of rounds of its query; there is no cap on it.
+    give equal ids. Columns of docs but doc_id and text are not read. A piece may be as long as its text: it is merged
+    in windows, in a time that grows with its length.
     """
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(lambda it: encode_batches(it, path, pattern), "doc_id long, text string, ids array<int>, decoded binary")
