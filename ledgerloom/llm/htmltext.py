@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass decides what it can from a block's own
 features and the containers around it: furniture (menus, headers, footers, sidebars, notices, adverts,
 forms, comments), its share of linked characters, its share of stop words and its length; the thresholds are lower
-inside the page's article and higher outside of it. Short blocks without a telling container are left open. The
+inside the page's article and higher outside of it. A form or "header" that holds most of the page's text is no furniture, and of
+scripts without known stop words length and links decide. Short blocks without a telling container are left open. The
 second pass gives an open block the label of its nearest decided neighbours: both content, or one content and the
 other at least not furniture. A short block inside the article is content unless it stands between the article's furniture.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,20 +42,27 @@ FURNITURE_NAMES = re.compile(
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 COMMENT = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)", re.S)
-RAW = re.compile(rf"<({DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: What stands in a tag: a quoted value may hold anything, what is not quoted no other tag's beginning. So a scan that fails ends at the next tag.
+INSIDE = r"""(?:[^<>"']|"[^"]*"|'[^']*')*"""
+RAW = re.compile(rf"<({DROPPED})\b{INSIDE}>.*?(?:</\1\s*>|$)", re.S | re.I)
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/<>]*)({INSIDE})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 ROLE = re.compile(r"\brole\s*=\s*[\"']?([\w-]+)", re.I)
 HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: Characters under which a block is short; shares of stop words and of linked characters that decide.
 SHORT, STOP_LOW, STOP_HIGH, LINKED = 70, 0.10, 0.20, 0.5
+#: Wrappers that may hold a whole page, and the share of the page's text from which they are taken to.
+WRAPPERS, MOST = re.compile(r"(?:^|[\s_-])(?:form|header)s?(?:[\s_-]|$)", re.I), 0.6
+#: The last character of the Latin alphabets; words of others are not among the stop words.
+LATIN = "\u024f"
 
 
 class Block:
-    __slots__ = ("text", "linked", "furniture", "article", "label")
+    __slots__ = ("text", "linked", "furniture", "article", "wrapper", "label")
 
-    def __init__(self, text: str, linked: int, furniture: bool, article: bool):
-        self.text, self.linked, self.furniture, self.article, self.label = text, linked, furniture, article, ""
+    def __init__(self, text: str, linked: int, furniture: bool, article: bool, wrapper: int = 0):
+        """wrapper: the number of the form or header that alone makes the block furniture, or 0."""
+        self.text, self.linked, self.furniture, self.article, self.wrapper, self.label = text, linked, furniture, article, wrapper, ""
 
 
 def furniture(tag: str, attrs: str, in_article: bool) -> bool:
@@ -69,22 +78,33 @@ def furniture(tag: str, attrs: str, in_article: bool) -> bool:
     return bool(HIDDEN.search(attrs))
 
 
+def may_wrap(tag: str, attrs: str) -> bool:
+    """Whether furniture is so by its name as a form or header only, and may hold a whole page."""
+    names = [a or b or c for a, b, c in NAMED.findall(attrs)]
+    if tag != "form" and (tag in FURNITURE_TAGS or not any(map(WRAPPERS.search, names))):
+        return False
+    rest = [WRAPPERS.sub(" ", WRAPPERS.sub(" ", x)) for x in names]
+    return not any(map(FURNITURE_NAMES.search, rest)) and not furniture("div", NAMED.sub(" ", attrs), False)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with the containers' evidence."""
     page = RAW.sub(" ", COMMENT.sub("", page))
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open element, furniture, article
+    stack: list[tuple[str, bool, bool, int]] = []  # open element, furniture, article, wrapper
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, anchors, at = 0, 0, 0
+    linked, anchors, at, wrappers = 0, 0, 0, 0
+    last = page.rfind(">") + 1  # no tag ends behind it
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, linked, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
+            out.append(Block(text, linked, *(stack[-1][1:] if stack else (False, False))))
         parts, linked = [], 0
 
-    for m in TAG.finditer(page):
+    for m in TAG.finditer(page, 0, last):
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
@@ -96,20 +116,30 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             close()
-        if tag in VOID or attrs.endswith("/"):
+        if tag in VOID or attrs.endswith("/") and attrs[-2:-1] in ("", " ", "\t", "\n", "'", '"'):
             continue
         if end:
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if tag not in BLOCKS:  # inline furniture is a block of its own
                         close()
+                    opened.subtract(x[0] for x in stack[i:])
                     del stack[i:]
                     break
         elif tag in BLOCKS and tag != "p" or furniture(tag, attrs, False):
             if tag not in BLOCKS:
                 close()
-            over, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            stack.append((tag, over or furniture(tag, attrs, inside), inside or tag in ("article", "main")))
+            over, inside, wrapper = stack[-1][1:] if stack else (False, False, 0)
+            own = furniture(tag, attrs, inside)
+            if own and not over and may_wrap(tag, attrs):
+                wrappers += 1
+                wrapper = wrappers
+            elif own:
+                wrapper = 0
+            stack.append((tag, over or own, inside or tag in ("article", "main"), wrapper))
+            opened[tag] += 1
     if at < len(page):
         parts.append(page[at:])
     close()
@@ -118,10 +148,19 @@ def blocks(page: str) -> list[Block]:
 
 def classify(found: list[Block]) -> None:
     """Set every block's label to content or furniture."""
+    held: Counter[int] = Counter()
+    for b in found:
+        held[b.wrapper] += len(b.text) - b.linked
+    page = max(1, sum(held.values()))
+    for b in found:
+        if b.wrapper and held[b.wrapper] > MOST * page:
+            b.furniture = False
     has_article = any(b.article and not b.furniture for b in found)
     for b in found:
         words = b.text.split()
         stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / max(1, len(words))
+        if stops < STOP_LOW and 2 * sum(c > LATIN for c in b.text) > len(b.text):
+            stops = STOP_HIGH  # no word of these scripts is known: length and links decide
         outside = has_article and not b.article
         if b.furniture or b.linked > LINKED * len(b.text) or "©" in b.text and not b.article:
             b.label = "furniture"
