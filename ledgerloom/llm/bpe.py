@@ -36,7 +36,7 @@ from .common import claim, text_slices
 #: Pieces merged by one query, and pieces and words remembered in one generation.
 PIECES_PER_QUERY, PIECES_KEPT = 20_000, 200_000
 #: Bytes of text coded at once, unless one text has more.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 #: Bytes of a window, and windows held at once; rows of all its pieces' steps up to which a query goes.
 WINDOW, WINDOWS, ROWS_PER_QUERY = 64, 4096, 1_000_000
@@ -254,10 +254,10 @@ class Coder:
                     self.new[piece] = self.old[piece]
                 else:
                     missing.append(piece)
-        merged = self.merge(missing)
-        # as many at once as one decoding query should hold
+        # as many at once as one query should hold
         for at in range(0, len(missing), PIECES_PER_QUERY):
             part = missing[at : at + PIECES_PER_QUERY]
+            merged = self.merge(part)
             self.new.update(zip(part, zip(map(merged.__getitem__, part), self.decode([merged[p] for p in part]))))
 
     def recall_words(self, words: list[str]) -> None:
