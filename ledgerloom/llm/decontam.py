@@ -8,13 +8,13 @@ the shingle's offset in the window and the document's bounds say where the windo
 and only then are all its words compared.
 
 The windows of one round are held by every task, so their number is bounded (`windows_per_round`);
-a larger benchmark is taken in rounds whose found spans are merged per document.
+a larger benchmark, or a larger item, is taken in rounds whose found spans are merged per document.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -46,7 +46,7 @@ class Windows:
             for i in range(max(1, len(ids) - window + 1)):
                 found.setdefault(tuple(ids[i : i + window]), set()).add(name)
         if len(self.vocab) >= 1 << BITS:
-            raise ValueError(f"a round's benchmark has {len(self.vocab)} distinct words; lower windows_per_round")
+            raise ValueError(f"{len(self.vocab)} distinct words in one round; cut() makes no such round")
         self.windows = list(found)
         self.items = [sorted(found[w]) for w in self.windows]
         self.shingle = shingle
@@ -189,16 +189,27 @@ def merge(spans) -> list[list[int]]:
 
 
 def rounds(benchmark: DataFrame, window: int, windows_per_round: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark's items, in lists of about windows_per_round windows."""
-    out, n = [], 0
+    """The benchmark's items, in lists of at most windows_per_round windows."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
-    for name, text in rows.toLocalIterator():
-        if ws := words(text.encode()):
-            out.append((name, ws))
-            n += max(1, len(ws) - window + 1)
-            if n >= windows_per_round:
+    yield from cut(((name, words(text.encode())) for name, text in rows.toLocalIterator()), window, windows_per_round)
+
+
+def cut(items: Iterable[tuple[str, list[bytes]]], window: int, windows_per_round: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Lists of at most windows_per_round windows, and fewer where their words could outgrow the ids.
+
+    An item of more windows goes on in the next list, from its next window on, so each window is in one list.
+    """
+    most = max(1, min(windows_per_round, ((1 << BITS) - 1) // window))
+    out, room = [], most
+    for name, ws in items:
+        at, n = 0, max(1, len(ws) - window + 1) if ws else 0
+        while at < n:
+            take = min(room, n - at)
+            out.append((name, ws[at : at + take + window - 1]))
+            at, room = at + take, room - take
+            if not room:
                 yield out
-                out, n = [], 0
+                out, room = [], most
     if out:
         yield out
 
