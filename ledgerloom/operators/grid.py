@@ -36,11 +36,17 @@ def detect_header(cells: DataFrame, below: int = 4, within: int | None = None) -
 
 
 def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """An empty cell inside a merged range takes the range's first cell's text."""
-    top = ranges.join(cells.select("doc_id", F.col("row_idx").alias("row_from"), F.col("col_idx").alias("col_from"), F.col("text").alias("top_text")), ["doc_id", "row_from", "col_from"])
-    inside = (cells.doc_id == top.doc_id) & cells.row_idx.between(top.row_from, top.row_to) & cells.col_idx.between(top.col_from, top.col_to)
-    filled = cells.join(top, inside, "left").select(cells.doc_id, cells.row_idx, cells.col_idx, F.coalesce(F.nullif(F.trim(cells.text), F.lit("")), top.top_text, F.lit("")).alias("text"))
-    return filled
+    """An empty cell inside a merged range takes the range's first cell's text.
+
+    Ranges are cut to their document's used rows and columns and laid out cell by cell, so cells meet them by equal places.
+    """
+    first = cells.select("doc_id", F.col("row_idx").alias("row_from"), F.col("col_idx").alias("col_from"), F.col("text").alias("top_text"))
+    used = cells.groupBy("doc_id").agg(F.max("row_idx").alias("last_row"), F.max("col_idx").alias("last_col"))
+    top = ranges.join(first, ["doc_id", "row_from", "col_from"]).join(used, "doc_id").where("row_to >= row_from and col_to >= col_from")
+    slots = top.select("doc_id", "col_from", "col_to", "last_col", "top_text", F.explode(F.sequence("row_from", F.least("row_to", "last_row"))).alias("row_idx"))
+    slots = slots.select("doc_id", "row_idx", F.explode(F.sequence("col_from", F.least("col_to", "last_col"))).alias("col_idx"), "top_text")
+    filled = cells.join(slots, ["doc_id", "row_idx", "col_idx"], "left")
+    return filled.select("doc_id", "row_idx", "col_idx", F.coalesce(F.nullif(F.trim("text"), F.lit("")), "top_text", F.lit("")).alias("text"))
 
 
 def header_text(cells: DataFrame, header: DataFrame) -> DataFrame:

@@ -198,21 +198,35 @@ def decision_check(decisions: DataFrame, items: DataFrame, floor: float = DECISI
 
 
 def find_candidates(instructions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes that share a word's first six letters with a reference; two points more for the equal name. A tie at the top is ambiguous."""
-    words = lambda df, key: df.select(key, "norm", F.explode(F.array_distinct(F.transform(F.filter(F.split("norm", " "), lambda w: F.char_length(w) >= 6), lambda w: F.left(w, F.lit(6))))).alias("stem"))
-    hits = words(instructions, "ref_id").join(words(nodes, "node_id").withColumnRenamed("norm", "nn"), "stem").groupBy("ref_id", "node_id", "norm", "nn").agg(F.count("*").alias("hits"))
-    scored = hits.withColumn("score", F.col("hits") + F.when(F.col("norm") == F.col("nn"), 2).otherwise(0))
-    w = W.partitionBy("ref_id").orderBy(F.desc("score"), "node_id")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("rank = 1")
-    tie = F.col("second").eqNullSafe(F.col("score"))
-    return ranked.select("ref_id", F.when(~tie, F.col("node_id")).alias("node_id"), F.col("score").cast("int").alias("score"), tie.alias("ambiguous"))
+    """Nodes that share a word's first six letters with a reference; two points more for the equal name. A tie at the top is ambiguous.
+
+    Equal names score alike, so distinct wordings meet distinct names, each with how many nodes have it and the least of them.
+    """
+    stems = lambda df: df.withColumn("stem", F.explode(F.array_distinct(F.transform(F.filter(F.split("norm", " "), lambda w: F.char_length(w) >= 6), lambda w: F.left(w, F.lit(6))))))
+    names = stems(nodes.groupBy("norm").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id"))).withColumnRenamed("norm", "name")
+    hits = stems(instructions.select("norm").distinct()).join(names, "stem").groupBy("norm", "name", "n", "node_id").agg(F.count("*").alias("hits"))
+    scored = hits.withColumn("score", F.col("hits") + F.when(F.col("norm") == F.col("name"), 2).otherwise(0))
+    best = scored.groupBy("norm", "score").agg(F.sum("n").alias("n"), F.min("node_id").alias("node_id")).groupBy("norm").agg(F.max_by(F.struct("score", "n", "node_id"), "score").alias("b"))
+    tie = F.col("b.n") > 1
+    return instructions.join(best, "norm").select("ref_id", F.when(~tie, F.col("b.node_id")).alias("node_id"), F.col("b.score").cast("int").alias("score"), tie.alias("ambiguous"))
 
 
 def anchor_parent_score(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """Six points for the code, two for the number, one for the main activity; the best parent of the block."""
-    joined = refs.join(parents, "block")
-    points = F.when(F.col("code") == F.col("p_code"), 6).otherwise(0) + F.when(F.col("number") == F.col("p_number"), 2).otherwise(0) + F.when(F.col("p_type") == "main_activity", 1).otherwise(0)
-    return joined.withColumn("score", points).where("score > 0").groupBy("ref_id").agg(F.min_by(F.struct("p_id", "score"), F.struct(-F.col("score"), "p_id")).alias("b")).select("ref_id", "b.p_id", "b.score")
+    """Six points for the code, two for the number, one for the main activity; the best parent of the block, of equal ones the least.
+
+    Of the parents that agree in the same fields the best is a main activity or else the least, so a reference looks up one parent
+    by code and number, one by code, one by number and the block's least main activity.
+    """
+    main = (F.col("p_type") == "main_activity").cast("int")
+    options = []
+    for fields, points in ((("code", "number"), 8), (("code",), 6), (("number",), 2), ((), 0)):
+        keys = ["block", *fields]
+        rank = F.struct((-F.coalesce(main, F.lit(0))).alias("m"), "p_id")
+        of = parents.select("block", F.col("p_code").alias("code"), F.col("p_number").alias("number"), "p_id", "p_type")
+        least = of.dropna(subset=keys).groupBy(*keys).agg(F.min(rank).alias("b"))
+        options.append(refs.select("ref_id", *keys).join(least, keys).select("ref_id", (F.lit(points) - F.col("b.m")).alias("score"), F.col("b.p_id").alias("p_id")))
+    found = reduce(DataFrame.unionByName, options).where("score > 0")
+    return found.groupBy("ref_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "p_id")).alias("b")).select("ref_id", "b.p_id", (-F.col("b.s")).alias("score"))
 
 
 def named(df: DataFrame, name: Column) -> DataFrame:

@@ -75,9 +75,9 @@ def recent_messages(messages: DataFrame, n: int = 10, cut: int = 350, tail: int
 
 
 def recent_mention(messages: DataFrame, names: DataFrame, n: int = 12) -> DataFrame:
-    """The first listed name with a five-letter word's beginning in the last n messages; words meet words, not texts."""
+    """The first listed name with a five-letter word's beginning in the last n messages; a stem stands for its first name."""
     said = first_k(messages, ["conv_id"], [F.desc("turn")], n).select("conv_id", F.explode(F.split(folded(F.col("text")), r"[^\p{L}\p{Nd}]+")).alias("w")).where(F.char_length("w") >= 5).select("conv_id", F.left("w", F.lit(5)).alias("stem")).distinct()
-    stems = names.select("name_id", F.explode(F.split(folded(F.col("name")), r"[^\p{L}\p{Nd}]+")).alias("w")).where(F.char_length("w") >= 5).select("name_id", F.left("w", F.lit(5)).alias("stem")).distinct()
+    stems = names.select("name_id", F.explode(F.split(folded(F.col("name")), r"[^\p{L}\p{Nd}]+")).alias("w")).where(F.char_length("w") >= 5).groupBy(F.left("w", F.lit(5)).alias("stem")).agg(F.min("name_id").alias("name_id"))
     return said.join(stems, "stem").groupBy("conv_id").agg(F.min("name_id").alias("name_id"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import match as x
 from ..operators import planning as q
-from .registry import bound, query, rows
+from ..operators import search
+from .registry import bound, query, rows, scratch
 
 D = "DECIMAL(20,2)"
 SUM = f"CAST(sum(amount) AS {D})"
@@ -176,10 +177,20 @@ def find_candidates(spark, sf):
     return x.find_candidates(refs, x.named(parts.withColumn("node_id", F.concat(F.lit("P"), "p_partkey")), F.col("name")))
 
 
-@query("anchor_parent_score", "SELECT s_suppkey AS ref_id, concat('N', s_nationkey) AS p_id, CAST(9 AS INT) AS score FROM supplier")
+ANCHORS = """SELECT s_suppkey AS ref_id, n_regionkey AS block, CASE WHEN s_suppkey % 3 = 0 THEN concat('A', s_nationkey % 20) END AS code, CAST((s_nationkey + s_suppkey % 4) % 7 AS INT) AS number
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+PARENTS = """SELECT concat('C', c_custkey) AS p_id, n_regionkey AS block, concat('A', c_custkey % 20) AS p_code, CAST(CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 7 END AS INT) AS p_number,
+  CASE WHEN c_custkey % 4 = 0 THEN 'main_activity' WHEN c_custkey % 4 = 1 THEN 'activity' END AS p_type FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+
+@query(
+    "anchor_parent_score",
+    f"""WITH r AS ({ANCHORS}), p AS ({PARENTS}),
+    s AS (SELECT ref_id, p_id, CASE WHEN code = p_code THEN 6 ELSE 0 END + CASE WHEN number = p_number THEN 2 ELSE 0 END + CASE WHEN p_type = 'main_activity' THEN 1 ELSE 0 END AS score FROM r JOIN p USING (block))
+    SELECT ref_id, p_id, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, p_id) AS rn FROM s WHERE score > 0) WHERE rn = 1""",
+)
 def anchor_parent_score(spark, sf):
-    refs = bound(spark, sf, "SELECT s_suppkey AS ref_id, n_regionkey AS block, concat('A', s_nationkey) AS code, s_nationkey AS number FROM supplier JOIN nation ON s_nationkey = n_nationkey")
-    return x.anchor_parent_score(refs, bound(spark, sf, "SELECT concat('N', n_nationkey) AS p_id, n_regionkey AS block, concat('A', n_nationkey) AS p_code, n_nationkey AS p_number, 'main_activity' AS p_type FROM nation"))
+    return x.anchor_parent_score(bound(spark, sf, ANCHORS), bound(spark, sf, PARENTS))
 
 
 REGISTRY = "SELECT user_id % 50 AS org_id, event_type AS document_type, CASE WHEN value > 10 THEN 'parsed' ELSE 'failed' END AS status, ts AS updated_at, event_id AS doc_id FROM events"
@@ -282,9 +293,29 @@ def search_chunks(spark, sf):
     return q.search_chunks(chunks, "the License of worthless").select("chunk_id")
 
 
-@query("document_search", "SELECT p_partkey AS doc_id FROM part WHERE contains(lower(p_name), 'burnished') OR (contains(lower(p_name), 'burnishe'))")
+ASKED = "SELECT concat(conv_id, '-', turn) AS query_id, text AS query FROM conversations"
+#: The distinct words of four letters or more of a text in order, the first six of them.
+FIRST_WORDS = r"list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: length(x) >= 4)[1:6]"
+
+
+@query(
+    "search_many",
+    rf"""WITH q AS (SELECT query_id, regexp_split_to_array(lower(coalesce(query, '')), '[\x09-\x0D ]+') AS w FROM ({ASKED})), a AS (SELECT query_id, unnest({FIRST_WORDS}) AS word FROM q),
+    u AS (SELECT DISTINCT word FROM a), h AS (SELECT word, doc_id, n_chars FROM u JOIN documents ON contains(lower(coalesce(text, '')), word) OR contains(lower(coalesce(source, '')), word) OR contains(lower(coalesce(lang, '')), word)),
+    d AS (SELECT DISTINCT query_id, doc_id, n_chars FROM a JOIN h USING (word))
+    SELECT query_id, doc_id AS chunk_id, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id DESC) AS rn FROM d) WHERE rn <= 50""",
+)
+def search_many(spark, sf):
+    """P23 for every message of every conversation, by the stored index."""
+    chunks = bound(spark, sf, "SELECT doc_id AS chunk_id, source AS title, text AS content, lang AS chunk_type, n_chars AS created_at FROM documents")
+    at = scratch(spark, "search_index")
+    search.write_search_index(chunks, at)
+    return search.search_many(bound(spark, sf, ASKED), search.read_search_index(spark, at))
+
+
+@query("document_search", "SELECT p_partkey AS doc_id FROM (SELECT p_partkey, lower(concat(p_name, ' ', p_type)) AS name FROM part) WHERE (contains(name, 'standards') AND contains(name, 'ring')) OR contains(name, 'standard')")
 def document_search(spark, sf):
-    return q.document_search(bound(spark, sf, "SELECT p_partkey AS doc_id, p_name AS name FROM part"), "burnished").select("doc_id")
+    return q.document_search(bound(spark, sf, "SELECT p_partkey AS doc_id, concat(p_name, ' ', p_type) AS name FROM part"), "standards ring").select("doc_id")
 
 
 @query("index_chunks", "SELECT doc_id, count(*) AS chunks, max(length(c)) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM documents) WHERE trim(c) <> '' GROUP BY 1")

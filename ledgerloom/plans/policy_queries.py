@@ -214,10 +214,10 @@ def confirm_expected(spark, sf):
     return c.confirm_items(items, chosen, safe, expected).select("item_id", "status")
 
 
-@query("auto_pipeline_stop", "WITH i AS (SELECT item_id, set_id, has_conflict, amount, CASE WHEN has_conflict THEN 1 ELSE 0 END AS open FROM items) SELECT item_id FROM i WHERE amount <> 0 AND set_id NOT IN (SELECT set_id FROM i WHERE open = 1)")
+@query("auto_pipeline_stop", "WITH i AS (SELECT item_id, node_id AS set_id, has_conflict, amount, CASE WHEN has_conflict THEN 1 ELSE 0 END AS open FROM items) SELECT item_id FROM i WHERE amount <> 0 AND set_id NOT IN (SELECT set_id FROM i WHERE open = 1)")
 def auto_pipeline_stop(spark, sf):
     """Sets with an item that needs clarification stop."""
-    return c.without_open_sets(c.resolve(rows(spark, sf, "items").withColumnRenamed("amount", "delta"))).select("item_id")
+    return c.without_open_sets(c.resolve(rows(spark, sf, "items").withColumn("set_id", F.col("node_id")).withColumnRenamed("amount", "delta"))).select("item_id")
 
 
 TAILS = """SELECT o_orderkey AS item_id, CAST(NULL AS STRING) AS anchor, CASE WHEN o_orderkey % 2 = 0 THEN concat('10', (r + o_orderkey) % 9, '0', n) END AS parent_code, CAST(NULL AS STRING) AS main_code
