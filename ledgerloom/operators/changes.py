@@ -123,15 +123,16 @@ def pick_source_priority(items: DataFrame, winner: Column) -> DataFrame:
     return items.withColumn("status", F.when(lost, "rejected").otherwise(F.col("status"))).withColumn("has_conflict", F.col("has_conflict") & ~kept)
 
 
-def apply_amounts(lines: DataFrame, items: DataFrame, strict: bool = False, order: str | None = None) -> DataFrame:
+def apply_amounts(lines: DataFrame, items: DataFrame, order: list[str], strict: bool = False) -> DataFrame:
     """P10: an item sets its key's first line and leaves the others; keys without a line get one. strict puts the others to zero.
 
-    Of several items of one key the last by `order` counts (without it, the largest amount), so lines keep their number.
+    Of several items of one key the last by `order` counts (of equal ones the largest amount), so lines keep their number. An
+    item without an amount changes nothing.
     """
     first = F.row_number().over(W.partitionBy(*NODE_KEY).orderBy("line_no", "line_id"))
     ranked = lines.withColumn("__rn", first)
-    last = F.struct(*([order] if order else []), "new_amount")
-    new = items.groupBy(*NODE_KEY).agg(F.max_by("new_amount", last).cast(MONEY).alias("__new"))
+    last = F.struct(*order, "new_amount")
+    new = items.where("new_amount is not null").groupBy(*NODE_KEY).agg(F.max_by("new_amount", last).cast(MONEY).alias("__new"))
     joined = ranked.join(new, NODE_KEY, "left")
     rest = F.lit(0).cast(MONEY) if strict else F.col("amount")
     amount = F.when(F.col("__new").isNull(), F.col("amount")).when(F.col("__rn") == 1, F.col("__new")).otherwise(rest)

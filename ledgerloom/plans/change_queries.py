@@ -269,17 +269,17 @@ def pick_source_priority(spark, sf):
 
 
 LINES3 = "SELECT concat('O', l_orderkey) AS node_id, CAST(year(l_shipdate) AS INT) AS year, 'LOCAL_BUDGET' AS source_type, CAST(l_extendedprice AS DECIMAL(20,2)) AS amount, l_linenumber AS line_no, l_partkey * 100000 + l_suppkey AS line_id FROM lineitem"
-NEW3 = "SELECT concat('O', o_orderkey) AS node_id, CAST(year(o_orderdate) AS INT) AS year, 'LOCAL_BUDGET' AS source_type, CAST(o_totalprice AS DECIMAL(20,2)) AS new_amount FROM orders WHERE o_orderkey % 4 = 0"
+NEW3 = "SELECT concat('O', o_orderkey) AS node_id, CAST(year(o_orderdate) AS INT) AS year, 'LOCAL_BUDGET' AS source_type, CASE WHEN o_orderkey % 20 <> 0 THEN CAST(o_totalprice AS DECIMAL(20,2)) END AS new_amount, o_orderkey AS order_id FROM orders WHERE o_orderkey % 4 = 0"
 
 
 @query(
     "apply_amounts",
     f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY node_id, year ORDER BY line_no, line_id) AS rn FROM ({LINES3})), n AS ({NEW3})
     SELECT node_id, year, source_type, line_no, CASE WHEN new_amount IS NOT NULL AND rn = 1 THEN new_amount ELSE amount END AS amount FROM l LEFT JOIN n USING (node_id, year, source_type)
-    UNION ALL SELECT node_id, year, source_type, 1, new_amount FROM n WHERE (node_id, year) NOT IN (SELECT (node_id, year) FROM l)""",
+    UNION ALL SELECT node_id, year, source_type, 1, new_amount FROM n WHERE new_amount IS NOT NULL AND (node_id, year) NOT IN (SELECT (node_id, year) FROM l)""",
 )
 def apply_amounts(spark, sf):
-    return c.apply_amounts(bound(spark, sf, LINES3), bound(spark, sf, NEW3))
+    return c.apply_amounts(bound(spark, sf, LINES3), bound(spark, sf, NEW3), ["order_id"])
 
 
 @query("clone_version", "SELECT node_id AS source_node_id, concat('v2:', node_id) AS node_id, CASE WHEN parent_id IS NOT NULL THEN concat('v2:', parent_id) END AS parent_id FROM nodes")

@@ -88,7 +88,7 @@ def auto_pipeline(spark, sf):
     lines = rows(spark, sf, "current").groupBy("node_id", "year", "source_type").agg(tree.total().alias("amount")).withColumn("line_no", F.lit(1)).withColumn("line_id", F.lit(1))
     items = changes.build_change_set(rows(spark, sf, "target"), rows(spark, sf, "current")).withColumn("has_conflict", F.lit(False))
     ready = changes.resolve(items).where("resolution = 'resolved'")
-    return changes.apply_amounts(lines, ready).drop("line_no")
+    return changes.apply_amounts(lines, ready, ["change_type"]).drop("line_no")
 
 
 @query("activate_version", "SELECT o_custkey AS program_id, o_orderkey AS version_number, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS active FROM orders")

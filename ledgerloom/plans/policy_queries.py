@@ -114,7 +114,7 @@ REPEATED = "SELECT concat('C', o_custkey) AS node_id, CAST(year(o_orderdate) AS
 @query("apply_repeated", f"WITH l AS ({ONE_LINE}), n AS (SELECT node_id, year, source_type, arg_max(new_amount, seq) AS new_amount FROM ({REPEATED}) GROUP BY ALL) SELECT node_id, year, source_type, line_no, coalesce(new_amount, amount) AS amount FROM l LEFT JOIN n USING (node_id, year, source_type)")
 def apply_repeated(spark, sf):
     """P10: of a key's several items the last counts, and a line stays one line."""
-    return c.apply_amounts(bound(spark, sf, ONE_LINE), bound(spark, sf, REPEATED), order="seq")
+    return c.apply_amounts(bound(spark, sf, ONE_LINE), bound(spark, sf, REPEATED), ["seq"])
 
 
 @query(

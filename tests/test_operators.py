@@ -87,8 +87,8 @@ def test_a_cycle_of_parents_is_an_error(spark, monkeypatch):
 
 def test_upsert_sets_the_first_line_only(spark):
     lines = spark.createDataFrame([("n", 2026, "L", Decimal("1.00"), 1, 1), ("n", 2026, "L", Decimal("2.00"), 2, 2)], "node_id string, year int, source_type string, amount decimal(20,2), line_no int, line_id int")
-    items = spark.createDataFrame([("n", 2026, "L", Decimal("9.00"))], "node_id string, year int, source_type string, new_amount decimal(20,2)")
-    amounts = lambda strict: sorted(r.amount for r in changes.apply_amounts(lines, items, strict).collect())
+    items = spark.createDataFrame([("n", 2026, "L", Decimal("9.00"), 2), ("n", 2026, "L", Decimal("99.00"), 1), ("n", 2026, "L", None, 3), ("n", 2027, "L", None, 4)], "node_id string, year int, source_type string, new_amount decimal(20,2), item_id int")
+    amounts = lambda strict: sorted(r.amount for r in changes.apply_amounts(lines, items, ["item_id"], strict).collect())
     assert amounts(False) == [Decimal("2.00"), Decimal("9.00")]
     assert amounts(True) == [Decimal("0.00"), Decimal("9.00")]
 
