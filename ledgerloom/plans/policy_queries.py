@@ -384,16 +384,16 @@ ROLES = "SELECT o_orderkey AS doc_id, CAST(v.c AS INT) AS col_idx, v.role FROM o
 SHEET_ROWS = f"l AS (SELECT l_orderkey AS doc_id, l_linenumber, min(l_partkey) % 3 AS k, CAST(min(l_extendedprice) AS {D}) AS amount FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING l_linenumber <> 7)"
 
 
-@query("build_groups", f"WITH {SHEET_ROWS} SELECT doc_id, concat('object::', 'K', k) AS group_key, 'OBJECT' AS status, concat('Школа ', k) AS object_name, k = 0 AS explicit_zero, count(*) AS n_rows FROM l GROUP BY doc_id, k")
+@query("build_groups", f"WITH {SHEET_ROWS} SELECT doc_id, concat('object::::K', k) AS group_key, 'OBJECT' AS status, concat('Школа ', k) AS object_name, k = 0 AS explicit_zero, count(*) AS n_rows FROM l GROUP BY doc_id, k")
 def build_groups(spark, sf):
     """P2's groups."""
-    return g.build_groups(bound(spark, sf, SHEET), bound(spark, sf, ROLES), 10, within=4)[0].withColumn("group_key", F.regexp_replace("group_key", "::+", "::"))
+    return g.build_groups(bound(spark, sf, SHEET), bound(spark, sf, ROLES), 10, within=4)[0]
 
 
-@query("build_groups_funding", f"WITH {SHEET_ROWS} SELECT doc_id, concat('object::', 'K', k) AS group_key, CAST(2026 AS INT) AS year, 'FEDERAL_BUDGET' AS source_type, {SUM} AS amount FROM l WHERE k <> 0 AND amount <> 0 GROUP BY doc_id, k")
+@query("build_groups_funding", f"WITH {SHEET_ROWS} SELECT doc_id, concat('object::::K', k) AS group_key, CAST(2026 AS INT) AS year, 'FEDERAL_BUDGET' AS source_type, {SUM} AS amount FROM l WHERE k <> 0 AND amount <> 0 GROUP BY doc_id, k")
 def build_groups_funding(spark, sf):
     """P2's funding."""
-    return g.build_groups(bound(spark, sf, SHEET), bound(spark, sf, ROLES), 10, within=4)[1].withColumn("group_key", F.regexp_replace("group_key", "::+", "::"))
+    return g.build_groups(bound(spark, sf, SHEET), bound(spark, sf, ROLES), 10, within=4)[1]
 
 
 @query("build_program", "SELECT 'nodes' AS part, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey % 3, l_partkey FROM lineitem) UNION ALL SELECT 'subprograms', count(*) FROM (SELECT DISTINCT o_custkey, o_orderkey % 5 FROM orders WHERE o_orderkey % 3 = 0) UNION ALL SELECT 'passport', count(*) * 9 FROM orders UNION ALL SELECT 'metadata', count(DISTINCT o_custkey) FROM orders")
