@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import finance_display_number
 from .planning import insert_offsets
+from .stages import settled
 from .tree import MONEY, total
 
 # The order of sources in a document.
@@ -48,7 +49,7 @@ def insert_rows(objects: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataF
     activity the last; an activity's total counts once for each of its source rows. Objects without a line have no rows; null amounts
     are zero, null years are left out, a null source comes last.
     """
-    own = lines.where("year is not null").join(objects.select(F.col("object_id").alias("node_id")).distinct(), "node_id", "left_semi").groupBy(F.col("node_id").alias("object_id"), "source_type", "year").agg(F.coalesce(total(), F.lit(0)).cast(MONEY).alias("amount"))
+    own = settled(lines.where("year is not null").join(objects.select(F.col("object_id").alias("node_id")).distinct(), "node_id", "left_semi").groupBy(F.col("node_id").alias("object_id"), "source_type", "year").agg(F.coalesce(total(), F.lit(0)).cast(MONEY).alias("amount")))
     years = own.groupBy("object_id", "year").agg(F.sum("amount").cast(MONEY).alias("amount"))
     years = years.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("year", "amount"))).alias("all"))
     of_source = own.groupBy("object_id", "source_type").agg(F.map_from_entries(F.collect_list(F.struct("year", "amount"))).alias("amounts"))
@@ -57,7 +58,7 @@ def insert_rows(objects: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataF
     added = lambda items: F.aggregate(items, F.lit(0).cast("decimal(38,2)"), lambda s, y: (s + displayed(y["amount"])).cast("decimal(38,2)"))
     filled = F.transform("all", lambda y: F.struct(y["year"].alias("year"), F.coalesce(F.try_element_at("amounts", y["year"]), zero).alias("amount")))
     kinds = objects.groupBy("object_id").agg(F.bool_or("is_aggregate").alias("is_aggregate"))
-    rows = sources.join(years, "object_id").withColumn("by_year", filled)
+    rows = settled(sources.join(years, "object_id").withColumn("by_year", filled))
     totals = rows.groupBy("object_id").agg(F.first("all").alias("by_year"), F.count("*").alias("n")).join(kinds, "object_id")
     times = F.when(F.col("is_aggregate"), F.col("n")).otherwise(1).cast("decimal(10,0)")
     last = F.when(F.col("is_aggregate"), 100).otherwise(0)
@@ -88,9 +89,9 @@ def insert_anchors(objects: DataFrame, nodes: DataFrame, lines: DataFrame) -> Da
     higher one. Without such a row it goes below its parent. Objects whose parent has no table, or nothing placed, have no anchor.
     Siblings are found by sorting old and new ones together, so no object meets all its siblings.
     """
-    placed = occupied(nodes.where(~F.coalesce("is_new", F.lit(False))), lines)
+    placed = settled(occupied(nodes.where(~F.coalesce("is_new", F.lit(False))), lines))
     parents = placed.select("doc_id", F.col("node_id").alias("parent_id"), "table_idx", F.col("last_row").alias("parent_row"), F.regexp_replace("display_number", r"\.+$", "").alias("prefix"))
-    new = objects.join(parents, ["doc_id", "parent_id"]).where("table_idx is not null")
+    new = settled(objects.join(parents, ["doc_id", "parent_id"]).where("table_idx is not null"))
     rows = placed.where("table_idx is not null and row_idx is not null")
     children = rows.where(finance_display_number(F.col("display_number"))).groupBy("doc_id", "parent_id", "table_idx").agg(F.max_by(F.struct("row_idx", "last_row"), F.struct("row_idx", "node_id")).alias("child"))
     plain = new.where(~F.col("is_aggregate")).join(children, ["doc_id", "parent_id", "table_idx"], "left")
@@ -123,7 +124,7 @@ def plan_insertions(objects: DataFrame, nodes: DataFrame, lines: DataFrame) -> D
 
     Objects of one table are put in by anchor, then id; each moves those below it by its own rows.
     """
-    rows = insert_rows(objects, nodes, lines.select("node_id", "year", "source_type", "amount"))
+    rows = settled(insert_rows(objects, nodes, lines.select("node_id", "year", "source_type", "amount")))
     n = rows.groupBy("object_id").agg(F.count("*").alias("n_rows"))
     anchors = insert_anchors(objects, nodes, lines).join(n, "object_id").withColumnRenamed("insert_after", "anchor").withColumn("seq", F.col("object_id"))
     first = insert_offsets(anchors).select("doc_id", "table_idx", "object_id", F.col("row_idx").alias("first_row"))
