@@ -129,18 +129,20 @@ def residual_parent(groups: DataFrame, structural: DataFrame) -> DataFrame:
     names = F.array(F.struct(F.lit(0).alias("i"), F.col("residual_parent_name").alias("name")), F.struct(F.lit(1).alias("i"), F.col("object_name").alias("name")))
     mine = groups.where("status = 'UNASSIGNED_RESIDUAL'").select("group_key", "block", F.explode(names).alias("x"))
     mine = match.named(mine, F.col("x.name")).where(~F.col("norm").isin("", PLACEHOLDER)).select("block", F.struct("group_key", "x.i").alias("group_key"), "norm", "tokens")
-    equal = mine.join(match.by_name(structural, "block", "norm"), ["block", "norm"]).select("block", "group_key", "node_id")
+    asked, names = match.wordings(mine, "norm"), match.distinct_names(structural, "norm", is_object=F.min_by("is_object", "node_id"))
+    equal = asked.join(names.select("block", "norm", "node_id"), ["block", "norm"]).select("block", "group_key", "node_id")
 
     def find(left: DataFrame, share: float) -> DataFrame:
-        met = match.stem_pairs(left, structural, 3, share - 0.001)
+        met = match.stem_pairs(left, names, 3, share - 0.001)
         if share == match.CONTAINED:
             met = met.unionByName(equal).distinct()
-        pairs = met.join(left.select("group_key", F.col("norm").alias("ln"), F.col("tokens").alias("l")), "group_key").join(structural.select("block", "node_id", "is_object", F.col("norm").alias("rn"), F.col("tokens").alias("r")), ["block", "node_id"])
+        pairs = met.join(left.select("group_key", F.col("norm").alias("ln"), F.col("tokens").alias("l")), "group_key").join(names.select("block", "node_id", "is_object", F.col("norm").alias("rn"), F.col("tokens").alias("r")), ["block", "node_id"])
         score = F.when(F.col("ln") == F.col("rn"), 1.0).otherwise(F.round(name_similarity(F.col("l"), F.col("r")), 4))
         return pairs.select("group_key", "node_id", "is_object", score.alias("score"))
 
-    best = match.likeliest(mine, find).groupBy("group_key.group_key").agg(F.min_by(F.struct("node_id", "is_object", "score"), F.struct(-F.col("score"), "group_key.i", "node_id")).alias("b"))
-    return answer(best.where("b.is_object").select("group_key", "b.node_id", "b.score"), "MATCH_RESIDUAL_PARENT", F.col("score"))
+    best = match.likeliest(asked, find).groupBy("group_key").agg(F.min_by(F.struct("node_id", "is_object", "score"), F.struct(-F.col("score"), "node_id")).alias("b"))
+    top = match.answered(mine, best, "norm").groupBy("group_key.group_key").agg(F.min_by("b", F.struct(-F.col("b.score"), "group_key.i", "b.node_id")).alias("b"))
+    return answer(top.where("b.is_object").select("group_key", "b.node_id", "b.score"), "MATCH_RESIDUAL_PARENT", F.col("score"))
 
 
 def event_name(groups: DataFrame, objects: DataFrame) -> DataFrame:
