@@ -20,9 +20,14 @@ def first_nonblank(cells: Column, predicate) -> Column:
     return F.try_element_at(found, F.lit(1))["text"]
 
 
-def tokens_match(a: Column, b: Column) -> Column:
+def cored(tokens: Column) -> Column:
+    """Tokens as structs with their cores, so that a comparison of many pairs makes each core once."""
+    return F.transform(tokens, lambda t: F.struct(t.alias("token"), token_core(t).alias("core")))
+
+
+def tokens_match(a: Column, b: Column, cores: tuple[Column, Column] | None = None) -> Column:
     """Equal, same core, a core of five letters that begins the other, or three quarters of the shorter one in common."""
-    ca, cb = token_core(a), token_core(b)
+    ca, cb = cores or (token_core(a), token_core(b))
     short = F.least(F.char_length(a), F.char_length(b))
     k = F.ceil(short * 0.75).cast("int")
     starts = (F.char_length(ca) >= 5) & b.startswith(ca) | (F.char_length(cb) >= 5) & a.startswith(cb)
@@ -34,21 +39,22 @@ def token_overlap_any(left: Column, right: Column) -> Column:
     return F.size(F.filter(left, lambda a: F.exists(right, lambda b: (a == b) | a.startswith(b) | b.startswith(a))))
 
 
-def token_overlap_greedy(left: Column, right: Column) -> Column:
+def token_overlap_greedy(left: Column, right: Column, with_cores: bool = False) -> Column:
     """One-to-one matches, left to right, each with the first unused right token."""
+    same = (lambda a, b: tokens_match(a["token"], b["token"], (a["core"], b["core"]))) if with_cores else tokens_match
     start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("n"))
 
     def step(acc: Column, a: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.size(right)), lambda i: ~F.array_contains(acc["used"], i) & tokens_match(a, F.element_at(right, i)))
+        places = F.filter(F.sequence(F.lit(1), F.size(right)), lambda i: ~F.array_contains(acc["used"], i) & same(a, F.element_at(right, i)))
         hit = F.try_element_at(places, F.lit(1))
         return F.when(hit.isNotNull(), F.struct(F.array_append(acc["used"], hit).alias("used"), (acc["n"] + 1).alias("n"))).otherwise(acc)
 
     return F.when((F.size(left) > 0) & (F.size(right) > 0), F.aggregate(left, start, step)["n"]).otherwise(0)
 
 
-def name_similarity(left: Column, right: Column) -> Column:
+def name_similarity(left: Column, right: Column, with_cores: bool = False) -> Column:
     """D8's score: the larger of overlap / longer and 0.98 overlap / left."""
-    n = token_overlap_greedy(left, right)
+    n = token_overlap_greedy(left, right, with_cores)
     return F.greatest(n / F.greatest(F.size(left), F.size(right), F.lit(1)), 0.98 * n / F.greatest(F.size(left), F.lit(1)))
 
 

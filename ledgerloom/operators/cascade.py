@@ -17,7 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import name_similarity
 from ..functions.predicates import concrete_financial_node, summary_row, visible_residual
 from ..functions.text import normalize_name_alnum, parse_parent_code
 from . import match
@@ -136,12 +135,12 @@ def residual_parent(groups: DataFrame, structural: DataFrame) -> DataFrame:
         met = match.stem_pairs(left, names, 3, share - 0.001)
         if share == match.CONTAINED:
             met = met.unionByName(equal).distinct()
-        pairs = met.join(left.select("group_key", F.col("norm").alias("ln"), F.col("tokens").alias("l")), "group_key").join(names.select("block", "node_id", "is_object", F.col("norm").alias("rn"), F.col("tokens").alias("r")), ["block", "node_id"])
-        score = F.when(F.col("ln") == F.col("rn"), 1.0).otherwise(F.round(name_similarity(F.col("l"), F.col("r")), 4))
-        return pairs.select("group_key", "node_id", "is_object", score.alias("score"))
+        pairs = met.join(left.select("group_key", F.col("norm").alias("ln"), F.col("words").alias("l")), "group_key").join(names.select("block", "node_id", "is_object", F.col("norm").alias("rn"), F.col("words").alias("r")), ["block", "node_id"])
+        score = F.when(F.col("ln") == F.col("rn"), 1.0).otherwise(match.likeness())
+        return match.spread(pairs).select("group_key", "node_id", "is_object", score.alias("score"))
 
     best = match.likeliest(asked, find).groupBy("group_key").agg(F.min_by(F.struct("node_id", "is_object", "score"), F.struct(-F.col("score"), "node_id")).alias("b"))
-    top = match.answered(mine, best, "norm").groupBy("group_key.group_key").agg(F.min_by("b", F.struct(-F.col("b.score"), "group_key.i", "b.node_id")).alias("b"))
+    top = match.answered(mine, asked, best, "norm").groupBy("group_key.group_key").agg(F.min_by("b", F.struct(-F.col("b.score"), "group_key.i", "b.node_id")).alias("b"))
     return answer(top.where("b.is_object").select("group_key", "b.node_id", "b.score"), "MATCH_RESIDUAL_PARENT", F.col("score"))
 
 
