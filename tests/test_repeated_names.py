@@ -19,9 +19,9 @@ def sides(spark, copies):
 def test_each_wording_is_asked_once(spark, monkeypatch):
     seen, real = [], match.stem_pairs
 
-    def counted(groups, nodes, size, share):
+    def counted(groups, nodes, *how, **more):
         seen.append(groups.count() * nodes.count())
-        return real(groups, nodes, size, share)
+        return real(groups, nodes, *how, **more)
 
     monkeypatch.setattr(match, "stem_pairs", counted)
     groups, nodes = sides(spark, 50)
