@@ -108,8 +108,9 @@ def insert_anchors(objects: DataFrame, nodes: DataFrame, lines: DataFrame) -> Da
     best = F.struct("at", "row_idx", "last_row", "id")
     here = F.max(F.when(F.col("id").isNotNull(), best)).over(same)
     groups = line.withColumns({"here": here, "least": F.min("row_idx").over(same)}).select(*TABLE, "prefix", "at", "here", "least").distinct()
-    step = W.partitionBy(*TABLE, "prefix").orderBy("at")
-    near = groups.withColumns({"low": F.last("here", True).over(step.rowsBetween(W.unboundedPreceding, -1)), "high": F.min("least").over(step.rowsBetween(1, W.unboundedFollowing))})
+    # what follows is read backwards: a frame that ends with the last row would be summed up anew for each row
+    step, back = (W.partitionBy(*TABLE, "prefix").orderBy(by).rowsBetween(W.unboundedPreceding, -1) for by in (F.asc("at"), F.desc("at")))
+    near = groups.withColumns({"low": F.last("here", True).over(step), "high": F.min("least").over(back)})
     found = line.where("object_id is not null").join(near.select(*TABLE, "prefix", "at", "low", "high"), [*TABLE, "prefix", "at"])
     base = F.coalesce("low.last_row", "parent_row")
     spot = F.when(F.col("low").isNull(), base).when(F.col("high").isNull(), base + 1).when(F.col("high") - 1 >= base, F.least(base + 1, F.col("high") - 1)).otherwise(base)
