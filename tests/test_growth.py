@@ -1,6 +1,6 @@
 """Work that must grow no faster than its input."""
 
-from ledgerloom.operators import insertions
+from ledgerloom.operators import insertions, tree
 
 
 def plan(df):
@@ -17,3 +17,17 @@ def test_places_of_activities_are_found_in_one_pass(spark):
     assert len(places) == 21 and places["B0"] == (5, 5) and places["B2"] == (11, 10) and places["B4"] == (32, 30) and places["B40"] == (396, 390)
     # a frame that ends with the last row is read anew for each row
     assert "rowframe, 1, unboundedfollowing" not in plan(found).lower()
+
+
+def test_lines_of_leaves_are_summed_once(spark, monkeypatch):
+    seen, real = [], tree.settled
+
+    def kept(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("sum(amount"))
+        return real(df)
+
+    monkeypatch.setattr(tree, "settled", kept)
+    nodes = spark.createDataFrame([("r", None), ("c", "r")], "node_id string, parent_id string")
+    lines = spark.createDataFrame([("c", 2024, "x", 7), ("c", 2024, "x", 1), ("r", 2024, "x", 5)], "node_id string, year int, source_type string, amount int")
+    assert {(r.node_id, int(r.amount)) for r in tree.rollup_replace(nodes, lines).collect()} == {("r", 8), ("c", 8)}
+    assert seen[0] == 1
