@@ -19,6 +19,17 @@ def test_places_of_activities_are_found_in_one_pass(spark):
     assert "rowframe, 1, unboundedfollowing" not in plan(found).lower()
 
 
+def test_crowded_ancestors_reach_no_single_task(spark):
+    nodes = [("R", None, "program", "P")] + [(f"C{i}", "R", "activity", f"A{i}") for i in range(3)] + [(f"O{i}", f"C{i % 3}", "object", f"X{i}") for i in range(12)]
+    nodes = spark.createDataFrame(nodes, "node_id string, parent_id string, node_type string, name string")
+    closure = tree.ancestor_closure(nodes)
+    want = {("R", "P", None)} | {(f"C{i}", "P", f"A{i}") for i in range(3)} | {(f"O{i}", "P", f"A{i % 3}") for i in range(12)}
+    for crowded in (1, 6, 1000):
+        found = tree.hierarchy_struct(nodes, closure, ["program", "activity"], crowded)
+        assert {tuple(r) for r in found.collect()} == want
+        assert plan(found).count("BroadcastHashJoin") >= 2
+
+
 def test_lines_of_leaves_are_summed_once(spark, monkeypatch):
     seen, real = [], tree.settled
 
