@@ -1,6 +1,6 @@
 """Work that must grow no faster than its input."""
 
-from ledgerloom.operators import insertions, tree
+from ledgerloom.operators import grid, insertions, tree
 
 
 def plan(df):
@@ -42,3 +42,24 @@ def test_lines_of_leaves_are_summed_once(spark, monkeypatch):
     lines = spark.createDataFrame([("c", 2024, "x", 7), ("c", 2024, "x", 1), ("r", 2024, "x", 5)], "node_id string, year int, source_type string, amount int")
     assert {(r.node_id, int(r.amount)) for r in tree.rollup_replace(nodes, lines).collect()} == {("r", 8), ("c", 8)}
     assert seen[0] == 1
+
+
+def test_amounts_are_no_filters_and_labels_are_read_once(spark):
+    cells = spark.createDataFrame([(1, 10, 2, "5,50"), (1, 10, 3, "0"), (1, 10, 0, "имя"), (1, 11, 2, "-")], "doc_id int, row_idx int, col_idx int, text string")
+    layout = spark.createDataFrame([(1, 2, 2026, "UNKNOWN", True), (1, 3, 2027, "FEDERAL_BUDGET", False)], "doc_id int, col_idx int, year int, source_type string, needs_row_source boolean")
+    sources = spark.createDataFrame([(1, 10, "LOCAL_BUDGET")], "doc_id int, row_idx int, row_source string")
+    found = grid.unpivot_funding(cells, layout, sources)
+    assert [(r.row_idx, r.year, r.source_type, str(r.amount)) for r in found.collect()] == [(10, 2026, "LOCAL_BUDGET", "5.50")]
+    assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "decimal(24,6)" in x]
+    rows = [(0, 0, "\tИсточники"), (0, 1, "Всего"), (0, 2, "2026"), (1, 0, "Местный бюджет"), (1, 1, "9"), (1, 2, "7"), (2, 0, None), (2, 2, "3"), (3, 0, "ВСЕГО"), (3, 2, "8")]
+    passport = grid.passport_amounts(spark.createDataFrame([(1, 1, *r) for r in rows], "doc_id int, table_idx int, row_idx int, col_idx int, text string"))
+    assert {(r.kind, r.year, r.source_type, int(r.amount)) for r in passport.collect()} == {("source", 2026, "LOCAL_BUDGET", 7000), ("source_total", None, "LOCAL_BUDGET", 9000), ("year_total", 2026, None, 8000)}
+    assert "внебюдж" not in plan(passport)
+
+
+def test_bodies_are_not_joined_with_headers(spark):
+    cells = spark.createDataFrame([(1, 1, 0, "Имя"), (1, 2, 0, "полное"), (1, 9, 0, "тело"), (2, 1, 1, " ")], "doc_id int, row_idx int, col_idx int, text string")
+    header = spark.createDataFrame([(1, 1), (1, 2)], "doc_id int, row_idx int")
+    found = grid.header_text(cells, header)
+    assert [tuple(r) for r in found.collect()] == [(1, 0, "Имя полное")]
+    assert "max(row_idx" in plan(found)
