@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stages import dealt
 from .tree import KEY, MONEY, total
 
 #: Fixed tolerances: totals, control sums.
@@ -72,10 +73,9 @@ def year_source_checks(expected: DataFrame, actual: DataFrame, tolerance: float
 
 def aggregate_expected(nodes: DataFrame, lines: DataFrame, summary: Column) -> DataFrame:
     """Summary nodes by source, other nodes by year only (source TOTAL)."""
-    joined = lines.join(nodes.select("node_id", summary.alias("is_summary")), "node_id")
-    by_source = joined.where("is_summary").groupBy("node_id", *KEY).agg(total().alias("amount"))
-    by_year = joined.where("not is_summary").groupBy("node_id", "year").agg(total().alias("amount"))
-    return by_source.unionByName(by_year.select("node_id", "year", F.lit("TOTAL").alias("source_type"), "amount"))
+    joined = dealt(lines.select("node_id", *KEY, "amount"), "node_id").join(nodes.select("node_id", summary.alias("is_summary")), "node_id").where("is_summary is not null")
+    source = F.when(F.col("is_summary"), F.col("source_type")).otherwise("TOTAL").alias("source_type")
+    return joined.groupBy("node_id", "is_summary", "year", source).agg(total().alias("amount")).drop("is_summary")
 
 
 def control_sums(details: DataFrame, controls: DataFrame, by: list[str], tolerance: float = CONTROL_TOLERANCE) -> DataFrame:

@@ -1,6 +1,6 @@
 """Work that must grow no faster than its input."""
 
-from ledgerloom.operators import grid, insertions, tree
+from ledgerloom.operators import grid, insertions, reconcile, stages, tree
 
 
 def plan(df):
@@ -63,3 +63,17 @@ def test_bodies_are_not_joined_with_headers(spark):
     found = grid.header_text(cells, header)
     assert [tuple(r) for r in found.collect()] == [(1, 0, "Имя полное")]
     assert "max(row_idx" in plan(found)
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    rows = spark.range(1000).selectExpr("id % 100 AS k")
+    assert stages.dealt(rows, "k", rows=50).rdd.getNumPartitions() == 20
+    assert stages.dealt(rows, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_expected_sums_are_dealt_and_made_in_one_pass(spark):
+    nodes = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "node_id string, s boolean")
+    lines = spark.createDataFrame([("a", 2024, "x", 7), ("a", 2024, "y", 1), ("b", 2024, "x", 5), ("b", 2024, "y", 4), ("c", 2024, "x", 9), ("a", 2024, None, 2)], "node_id string, year int, source_type string, amount int")
+    found = reconcile.aggregate_expected(nodes, lines, nodes.s)
+    assert {(r.node_id, r.source_type, int(r.amount)) for r in found.collect()} == {("a", "x", 7), ("a", "y", 1), ("a", None, 2), ("b", "TOTAL", 9)}
+    assert "Union" not in plan(found) and "REPARTITION_BY_NUM" in plan(found)
