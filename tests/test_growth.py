@@ -1,6 +1,6 @@
 """Work that must grow no faster than its input."""
 
-from ledgerloom.operators import grid, insertions, reconcile, stages, tree
+from ledgerloom.operators import grid, insertions, planning, reconcile, stages, tree
 
 
 def plan(df):
@@ -77,3 +77,11 @@ def test_expected_sums_are_dealt_and_made_in_one_pass(spark):
     found = reconcile.aggregate_expected(nodes, lines, nodes.s)
     assert {(r.node_id, r.source_type, int(r.amount)) for r in found.collect()} == {("a", "x", 7), ("a", "y", 1), ("a", None, 2), ("b", "TOTAL", 9)}
     assert "Union" not in plan(found) and "REPARTITION_BY_NUM" in plan(found)
+
+
+def test_cells_of_a_node_are_made_in_one_pass(spark):
+    lines = spark.createDataFrame([("a", 2024, 1004), ("a", 2025, 1006), ("a", 2024, 1000), ("b", 2024, 5)], "node_id string, year int, amount int")
+    coords = spark.createDataFrame([("a", 3, 6, 2024, 5), ("b", 4, 6, 2024, 5)], "node_id string, row_idx int, first_col int, first_year int, total_col int")
+    found = planning.cell_update_plan(lines, coords, spark.createDataFrame([("a",), ("a",)], "node_id string"))
+    assert sorted((r.node_id, r.row_idx, r.col_idx, int(r.value)) for r in found.collect()) == [("a", 3, 5, 3010), ("a", 3, 6, 2000), ("a", 3, 7, 1010)]
+    assert "Union" not in plan(found) and "REPARTITION_BY_NUM" in plan(found)
