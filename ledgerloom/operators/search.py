@@ -49,8 +49,8 @@ def read_search_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 def search_many(queries: DataFrame, index: tuple[DataFrame, DataFrame], k: int = KEPT) -> DataFrame:
     """P23, L5 for all queries (query_id, query): query_id, chunk_id, rank of the k newest chunks with any of the query's words.
 
-    The k newest chunks of a query are among the k newest of its words, so common words are cut to k before they meet queries.
-    Queries without a long word, and words that no chunk holds, find nothing. Equal times rank by the larger chunk_id.
+    The k newest chunks of a query are among the k newest of its words, so common tokens are cut to k
+    before they meet words, and common words before they meet queries. Queries without a long word, and words that no chunk holds, find nothing. Equal times rank by the larger chunk_id.
     """
     postings, grams = index
     asked = queries.select("query_id", F.explode(F.slice(long_tokens(F.col("query")), 1, WORDS)).alias("word"))
@@ -60,7 +60,9 @@ def search_many(queries: DataFrame, index: tuple[DataFrame, DataFrame], k: int =
     rarest = parts.join(sizes, "gram").groupBy("word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     held = grams.join(rarest, "gram").where(F.col("token").contains(F.col("word"))).select("word", "token")
     newest = [F.desc("created_at"), F.desc("chunk_id")]
-    found = postings.join(held, "token").select("word", "chunk_id", "created_at").distinct()
+    # what is new among a word's chunks is new among some token's, so tokens are cut before they meet words; equal postings share a rank
+    kept = postings.join(held.select("token").distinct(), "token", "left_semi").withColumn("rank", F.dense_rank().over(W.partitionBy("token").orderBy(*newest))).where(F.col("rank") <= k).drop("rank")
+    found = kept.join(held, "token").select("word", "chunk_id", "created_at").distinct()
     best = found.withColumn("rank", F.row_number().over(W.partitionBy("word").orderBy(*newest))).where(F.col("rank") <= k).drop("rank")
     answers = asked.join(best, "word").select("query_id", "chunk_id", "created_at").distinct()
     ranked = answers.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*newest)))

@@ -1,6 +1,6 @@
 """Work that must grow no faster than its input."""
 
-from ledgerloom.operators import grid, insertions, planning, reconcile, stages, tree
+from ledgerloom.operators import grid, insertions, planning, reconcile, search, stages, tree
 
 
 def plan(df):
@@ -85,3 +85,12 @@ def test_cells_of_a_node_are_made_in_one_pass(spark):
     found = planning.cell_update_plan(lines, coords, spark.createDataFrame([("a",), ("a",)], "node_id string"))
     assert sorted((r.node_id, r.row_idx, r.col_idx, int(r.value)) for r in found.collect()) == [("a", 3, 5, 3010), ("a", 3, 6, 2000), ("a", 3, 7, 1010)]
     assert "Union" not in plan(found) and "REPARTITION_BY_NUM" in plan(found)
+
+
+def test_common_tokens_are_cut_before_they_meet_words(spark):
+    chunks = spark.createDataFrame([(i, None, "common other", "", i // 2) for i in range(20)] + [(7, None, "common other", "", 3)], "chunk_id long, title string, content string, chunk_type string, created_at long")
+    asked = spark.createDataFrame([("q", "comm othe")], "query_id string, query string")
+    found = search.search_many(asked, search.search_index(chunks), 3)
+    assert {(r.chunk_id, r.rank) for r in found.collect()} == {(19, 1), (18, 2), (17, 3)}
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank(" in text
