@@ -77,7 +77,8 @@ def finance_rows(rows: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFra
     A line's node is that of the last object row of totals above it with its number and name, else the node that the table's first
     source row of that number and name has opened. Main activities and activities of total rows are parents of what follows them.
     """
-    every = settled(described(rows).where("kind is not null")).join(tables, TABLE)
+    # both are written whole: a filter right behind long expressions would be made of all of them, once for each place that names them
+    every = settled(described(settled(rows))).where("kind is not null").join(tables, TABLE)
     table = W.partitionBy(*TABLE).orderBy("row_idx").rowsBetween(W.unboundedPreceding, -1)
     sign = W.partitionBy(*TABLE, "number", "norm").orderBy("row_idx")
     at = lambda cond, w: F.last(F.when(cond, F.col("row_idx")), True).over(w)

@@ -1,6 +1,6 @@
 """Work that must grow no faster than its input."""
 
-from ledgerloom.operators import grid, insertions, planning, reconcile, search, stages, tree
+from ledgerloom.operators import finance, grid, insertions, planning, reconcile, search, stages, tree
 
 
 def plan(df):
@@ -94,3 +94,19 @@ def test_common_tokens_are_cut_before_they_meet_words(spark):
     assert {(r.chunk_id, r.rank) for r in found.collect()} == {(19, 1), (18, 2), (17, 3)}
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert "dense_rank(" in text
+
+
+def test_rules_of_finance_rows_are_no_filters(spark, monkeypatch):
+    seen, real = [], finance.settled
+
+    def kept(df):
+        seen.extend(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "RLIKE" in x)
+        return real(df)
+
+    monkeypatch.setattr(finance, "settled", kept)
+    head = ["№", "Наименование", "Срок", "Источник", "Всего", "2026 год"]
+    rows = [(1, 1, 0, head), (1, 1, 1, list("123456")), (1, 1, 9, ["1.2.3", "Школа", "2026", "Местный бюджет", "5", "7"]), (1, 1, 10, ["1.2.4", "Сад", "2026", "нет", "5", "7"])]
+    rows = spark.createDataFrame(rows, "doc_id int, table_idx int, row_idx long, cells array<string>")
+    _, lines = finance.finance_rows(rows, spark.createDataFrame([(1, 1, "s")], "doc_id int, table_idx int, subprogram_key string"))
+    assert [(r.row_idx, r.year, r.source_type, int(r.amount)) for r in lines.collect()] == [(9, 2026, "LOCAL_BUDGET", 7000)]
+    assert not seen
