@@ -110,3 +110,13 @@ def test_rules_of_finance_rows_are_no_filters(spark, monkeypatch):
     _, lines = finance.finance_rows(rows, spark.createDataFrame([(1, 1, "s")], "doc_id int, table_idx int, subprogram_key string"))
     assert [(r.row_idx, r.year, r.source_type, int(r.amount)) for r in lines.collect()] == [(9, 2026, "LOCAL_BUDGET", 7000)]
     assert not seen
+
+
+def test_pages_of_patches_are_dealt(spark):
+    text = "По объекту «Школа 5» на 2027 год уменьшить на 100 рублей средства местного бюджета."
+    pages = spark.createDataFrame([(1, 1, text), (1, 2, text), (2, 1, "Слова")], "doc_id int, page_number int, text string")
+    placed = spark.createDataFrame([(1, 1.0, 1.0, 0, "7", 2027, "LOCAL_BUDGET")], "doc_id int, y double, x double, col int, text string, year int, source_type string")
+    controls = spark.createDataFrame([], "doc_id int, year int, source_type string, amount decimal(20,2)")
+    found = grid.build_patch_checked(pages, placed, controls)[0]
+    assert [(r.doc_id, r.page_number, r.object_name, r.mode) for r in found.collect()] == [(1, 1, "Школа 5", "delta_minus")]
+    assert "REPARTITION_BY_NUM" in plan(found)
