@@ -33,11 +33,12 @@ def source_place(source: Column) -> Column:
 def context_sources(objects: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """(object_id, source_type): what an object's parents and all their children are paid from.
 
-    Sources are made distinct by parent before any object meets them, so a parent with many children costs a row a source.
+    Nodes find the parents that are asked for before any line meets them, and sources are made distinct by parent before any object
+    meets them, so lines are moved once and a parent with many children costs a row a source.
     """
-    used = lines.select("node_id", "source_type").distinct().join(nodes.select("node_id", "parent_id"), "node_id")
-    by_parent = used.select(F.explode(F.array_distinct(F.array("node_id", "parent_id"))).alias("parent"), "source_type").where("parent is not null").distinct()
     parents = objects.select("object_id", F.explode(F.array_distinct(F.array_compact(F.array("parent_id", "anchor_id")))).alias("parent"))
+    under = nodes.select("node_id", F.explode(F.array_distinct(F.array("node_id", "parent_id"))).alias("parent")).join(parents.select("parent").distinct(), "parent", "left_semi")
+    by_parent = lines.select("node_id", "source_type").join(under, "node_id").select("parent", "source_type").distinct()
     return parents.join(by_parent, "parent").select("object_id", "source_type").distinct()
 
 
@@ -123,9 +124,10 @@ def insert_anchors(objects: DataFrame, nodes: DataFrame, lines: DataFrame) -> Da
 def plan_insertions(objects: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """The rows of all new objects with the row each takes, (doc_id, table_idx, row_idx, object_id, source_type, total_amount, by_year).
 
-    Objects of one table are put in by anchor, then id; each moves those below it by its own rows.
+    Objects of one table are put in by anchor, then id; each moves those below it by its own rows. Lines are settled: three steps read them.
     """
-    rows = settled(insert_rows(objects, nodes, lines.select("node_id", "year", "source_type", "amount")))
+    lines = settled(lines.select("node_id", "year", "source_type", "amount", "src_table", "src_row"))
+    rows = settled(insert_rows(objects, nodes, lines))
     n = rows.groupBy("object_id").agg(F.count("*").alias("n_rows"))
     anchors = insert_anchors(objects, nodes, lines).join(n, "object_id").withColumnRenamed("insert_after", "anchor").withColumn("seq", F.col("object_id"))
     first = insert_offsets(anchors).select("doc_id", "table_idx", "object_id", F.col("row_idx").alias("first_row"))

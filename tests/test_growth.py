@@ -120,3 +120,24 @@ def test_pages_of_patches_are_dealt(spark):
     found = grid.build_patch_checked(pages, placed, controls)[0]
     assert [(r.doc_id, r.page_number, r.object_name, r.mode) for r in found.collect()] == [(1, 1, "Школа 5", "delta_minus")]
     assert "REPARTITION_BY_NUM" in plan(found)
+
+
+def test_lines_of_insertions_are_read_once(spark, monkeypatch):
+    seen, real = [], insertions.settled
+
+    def kept(df):
+        seen.append(df)
+        return real(df)
+
+    monkeypatch.setattr(insertions, "settled", kept)
+    nodes = [(1, "P", None, 0, 5, "1.", False), (1, "A", "P", 0, 10, "1.1", False), (1, "B", "P", 0, None, "1.2", True)]
+    nodes = spark.createDataFrame(nodes, "doc_id long, node_id string, parent_id string, table_idx int, row_idx long, display_number string, is_new boolean")
+    objects = spark.createDataFrame([(1, "B", "P", None, "1.2", False)], "doc_id long, object_id string, parent_id string, anchor_id string, display_number string, is_aggregate boolean")
+    lines = [("A", 2024, "LOCAL_BUDGET", 7000, 0, 11), ("B", 2025, "REGIONAL_BUDGET", 5000, 0, None), ("Z", 2025, "OTHER_SOURCE", 1, 0, 99)]
+    lines = spark.createDataFrame(lines, "node_id string, year int, source_type string, amount int, src_table int, src_row long")
+    found = insertions.plan_insertions(objects, nodes, lines)
+    assert {(r.row_idx, r.source_type, int(r.total_amount)) for r in found.collect()} == {(12, "TOTAL", 5000), (13, "REGIONAL_BUDGET", 5000), (14, "LOCAL_BUDGET", 0)}
+    assert seen[0].columns == lines.columns
+    # lines meet their parents before anything is made distinct
+    text = insertions.context_sources(objects, nodes, lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate") - text.count("Aggregate [parent") <= 1
