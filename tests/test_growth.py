@@ -162,3 +162,16 @@ def test_deltas_and_changed_lines_climb_the_tree_once(spark, monkeypatch):
     assert len(seen) == 5
     plain = tree.rollup_inclusive(lines, nodes)
     assert {(r.node_id, r.source_type, int(r.amount)) for r in plain.collect()} == {("c", "x", 27), ("d", "x", 1), ("d", "y", 2), ("e", "x", 20), ("r", "x", 28), ("r", "y", 2)}
+
+
+def test_lines_without_rows_meet_no_window_and_rows_are_dealt(spark):
+    from ledgerloom.operators import cellplan
+
+    nodes = spark.createDataFrame([("a", "V")], "node_id string, version_id string")
+    columns = "node_id string, line_no long, year int, source_type string, amount int, src_table int, src_row int, cell int, raw string, unit string, total_cell int, total_raw string"
+    lines = spark.createDataFrame([("a", 1, 2024, "x", 7, 3, 5, 2, None, None, None, None), ("a", 2, 2025, "x", 8, 3, 5, None, None, None, None, None), ("a", 3, 2024, "x", 9, 3, None, 2, None, None, None, None)], columns)
+    cells = cellplan.line_rows(nodes, lines, spark.createDataFrame([("a", 1)], "node_id string, item_id long"))[0]
+    assert sorted((r.row_idx, r.col_idx, int(r.amount)) for r in cells.collect()) == [(5, 2, 7), (5, 3, 8)]
+    optimized = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(src_row" in optimized.split("Window")[-1]
+    assert stages.tasks(lines, 1) == max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
