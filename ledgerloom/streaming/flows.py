@@ -12,12 +12,14 @@ from ..functions.money import parse_money
 from ..functions.text import normalize_source_catalog
 from ..operators.grid import document_profile
 from ..operators.planning import chunk_pages
-from ..operators.stages import settled
+from ..operators.stages import dealt, settled
 from ..sources.io import EXTENSIONS, read_documents, replace_by_document
 
 
 #: A parser's table of the documents that it could not read.
 FAILED = "failed"
+#: Arrivals that a task parses.
+PARSED = 100_000
 
 
 def ingest_batch(parse: Callable[[DataFrame], dict[str, DataFrame]], path: str, key: str = "doc_id", buckets: int = 64) -> Callable[[DataFrame, int], None]:
@@ -26,14 +28,15 @@ def ingest_batch(parse: Callable[[DataFrame], dict[str, DataFrame]], path: str,
     parse(arrivals) gives tables by name, each with the key, and may give `failed` (key, error). A failed document keeps its rows of
     before, has the status `failed` with its error, and its arrival lies in the table `quarantine` until it is read; the others get the
     status `parsed`. A document without rows is emptied. The table `batches`, written last, has the batches that are done: one that
-    runs again after that is left out, and one that failed halfway is loaded again with the same result.
+    runs again after that is left out, and one that failed halfway is loaded again with the same result. Arrivals are dealt by their
+    number: texts of one kind pack so well that few scan tasks would parse them all.
     """
 
     def load(arrivals: DataFrame, batch_id: int) -> None:
         spark = arrivals.sparkSession
         if not read_documents(spark, f"{path}/batches", "batch_id long").where(F.col("batch_id") == batch_id).isEmpty():
             return
-        arrivals = settled(arrivals)
+        arrivals = settled(dealt(settled(arrivals), key, rows=PARSED))
         tables = dict(parse(arrivals))
         docs = arrivals.select(key).distinct()
         failed = tables.pop(FAILED, None)
@@ -61,10 +64,12 @@ PAYLOAD = "struct<pages: array<string>, lines: array<struct<name: string, year:
 
 def parse_payloads(arrivals: DataFrame, topics: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
     """Arrivals (doc_id, document_type, payload as JSON) to tables: lines, profile, pages, chunks and totals by year and source; failed are
-    documents of an unknown type, without a readable payload, or with an amount that is no number."""
-    read = arrivals.withColumn("p", F.from_json("payload", PAYLOAD)).withColumn("known", F.col("document_type").isin(*EXTENSIONS))
+    documents of an unknown type, without a readable payload, or with an amount that is no number.
+
+    Payloads and lines are read once and settled, not once for each table."""
+    read = settled(arrivals.select("doc_id", F.from_json("payload", PAYLOAD).alias("p"), F.col("document_type").isin(*EXTENSIONS).alias("known")))
     lines = read.where("p is not null").select("doc_id", F.posexplode("p.lines").alias("line_no", "e"))
-    lines = lines.select("doc_id", "line_no", "e.name", "e.year", normalize_source_catalog(F.col("e.source")).alias("source_type"), F.when(F.col("e.unit") == "thousand_rub", parse_money(F.col("e.amount"), "thousand_rub")).otherwise(parse_money(F.col("e.amount"))).alias("amount"))
+    lines = settled(lines.select("doc_id", "line_no", "e.name", "e.year", normalize_source_catalog(F.col("e.source")).alias("source_type"), F.when(F.col("e.unit") == "thousand_rub", parse_money(F.col("e.amount"), "thousand_rub")).otherwise(parse_money(F.col("e.amount"))).alias("amount")))
     bad = lines.where("amount is null").select("doc_id").distinct().withColumn("bad", F.lit(True))
     error = F.when(~F.col("known"), "unknown_type").when(F.col("p").isNull() | (F.col("p.lines").isNull() & F.col("p.pages").isNull()), "unreadable").when(F.col("bad"), "bad_amount")
     failed = read.join(bad, "doc_id", "left").select("doc_id", error.alias("error")).where("error is not null")

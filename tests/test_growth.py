@@ -175,3 +175,14 @@ def test_lines_without_rows_meet_no_window_and_rows_are_dealt(spark):
     optimized = cells._jdf.queryExecution().optimizedPlan().toString()
     assert "isnotnull(src_row" in optimized.split("Window")[-1]
     assert stages.tasks(lines, 1) == max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def test_payloads_are_read_once(spark):
+    from ledgerloom.streaming import flows
+
+    arrivals = [("a", "program", '{"pages": ["p"], "lines": [{"name": "n", "year": 2024, "source": "x", "amount": "5", "unit": "rub"}]}'), ("b", "program", "{bad"), ("c", "letter", None)]
+    tables = flows.parse_payloads(spark.createDataFrame(arrivals, "doc_id string, document_type string, payload string"))
+    assert [(r.doc_id, r.year, int(r.amount)) for r in tables["totals"].collect()] == [("a", 2024, 5)]
+    assert {(r.doc_id, r.error) for r in tables["failed"].collect()} == {("b", "unreadable"), ("c", "unknown_type")}
+    for name in tables:
+        assert "from_json" not in plan(tables[name]), name
