@@ -62,6 +62,7 @@ def claim(owner: str, clear: Callable[[], None] = lambda: None) -> None:
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):  # give freed memory back, where the C library can
             ctypes.CDLL(None).malloc_trim(0)
+        pa.default_memory_pool().release_unused()
     _kept[owner] = clear
 
 

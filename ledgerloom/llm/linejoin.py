@@ -46,6 +46,8 @@ BUCKET, BIG, FLUSH, SPLIT, AGAIN = 300_000, 1_500_000, 200_000, 16, 8
 FILTER = 1 << 25
 #: Bytes of text taken at once, and bits for a line of them in a sorted word.
 SLICE, LINE_BITS, HASH_BITS = 2 << 20, 16, 40
+#: Bytes hashed at once: each takes some 40 bytes of memory meanwhile.
+HASHED = 1 << 18
 #: A random number for each byte value, and the odd base of the rolling hash with its inverse.
 BYTE_HASH = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
@@ -71,7 +73,7 @@ def powers_up_to(base: int, n: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base to the powers 0 to n - 1, modulo 2**64; kept for the next slice."""
-    return powers_up_to(base, 1 << max(21, n.bit_length()))[:n]
+    return powers_up_to(base, 1 << max(19, n.bit_length()))[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -92,10 +94,20 @@ def lines_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[by
     return np.array(text, dtype=np.int64), np.array(number, dtype=np.int64), lines
 
 
-def hashed(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The line and the hash of each word of some lines, in order."""
-    if not lines:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+def hashed(lines: list[bytes], most: int = HASHED) -> tuple[np.ndarray, np.ndarray]:
+    """The line and the hash of each word of some lines, in order; lines of about `most` bytes are hashed at once, a longer line alone."""
+    rows, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    ends = np.cumsum([len(x) + 1 for x in lines])
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        row, h = hashed_at_once(lines[at:to])
+        rows.append(row + at)
+        hashes.append(h)
+        at = to
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+def hashed_at_once(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(lines) + b"\n", dtype=np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate(([True], blank)).astype(np.int8))
