@@ -28,3 +28,12 @@ def test_programs_have_the_rows_of_all_parts(spark):
     assert set(n) == set(full) and all(r["count"] > 100 for r in n.values())
     for part, column in full.items():
         assert not found.where(f"part = '{part}' and {column} is null").limit(1).collect(), part
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_cell_updates_come_from_all_steps(spark):
+    found = registry.QUERIES["cell_update_plan"](spark, SF).select("reason", "node_id", "item_id").collect()
+    assert {r.reason for r in found} == {"node_total_year", "node_total_column", "funding_line_year", "funding_line_total_column", "passport_source_year", "passport_source_total_column", "passport_total", "passport_grand_total_column"}
+    # customers, nations above them, summary rows of nations, mirrors of customers, orders with their items, and the passports' programs
+    assert {r.node_id[0] for r in found} == set("CNTDOR")
+    assert {r.item_id is None for r in found if r.node_id[0] == "O"} == {False}
